@@ -35,7 +35,8 @@ TAG_RE = START_TAG_RE + "|" + END_TAG_RE
 DROP_RE = (r"(?is)<!--.*?(?:-->|$)|<(script|style)\b" + _ATTRS + r">.*?(?:</\1\s*>|$)"
            r"|<![^>]*>|<\?[^>]*>")
 HEAD_RE = r"(?is)<head\b" + _ATTRS + r">.*?(?:</head\s*>|$)"
-TOKEN_RE = r"(?s)" + START_TAG_RE + "|" + END_TAG_RE + r"|(?:[^<]|<(?![a-zA-Z/]))+|<"
+# text runs never contain the separator left by removed blocks (it splits nodes)
+TOKEN_RE = r"(?s)" + START_TAG_RE + "|" + END_TAG_RE + "|(?:[^<\u0001]|<(?![a-zA-Z/]))+|<"
 ATTR_RE = r"""([^\s/>"'=][^\s/>"'=]*)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""
 UNQUOTE_RE = r"""(?s)^"(.*)"$|^'(.*)'$"""
 TAG_NAME_RE = r"^</?([a-zA-Z][^\s/>]*)"

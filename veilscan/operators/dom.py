@@ -56,13 +56,17 @@ def features_struct_sql(html: str = "html", **limits) -> str:
     """
     lim = {**DEFAULT_LIMITS, **limits}
 
+    def vis(text):
+        n = lim["max_visible_text"]
+        return f"substr({text}, 1, {n})" if n else text
+
     def with_maps(m):
         def on_clean(c):
             def on_nodes(nodes):
                 def on_forms(fm):
                     return (
                         "named_struct("
-                        f"'visible_text', substr(array_join({H.stripped_sql(nodes)}, ' '), 1, {lim['max_visible_text']}), "
+                        f"'visible_text', {vis(f'array_join({H.stripped_sql(nodes)}, {chr(39)} {chr(39)})')}, "
                         f"'forms', {fm}, "
                         f"'preselected_checkboxes', {H.preselected_sql(fm)}, "
                         f"'hidden_inputs', {H.hidden_inputs_sql(fm)}, "
