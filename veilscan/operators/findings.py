@@ -40,7 +40,7 @@ def _finding_ok(f: Column) -> Column:
             ok = ok & F.coalesce(t == "BOOLEAN", F.lit(False))
         elif k == "legal_reference":
             # must be present; may be null
-            ok = ok & F.coalesce((t == "STRING") | (t == "NULL"), F.lit(False))
+            ok = ok & F.coalesce((t == "STRING") | (t == "VOID"), F.lit(False))
         else:
             ok = ok & F.coalesce(t == "STRING", F.lit(False))
     return ok
@@ -57,8 +57,11 @@ def report_status(raw) -> Column:
     findings_ok = F.coalesce(F.forall(items, _finding_ok), F.lit(False)) & \
         F.coalesce(_vt(v, "$.dark_patterns_found").startswith("ARRAY"), F.lit(False))
     scalars_ok = (F.coalesce(_vt(v, "$.gdpr_concerns") == "BOOLEAN", F.lit(False))
-                  & F.coalesce(_vt(v, "$.pattern_count").isin("INT8", "INT16", "INT32", "INT64"), F.lit(False))
-                  & F.coalesce(_vt(v, "$.overall_risk") == "STRING", F.lit(False)))
+                  & F.coalesce(_vt(v, "$.pattern_count") == "BIGINT", F.lit(False))
+                  & F.coalesce(_vt(v, "$.overall_risk") == "STRING", F.lit(False))
+                  & F.coalesce(_vt(v, "$.overall_summary") == "STRING", F.lit(False))
+                  & F.coalesce(_vt(v, "$.language_detected") == "STRING", F.lit(False))
+                  & F.coalesce(_vt(v, "$.ontology_reference") == "STRING", F.lit(True)))
     error = (F.when(v.isNull() | ~obj, F.lit(ERR_NO_REPLY))
              .when(~keys_ok, F.lit(ERR_STRUCTURE))
              .when(~(findings_ok & scalars_ok), F.lit(ERR_CONSTRUCT)))

@@ -34,7 +34,7 @@ def sql_values(rows, cols) -> str:
             return "[" + ", ".join(lit(x) for x in v) + "]"
         return "'" + str(v).replace("'", "''") + "'"
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {body}) AS t({', '.join(cols)})"
+    return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"
 
 
 def sql_lexicon(languages=None, categories=None) -> str:
