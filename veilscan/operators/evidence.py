@@ -338,3 +338,20 @@ def run_stats(step_count, screenshot_count, pattern_count) -> Column:
 def number_within(df: DataFrame, key: str, order: list[str], out: str = "rn") -> DataFrame:
     """Small helper: row number per key with a plain window (bounded groups only)."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def landing_scrapes(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """For every navigation: the first successful scrape of its landing URL after it.
+
+    An as-of lookup without pairing rows: navigations and scrapes of one
+    (site, url) are scanned in descending step order and each navigation
+    takes the last scrape seen so far (the nearest later one).
+    """
+    nav = log.filter(F.col("tool") == "navigator").select(
+        "site", "url", "step", "seq", F.lit(None).cast("long").alias("_scr"))
+    scr = log.filter((F.col("tool") == "scraper") & F.col("scrape_ok")).select(
+        "site", "url", "step", "seq", F.col("seq").alias("_scr"))
+    both = nav.unionByName(scr).withColumn("_k", F.concat_ws("\u0001", "site", "url")) \
+        .withColumn("_neg", -F.col("step")).withColumn("_is_nav", F.col("_scr").isNull())
+    out = ordered_scan(both, "_k", ["_neg"], [Agg("landing_seq", "last", "_scr")], num_partitions)
+    return out.filter(F.col("_is_nav")).select("site", "url", "step", "seq", "landing_seq")

@@ -162,14 +162,16 @@ def severity_rank(sev) -> Column:
 
 
 def most_specific(findings: DataFrame, keys=("site", "evidence", "high_level_strategy")) -> DataFrame:
-    """One finding per instance: lowest level wins (low over meso), ties by name.
+    """One finding per instance: within ``keys`` keep only the most specific
+    level present (low over meso; high-level alone is never a finding).
 
-    A ``min_by`` aggregate: partial aggregation keeps a hot site spread out.
+    The minimum level per instance is an aggregate (partial aggregation keeps
+    a hot site spread), joined back on the instance keys.
     """
     keys = list(keys)
-    rest = [c for c in findings.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(level_rank("level").alias("r"), F.col("pattern").alias("p")))
-    return findings.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    ranked = findings.withColumn("_lr", level_rank("level"))
+    best = ranked.groupBy(*keys).agg(F.min("_lr").alias("_best"))
+    return ranked.join(best, keys).filter(F.col("_lr") == F.col("_best")).drop("_lr", "_best")
 
 
 def dedupe(findings: DataFrame, keys=("site", "pattern", "evidence")) -> DataFrame:
@@ -205,37 +207,37 @@ def classify(evidence: DataFrame, key: str = "site", rules: DataFrame | None = N
     """Evidence -> findings with the rules table.
 
     ``evidence`` has per-key columns: ``phrases`` (array of lexicon phrases
-    found), ``categories`` (array of lexicon categories with a hit) and
-    boolean flags named like the rules' ``flag`` signals. Signals are
-    unpivoted to rows and joined with the broadcast rules table, then
-    enriched with taxonomy and legal map and reduced to the most specific
-    finding per (key, evidence, strategy).
+    found), ``categories`` (lexicon categories with a hit) and boolean flags
+    named like the rules' ``flag`` signals. Signals are unpivoted to rows and
+    joined with the broadcast rules table (one finding per key and pattern,
+    evidence = its signals), enriched with taxonomy and legal map, and reduced
+    to the most specific level per instance: phrase rules share the
+    ``urgency`` instance (a low-level message pattern replaces the meso
+    Urgency), every other rule is its own instance.
     """
     spark = evidence.sparkSession
     rules = rules if rules is not None else dims.rules(spark)
     flag_names = sorted({s for k, s, *_ in dims.RULES if k == "flag"})
     present = [f for f in flag_names if f in evidence.columns]
-    sig = F.array_union(
-        F.transform(F.coalesce(F.col("phrases"), F.array().cast("array<string>")),
-                    lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("signal"))),
-        F.array_union(
-            F.transform(F.coalesce(F.col("categories"), F.array().cast("array<string>")),
-                        lambda c: F.struct(F.lit("category").alias("kind"), c.alias("signal"))),
-            F.array_compact(F.array(*[F.when(F.col(f), F.struct(F.lit("flag").alias("kind"),
+    st = "array<struct<kind:string,signal:string>>"
+    phrases = F.transform(F.coalesce(F.col("phrases"), F.array().cast("array<string>")),
+                          lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("signal")))
+    cats = F.transform(F.coalesce(F.col("categories"), F.array().cast("array<string>")),
+                       lambda c: F.struct(F.lit("category").alias("kind"), c.alias("signal")))
+    flags = F.array_compact(F.array(*[F.when(F.col(f), F.struct(F.lit("flag").alias("kind"),
                                                                  F.lit(f).alias("signal")))
-                                      for f in present])) if present else
-            F.array().cast("array<struct<kind:string,signal:string>>")))
+                                      for f in present])) if present else F.array().cast(st)
+    sig = F.concat(phrases.cast(st), cats.cast(st), flags.cast(st))
     signals = evidence.select(key, F.explode(sig).alias("s")).select(key, "s.kind", "s.signal")
     hits = signals.join(F.broadcast(rules), ["kind", "signal"])
     found = (hits.groupBy(key, "pattern").agg(
         F.first("severity").alias("severity"), F.first("recommendation").alias("recommendation"),
+        F.first(F.when(F.col("kind") == "phrase", F.lit("urgency")).otherwise(F.col("signal"))).alias("instance"),
         F.array_join(F.array_sort(F.collect_set("signal")), ", ").alias("evidence")))
     enriched = enrich_legal(enrich_taxonomy(found))
     findings = enriched.select(
         key, F.col("canonical_pattern").alias("pattern"), F.col("tax_level").alias("level"),
         F.col("tax_strategy").alias("high_level_strategy"), "severity", "evidence",
         F.lit("page").alias("location"), F.col("gdpr_by_law").alias("gdpr_risk"),
-        F.try_element_at(F.col("laws"), F.lit(1)).alias("legal_reference"), "recommendation")
-    # one finding per instance: within a strategy, the most specific pattern
-    return most_specific(findings.withColumn("_inst", F.lit("page")),
-                         keys=(key, "high_level_strategy", "_inst")).drop("_inst")
+        F.try_element_at(F.col("laws"), F.lit(1)).alias("legal_reference"), "recommendation", "instance")
+    return most_specific(findings, keys=(key, "instance")).drop("instance")

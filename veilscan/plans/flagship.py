@@ -87,10 +87,12 @@ def flagship_sql() -> str:
       UNION SELECT DISTINCT host, 'flag', 'popup_detected' FROM pf WHERE popup),
   rules AS (SELECT * FROM {sql_rules()}),
   tax AS (SELECT * FROM {sql_taxonomy()}),
-  fp AS (SELECT DISTINCT s.host, r.pattern, r.severity FROM sig s JOIN rules r ON r.kind = s.kind AND r.signal = s.signal),
-  ft AS (SELECT fp.*, tx.level, tx.strategy FROM fp JOIN tax tx ON tx.pattern = fp.pattern),
-  best AS (SELECT * FROM (SELECT ft.*, row_number() OVER (PARTITION BY host, strategy ORDER BY
-      CASE level WHEN 'low' THEN 1 WHEN 'meso' THEN 2 ELSE 3 END, pattern) AS rn FROM ft) WHERE rn = 1),
+  fp AS (SELECT DISTINCT s.host, r.pattern, r.severity,
+      CASE WHEN r.kind = 'phrase' THEN 'urgency' ELSE r.signal END AS instance
+      FROM sig s JOIN rules r ON r.kind = s.kind AND r.signal = s.signal),
+  ft AS (SELECT fp.*, tx.level, tx.strategy, CASE tx.level WHEN 'low' THEN 1 WHEN 'meso' THEN 2 ELSE 3 END AS lr
+      FROM fp JOIN tax tx ON tx.pattern = fp.pattern),
+  best AS (SELECT * FROM (SELECT ft.*, min(lr) OVER (PARTITION BY host, instance) AS mlr FROM ft) WHERE lr = mlr),
   agg AS (SELECT host, count(*) AS n, max(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 END) AS r,
       bool_or(pattern IN ('Bad Defaults', 'Privacy Zuckering', 'Forced Registration', 'Immortal Accounts')) AS g,
       array_to_string(list_sort(list(pattern)), '|') AS pats FROM best GROUP BY host),
