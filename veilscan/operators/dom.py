@@ -155,3 +155,8 @@ def subtree_texts(pages: DataFrame, predicate, html_col: str = "html", key: str
         H.tokens_sql(H.clean_sql(html_col)), lambda t: H.element_texts_sql(t, m, predicate))))
     return pages.select(key, F.posexplode(texts).alias("ord", "text")).withColumn(
         "ord", F.col("ord") + 1)
+
+
+def scraped_ok(features: DataFrame) -> DataFrame:
+    """Pages whose scrape succeeded (extraction input); failed ones stay in the log."""
+    return features.filter(F.col("scrape_success"))

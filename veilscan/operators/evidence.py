@@ -27,9 +27,15 @@ SIGNALS = ["urgency_texts", "subscription_keywords", "consent_accept", "consent_
 LOG_COLUMNS = ["site", "ts", "seq", "tool", "summary", "evidence", "url", "visited", "scrape_ok",
                "popup", "prices", "preselected", "hidden", *SIGNALS, "reject_missing",
                "shot_path", "n_small_print"]
-EMPTY = F.array().cast("array<string>")
-EMPTY_PRE = F.array().cast("array<struct<name:string,type:string>>")
-EMPTY_HID = F.array().cast("array<struct<name:string>>")
+
+
+def _empty(kind: str = "string") -> Column:
+    """Typed empty arrays (built on use: no session is needed at import)."""
+    types = {"string": "array<string>", "pre": "array<struct<name:string,type:string>>",
+             "hid": "array<struct<name:string>>"}
+    return F.array().cast(types[kind])
+
+
 EVIDENCE_CHARS = 500
 DEFAULT_STEP_CAP = 10
 MIN_STEPS = 6
@@ -42,9 +48,9 @@ def _py_str_repr(c) -> Column:
 def _base(df, site, ts, seq, tool, summary, evidence, **kw) -> DataFrame:
     vals = {
         "url": F.lit(None).cast("string"), "visited": F.lit(None).cast("string"),
-        "scrape_ok": F.lit(None).cast("boolean"), "popup": F.lit(False), "prices": EMPTY,
-        "preselected": EMPTY_PRE, "hidden": EMPTY_HID,
-        **{s: EMPTY for s in SIGNALS}, "reject_missing": F.lit(False),
+        "scrape_ok": F.lit(None).cast("boolean"), "popup": F.lit(False), "prices": _empty(),
+        "preselected": _empty("pre"), "hidden": _empty("hid"),
+        **{s: _empty() for s in SIGNALS}, "reject_missing": F.lit(False),
         "shot_path": F.lit(None).cast("string"), "n_small_print": F.lit(0),
     }
     vals.update(kw)
@@ -72,9 +78,9 @@ def scrape_log(features: DataFrame, site="site", ts="ts", seq="seq") -> DataFram
                  F.when(ok, F.col("visible_text")).otherwise(F.lit("")),
                  url=F.col("url"), visited=F.when(ok, F.col("url")), scrape_ok=ok,
                  popup=F.when(ok, F.col("popup_detected")).otherwise(F.lit(False)),
-                 prices=F.when(ok, F.col("prices")).otherwise(EMPTY),
-                 preselected=F.when(ok, F.col("preselected_checkboxes")).otherwise(EMPTY_PRE),
-                 hidden=F.when(ok, F.col("hidden_inputs")).otherwise(EMPTY_HID),
+                 prices=F.when(ok, F.col("prices")).otherwise(_empty()),
+                 preselected=F.when(ok, F.col("preselected_checkboxes")).otherwise(_empty("pre")),
+                 hidden=F.when(ok, F.col("hidden_inputs")).otherwise(_empty("hid")),
                  n_small_print=F.when(ok, F.size("small_print")).otherwise(F.lit(0)))
 
 

@@ -385,3 +385,10 @@ def q_jn_existing_shots(spark, d):
     man = E.screenshots(lg).select("site", "step", F.concat(F.lit(d.rstrip("/") + "/"), pick,
                                                              F.lit(".parquet")).alias("path"))
     return existing_shots(man, screenshot_files(spark, d, glob="*.parquet"))
+
+
+@query("flt_scrape_ok", f"SELECT site, seq, url FROM {SQL_LOG} WHERE tool = 'scraper' AND scrape_ok")
+def q_flt_scrape_ok(spark, d):
+    from ..operators.dom import scraped_ok
+    view = G.g3_parts(G.g3_events(spark, d))[0]
+    return scraped_ok(view).select("site", L("seq").alias("seq"), "url")
