@@ -48,13 +48,19 @@ def with_status(pages: DataFrame, html_col: str = "html", error_col: str | None
     return pages.withColumn("scrape_success", ok).withColumn("scrape_error", err)
 
 
-def features_struct_sql(html: str = "html", **limits) -> str:
+ALL_FIELDS = ("title", "meta_description", "html", "popup_detected", "visible_text", "forms",
+              "preselected_checkboxes", "hidden_inputs", "links", "buttons", "prices", "sticky_elements",
+              "small_print")
+
+
+def features_struct_sql(html: str = "html", fields=None, **limits) -> str:
     """One struct holding every feature of a page, as Spark SQL text.
 
     The cleaned HTML, its text nodes and the forms are each bound once per
     row; the entity tables are bound once per row as a literal.
     """
     lim = {**DEFAULT_LIMITS, **limits}
+    want = set(fields or ALL_FIELDS)
 
     def vis(text):
         n = lim["max_visible_text"]
@@ -64,32 +70,41 @@ def features_struct_sql(html: str = "html", **limits) -> str:
         def on_clean(c):
             def on_nodes(nodes):
                 def on_forms(fm):
-                    return (
-                        "named_struct("
-                        f"'visible_text', {vis(f'array_join({H.stripped_sql(nodes)}, {chr(39)} {chr(39)})')}, "
-                        f"'forms', {fm}, "
-                        f"'preselected_checkboxes', {H.preselected_sql(fm)}, "
-                        f"'hidden_inputs', {H.hidden_inputs_sql(fm)}, "
-                        f"'links', {H.links_sql(c, m, lim['max_links'])}, "
-                        f"'buttons', {H.buttons_sql(c, m, lim['max_buttons'])}, "
-                        f"'prices', {H.prices_sql(f'array_join({nodes}, {chr(39)} {chr(39)})', lim['max_prices'])}, "
-                        f"'sticky_elements', {H.sticky_sql(c, m, lim['max_sticky'])}, "
-                        f"'small_print', {H.small_print_sql(c, m, lim['max_small_print'])})")
-                return S.bind(H.forms_sql(c, m), on_forms)
-            return S.bind(H.text_nodes_sql(c, m), on_nodes)
-
-        return ("named_struct("
-                f"'title', {H.title_sql(html, m)}, "
-                f"'meta_description', {H.meta_description_sql(html, m, lim['max_meta'])}, "
-                f"'html', substr({html}, 1, {lim['max_html']}), "
-                f"'popup_detected', {H.popup_sql(html, m)}, "
-                f"'f', {S.bind(H.clean_sql(html), on_clean)})")
+                    parts = {
+                        "visible_text": lambda: vis(f"array_join({H.stripped_sql(nodes)}, ' ')"),
+                        "forms": lambda: fm,
+                        "preselected_checkboxes": lambda: H.preselected_sql(fm),
+                        "hidden_inputs": lambda: H.hidden_inputs_sql(fm),
+                        "links": lambda: H.links_sql(c, m, lim["max_links"]),
+                        "buttons": lambda: H.buttons_sql(c, m, lim["max_buttons"]),
+                        "prices": lambda: H.prices_sql(f"array_join({nodes}, ' ')", lim["max_prices"]),
+                        "sticky_elements": lambda: H.sticky_sql(c, m, lim["max_sticky"]),
+                        "small_print": lambda: H.small_print_sql(c, m, lim["max_small_print"]),
+                    }
+                    return "named_struct(" + ", ".join(f"'{k}', {v()}" for k, v in parts.items() if k in want) + ")"
+                if want & {"forms", "preselected_checkboxes", "hidden_inputs"}:
+                    return S.bind(H.forms_sql(c, m), on_forms)
+                return on_forms("NULL")
+            if want & {"visible_text", "prices"}:
+                return S.bind(H.text_nodes_sql(c, m), on_nodes)
+            return on_nodes("NULL")
+
+        raw = {
+            "title": lambda: H.title_sql(html, m),
+            "meta_description": lambda: H.meta_description_sql(html, m, lim["max_meta"]),
+            "html": lambda: f"substr({html}, 1, {lim['max_html']})",
+            "popup_detected": lambda: H.popup_sql(html, m),
+        }
+        body = [f"'{k}', {v()}" for k, v in raw.items() if k in want]
+        if want - set(raw):
+            body.append(f"'f', {S.bind(H.clean_sql(html), on_clean)}")
+        return "named_struct(" + ", ".join(body) + ")"
 
     return with_entity_maps(with_maps)
 
 
 def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html",
-                  url_col: str = "url", **limits) -> DataFrame:
+                  url_col: str = "url", fields=None, **limits) -> DataFrame:
     """Whole feature record per page (``keep`` = extra key columns such as ``page_id``).
 
     Two projections: the first computes every feature once into one struct
@@ -98,7 +113,8 @@ def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str
     """
     keep = [c for c in (keep or ["page_id"]) if c in pages.columns and c != url_col]
     ok = page_ok(html_col)
-    feats = F.expr(features_struct_sql(f"`{html_col}`", **limits))
+    want = list(fields or ALL_FIELDS)
+    feats = F.expr(features_struct_sql(f"`{html_col}`", fields=want, **limits))
     step1 = pages.select(*keep, F.col(url_col).alias("url"), ok.alias("scrape_success"),
                          F.when(ok, feats).alias("_r"))
     empty = F.array().cast("array<string>")
@@ -106,22 +122,20 @@ def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str
     def g(c, default):
         return F.coalesce(F.col(c), default)
 
+    defaults = {
+        "title": ("_r.title", F.lit("")), "meta_description": ("_r.meta_description", F.lit("")),
+        "visible_text": ("_r.f.visible_text", F.lit("")), "html": ("_r.html", F.lit("")),
+        "forms": ("_r.f.forms", F.array().cast(H.FORMS_TYPE)), "links": ("_r.f.links", empty),
+        "buttons": ("_r.f.buttons", empty), "prices": ("_r.f.prices", empty),
+        "preselected_checkboxes": ("_r.f.preselected_checkboxes",
+                                   F.array().cast("array<struct<name:string,type:string>>")),
+        "hidden_inputs": ("_r.f.hidden_inputs", F.array().cast("array<struct<name:string>>")),
+        "popup_detected": ("_r.popup_detected", F.lit(False)),
+        "sticky_elements": ("_r.f.sticky_elements", empty), "small_print": ("_r.f.small_print", empty),
+    }
     return step1.select(
         *keep, "url",
-        g("_r.title", F.lit("")).alias("title"),
-        g("_r.meta_description", F.lit("")).alias("meta_description"),
-        g("_r.f.visible_text", F.lit("")).alias("visible_text"),
-        g("_r.html", F.lit("")).alias("html"),
-        g("_r.f.forms", F.array().cast(H.FORMS_TYPE)).alias("forms"),
-        g("_r.f.links", empty).alias("links"),
-        g("_r.f.buttons", empty).alias("buttons"),
-        g("_r.f.prices", empty).alias("prices"),
-        g("_r.f.preselected_checkboxes", F.array().cast("array<struct<name:string,type:string>>"))
-        .alias("preselected_checkboxes"),
-        g("_r.f.hidden_inputs", F.array().cast("array<struct<name:string>>")).alias("hidden_inputs"),
-        g("_r.popup_detected", F.lit(False)).alias("popup_detected"),
-        g("_r.f.sticky_elements", empty).alias("sticky_elements"),
-        g("_r.f.small_print", empty).alias("small_print"),
+        *[g(defaults[k][0], defaults[k][1]).alias(k) for k in ALL_FIELDS if k in want],
         "scrape_success",
         F.when(~F.col("scrape_success"), F.lit(EMPTY_PAGE_ERROR)).alias("scrape_error"),
     )

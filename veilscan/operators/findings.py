@@ -120,23 +120,14 @@ def explode_findings(reports: DataFrame, key: str = "site") -> DataFrame:
 # ---------------------------------------------------------------------------
 def enrich_taxonomy(findings: DataFrame, pattern_col: str = "pattern") -> DataFrame:
     """Canonical pattern, level, strategy and definition for a name or alias."""
-    spark = findings.sparkSession
-    names = dims.taxonomy_names(spark).withColumnRenamed("pattern", "_canon")
-    tax = dims.taxonomy(spark).select(F.col("pattern").alias("_canon"), F.col("level").alias("tax_level"),
-                                      F.col("strategy").alias("tax_strategy"), "definition")
-    dim = names.join(tax, "_canon")
-    return (findings.join(F.broadcast(dim), F.col(pattern_col) == F.col("name"), "left")
-            .withColumnRenamed("_canon", "canonical_pattern").drop("name"))
+    dim = dims.name_dim(findings.sparkSession)
+    return findings.join(F.broadcast(dim), F.col(pattern_col) == F.col("name"), "left").drop("name")
 
 
 def enrich_legal(findings: DataFrame, pattern_col: str = "canonical_pattern") -> DataFrame:
     """Laws per canonical pattern (many-to-many), gdpr flag; the dimension is
     pre-aggregated per pattern (at most 16 rows) so each finding joins one row."""
-    spark = findings.sparkSession
-    laws = (dims.legal_map(spark).groupBy("pattern")
-            .agg(F.array_sort(F.collect_set("legal_short")).alias("laws"),
-                 F.array_sort(F.collect_set("legal_reference")).alias("law_names"))
-            .withColumnRenamed("pattern", "_lp"))
+    laws = dims.laws_dim(findings.sparkSession)
     out = findings.join(F.broadcast(laws), F.col(pattern_col) == F.col("_lp"), "left").drop("_lp")
     return (out.withColumn("laws", F.coalesce("laws", F.array().cast("array<string>")))
             .withColumn("law_names", F.coalesce("law_names", F.array().cast("array<string>")))
@@ -241,3 +232,56 @@ def classify(evidence: DataFrame, key: str = "site", rules: DataFrame | None = N
         F.lit("page").alias("location"), F.col("gdpr_by_law").alias("gdpr_risk"),
         F.try_element_at(F.col("laws"), F.lit(1)).alias("legal_reference"), "recommendation", "instance")
     return most_specific(findings, keys=(key, "instance")).drop("instance")
+
+
+def classify_inline_sql(flags: list[str]) -> str:
+    """SQL text of the inline classification over columns phrases, categories, flags."""
+    from ..functions.sqlgen import q
+    def lit_struct(k, sg, p, sev, rec):
+        inst = "urgency" if k == "phrase" else sg
+        return (f"named_struct('kind', {q(k)}, 'signal', {q(sg)}, 'pattern', {q(p)}, 'severity', {q(sev)}, "
+                f"'recommendation', {q(rec)}, 'instance', {q(inst)})")
+    rules = "array(" + ", ".join(lit_struct(*r) for r in dims.RULES) + ")"
+    tax = {n: (lv, stg) for n, _, lv, stg, _ in dims.name_dim_rows()}
+    levels = "map(" + ", ".join(f"{q(p)}, {q(v[0])}" for p, v in tax.items()) + ")"
+    strategies = "map(" + ", ".join(f"{q(p)}, {q(v[1])}" for p, v in tax.items()) + ")"
+    laws = "map(" + ", ".join(f"{q(p)}, array({', '.join(q(x) for x in ls)})" for p, ls, _ in dims.laws_rows()) + ")"
+    st = "array<struct<kind:string,signal:string>>"
+    sig = (f"concat(cast(transform(coalesce(phrases, cast(array() as array<string>)), p -> named_struct('kind', 'phrase', 'signal', p)) as {st}), "
+           f"cast(transform(coalesce(categories, cast(array() as array<string>)), c -> named_struct('kind', 'category', 'signal', c)) as {st}), "
+           f"cast(array_compact(array({', '.join(f'CASE WHEN {f} THEN named_struct({chr(39)}kind{chr(39)}, {chr(39)}flag{chr(39)}, {chr(39)}signal{chr(39)}, {q(f)}) END' for f in flags) or 'NULL'})) as {st}))")
+    one = ("named_struct('pattern', p, 'level', element_at(LV, p), 'high_level_strategy', element_at(SG, p), "
+           "'severity', rs[0].severity, 'evidence', array_join(array_sort(array_distinct(transform(rs, r -> r.signal))), ', '), "
+           "'location', 'page', 'gdpr_risk', array_contains(coalesce(element_at(LW, p), cast(array() as array<string>)), 'GDPR'), "
+           "'legal_reference', try_element_at(coalesce(element_at(LW, p), cast(array() as array<string>)), 1), "
+           "'recommendation', rs[0].recommendation, 'instance', rs[0].instance, "
+           "'lr', CASE element_at(LV, p) WHEN 'low' THEN 1 WHEN 'meso' THEN 2 ELSE 3 END)")
+    one = one.replace("LV", levels).replace("SG", strategies).replace("LW", laws)
+    per_pattern = f"transform(array_distinct(transform(m, r -> r.pattern)), p -> transform(array(filter(m, r -> r.pattern = p)), rs -> {one})[0])"
+    matched = f"filter({rules}, r -> exists(sg, s -> s.kind = r.kind AND s.signal = r.signal))"
+    keep = ("transform(filter(fs, x -> x.lr = array_min(transform(filter(fs, y -> y.instance = x.instance), y -> y.lr))), "
+            "x -> named_struct('pattern', x.pattern, 'level', x.level, 'high_level_strategy', x.high_level_strategy, "
+            "'severity', x.severity, 'evidence', x.evidence, 'location', x.location, 'gdpr_risk', x.gdpr_risk, "
+            "'legal_reference', x.legal_reference, 'recommendation', x.recommendation))")
+    return (f"transform(array({sig}), sg -> transform(array(transform(array({matched}), m -> {per_pattern})[0]), "
+            f"fs -> {keep})[0])[0]")
+
+
+def classify_inline(evidence: DataFrame, out: str = "findings") -> DataFrame:
+    """Row-local classification for per-key evidence rows (default rules).
+
+    Same result as ``classify`` for the built-in rules, but rules, taxonomy and
+    legal map are inlined as literals and every step is an array expression
+    inside the evidence row: no join and no shuffle. Arrays are bounded by the
+    rules (at most one finding per rule pattern). Written as one SQL
+    expression: a single parse instead of hundreds of JVM calls.
+    """
+    flag_names = sorted({s for k, s, *_ in dims.RULES if k == "flag"})
+    present = [f for f in flag_names if f in evidence.columns]
+    return evidence.withColumn(out, F.expr(classify_inline_sql(present)))
+
+
+def risk_of(findings_col: str = "findings") -> Column:
+    """overall_risk of a findings array: max severity; none -> CLEAN."""
+    r = F.array_max(F.transform(F.col(findings_col), lambda f: severity_rank(f["severity"])))
+    return F.when(r == 3, "HIGH").when(r == 2, "MEDIUM").when(r == 1, "LOW").otherwise("CLEAN")

@@ -183,8 +183,8 @@ SQL_G3 = f"""(SELECT event_id AS seq, ts, user_id, event_type, k,
 # ---------------------------------------------------------------------------
 def g4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dims.lexicon_rows()
-    lex = spark.createDataFrame([(i, c, lg, p) for i, (c, lg, _, p) in enumerate(rows)],
-                                "phrase_no int, category string, lang string, phrase string")
+    lex = dims.local_table(spark, [(i, c, lg, p) for i, (c, lg, _, p) in enumerate(rows)],
+                           "phrase_no int, category string, lang string, phrase string")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand",
                                                  (F.col("p_partkey") % len(rows)).cast("int").alias("phrase_no"))
     j = p.join(F.broadcast(lex), "phrase_no")
@@ -299,7 +299,7 @@ SEVERITY_BY_LINE = "CASE l_linenumber % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM
 
 def g6_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = dims.taxonomy_names_rows()
-    nm = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(names)], "name_no int, pattern string")
+    nm = dims.local_table(spark, [(i, n) for i, (n, _) in enumerate(names)], "name_no int, pattern string")
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag",
         (F.col("l_partkey") % len(names)).cast("int").alias("name_no"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dom
-from ..operators.findings import classify, overall_risk
+from ..operators.findings import classify_inline, risk_of
 from ..operators.signals import rule_signals
 from ..sources.tables import read_table
 from .fixtures import sql_lexicon, sql_rules, sql_taxonomy
@@ -28,7 +28,8 @@ def host_col(url="url"):
 
 def page_evidence(pages: DataFrame, lexicon=None) -> DataFrame:
     """Per page: host, phrases found in the whole visible text, feature flags."""
-    feats = dom.page_features(pages, max_visible_text=None)
+    feats = dom.page_features(pages, max_visible_text=None, fields=[
+        "visible_text", "preselected_checkboxes", "popup_detected", "small_print", "sticky_elements"])
     sig = rule_signals("visible_text", lexicon)
     return feats.select(
         "page_id", host_col().alias("host"), sig.alias("s"),
@@ -58,14 +59,13 @@ def host_evidence(pe: DataFrame) -> DataFrame:
 
 
 def audit_hosts(pages: DataFrame, lexicon=None) -> DataFrame:
-    ev = host_evidence(page_evidence(pages, lexicon))
-    findings = classify(ev, key="host")
-    risk = overall_risk(findings, sites=ev, key="host")
-    pats = findings.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("pattern")), "|").alias("patterns"))
-    return (ev.select("host", "n_pages").join(risk, "host", "left").join(pats, "host", "left")
-            .select("host", F.col("n_pages").cast("long").alias("n_pages"),
-                    F.col("pattern_count").cast("long").alias("pattern_count"), "overall_risk",
-                    "gdpr_concerns", F.coalesce("patterns", F.lit("")).alias("patterns")))
+    """One exchange: per-host evidence; classification and risk stay inside each host row."""
+    ev = classify_inline(host_evidence(page_evidence(pages, lexicon)))
+    f = F.col("findings")
+    return ev.select("host", F.col("n_pages").cast("long").alias("n_pages"),
+                     F.size(f).cast("long").alias("pattern_count"), risk_of("findings").alias("overall_risk"),
+                     F.exists(f, lambda x: x["gdpr_risk"]).alias("gdpr_concerns"),
+                     F.array_join(F.array_sort(F.transform(f, lambda x: x["pattern"])), "|").alias("patterns"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

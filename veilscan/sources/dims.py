@@ -254,7 +254,7 @@ def lexicon(spark: SparkSession, languages: list[str] | None = None,
         if categories is not None:
             df = df.filter(F.col("category").isin(list(categories)))
         return df
-    return spark.createDataFrame(lexicon_rows(languages, categories), LEXICON_SCHEMA)
+    return local_table(spark, lexicon_rows(languages, categories), LEXICON_SCHEMA)
 
 
 TAXONOMY_SCHEMA = ("ord int, strategy string, level string, pattern string, definition string, "
@@ -272,7 +272,7 @@ def taxonomy_rows():
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(taxonomy_rows(), TAXONOMY_SCHEMA)
+    return local_table(spark, taxonomy_rows(), TAXONOMY_SCHEMA)
 
 
 def taxonomy_names_rows():
@@ -286,7 +286,7 @@ def taxonomy_names_rows():
 
 
 def taxonomy_names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(taxonomy_names_rows(), "name string, pattern string")
+    return local_table(spark, taxonomy_names_rows(), "name string, pattern string")
 
 
 LEGAL_SCHEMA = "legal_reference string, legal_short string, legal_name string, pattern string"
@@ -303,14 +303,60 @@ def legal_rows():
 
 def legal_map(spark: SparkSession) -> DataFrame:
     """(legal_reference, legal_short, legal_name as written, canonical pattern)."""
-    return spark.createDataFrame(legal_rows(), LEGAL_SCHEMA)
+    return local_table(spark, legal_rows(), LEGAL_SCHEMA)
 
 
 RULES_SCHEMA = "kind string, signal string, pattern string, severity string, recommendation string"
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULES_SCHEMA)
+    return local_table(spark, RULES, RULES_SCHEMA)
+
+
+def _sql_lit(v, typ: str) -> str:
+    from ..functions.sqlgen import q
+    if v is None:
+        return f"CAST(NULL AS {typ})"
+    if typ.startswith("array<"):
+        inner = typ[6:-1]
+        if not v:
+            return f"CAST(array() AS {typ})"
+        return "array(" + ", ".join(_sql_lit(x, inner) for x in v) + ")"
+    if typ in ("int", "bigint"):
+        return f"CAST({int(v)} AS {typ})"
+    if typ == "boolean":
+        return "true" if v else "false"
+    return q(str(v))
+
+
+def local_table(spark: SparkSession, rows, ddl: str) -> DataFrame:
+    """A small constant table as a JVM inline table (LocalRelation).
+
+    Unlike ``createDataFrame`` of Python rows (an RDD scanned by Python
+    workers, of unknown size), an inline table has exact statistics, so every
+    join against it is planned as a broadcast join without an exchange.
+    """
+    fields = [f.strip().split(" ", 1) for f in _split_ddl(ddl)]
+    names = [n for n, _ in fields]
+    body = ", ".join("(" + ", ".join(_sql_lit(v, t.strip()) for v, (_, t) in zip(r, fields)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+
+
+def _split_ddl(ddl: str):
+    out, depth, cur = [], 0, ""
+    for ch in ddl:
+        if ch == "<":
+            depth += 1
+        elif ch == ">":
+            depth -= 1
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    if cur.strip():
+        out.append(cur)
+    return out
 
 
 def literal_map(d: dict):
@@ -326,3 +372,28 @@ def lexicon_array(languages: list[str] | None, category: str):
     phrases = [p for c, _, _, p in lexicon_rows(languages, [category])]
     return F.array(*[F.lit(p) for p in phrases]) if phrases else F.array().cast(
         T.ArrayType(T.StringType()))
+
+
+def name_dim_rows():
+    """(name, canonical pattern, level, strategy, definition) for every name and alias."""
+    tax = {p: (lv, st, d) for _, st, lv, p, d, _ in taxonomy_rows()}
+    return [(n, p, *tax[p]) for n, p in taxonomy_names_rows()]
+
+
+def name_dim(spark: SparkSession) -> DataFrame:
+    return local_table(spark, name_dim_rows(),
+                       "name string, canonical_pattern string, tax_level string, tax_strategy string, definition string")
+
+
+def laws_rows():
+    """(pattern, sorted short law labels, sorted law names) per canonical pattern."""
+    by = {}
+    for law, short, _, p in legal_rows():
+        by.setdefault(p, (set(), set()))
+        by[p][0].add(short)
+        by[p][1].add(law)
+    return [(p, sorted(a), sorted(b)) for p, (a, b) in by.items()]
+
+
+def laws_dim(spark: SparkSession) -> DataFrame:
+    return local_table(spark, laws_rows(), "_lp string, laws array<string>, law_names array<string>")
