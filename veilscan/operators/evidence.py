@@ -159,26 +159,35 @@ def first_visits(log: DataFrame) -> DataFrame:
 
 
 def running_evidence(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Accumulator state after each step of a numbered log, plus ``enough``.
+    """Accumulator state after each step, plus ``enough``; one ordered scan.
 
     enough = a screenshot so far, a visited page so far, step >= 6 and any of
     urgency, subscription, hints, preselected input, popup or reject-missing.
+    An unnumbered log (no ``step``) is numbered in the same scan, ordered by
+    (ts, seq). Only the columns the state needs enter the scan.
     """
-    fv = first_visits(log).select("site", F.col("url").alias("visited"), "first_step")
-    flagged = (log.join(fv, ["site", "visited"], "left")
-               .withColumn("_new_visit", F.coalesce(F.col("step") == F.col("first_step"), F.lit(False)))
-               .withColumn("_shot", F.col("shot_path").isNotNull())
-               .withColumn("_sig", _signal_flag())
-               .drop("first_step"))
+    numbered = "step" in log.columns
+    order = ["step"] if numbered else ["ts", "seq"]
+    pos = F.struct(*[F.col(c) for c in order])
+    slim = log.select("site", *order, *([] if numbered else []), "tool", "visited",
+                      F.col("shot_path").isNotNull().cast("long").alias("_shot_n"),
+                      _signal_flag().alias("_sig"), "popup", "reject_missing", pos.alias("_pos"))
+    first = (slim.filter(F.col("visited").isNotNull()).groupBy("site", "visited")
+             .agg(F.min("_pos").alias("_first")))
+    flagged = (slim.join(first, ["site", "visited"], "left")
+               .withColumn("_visit_n", F.coalesce(F.col("_pos") == F.col("_first"), F.lit(False)).cast("long"))
+               .drop("_first", "_pos"))
     aggs = [Agg("shots_so_far", "sum", "_shot_n"), Agg("visited_so_far", "sum", "_visit_n"),
             Agg("signals_so_far", "any", "_sig"), Agg("popup_so_far", "any", "popup"),
             Agg("reject_missing_so_far", "any", "reject_missing")]
-    flagged = (flagged.withColumn("_shot_n", F.col("_shot").cast("long"))
-               .withColumn("_visit_n", F.col("_new_visit").cast("long")))
-    run = ordered_scan(flagged, "site", ["step"], aggs, num_partitions)
+    if not numbered:
+        aggs = [Agg("step", "count")] + aggs
+    run = ordered_scan(flagged, "site", order, aggs, num_partitions)
+    if not numbered:
+        run = run.withColumn("step", F.col("step").cast("int"))
     enough = ((F.col("shots_so_far") > 0) & (F.col("visited_so_far") > 0)
               & (F.col("step") >= MIN_STEPS) & F.col("signals_so_far"))
-    return run.withColumn("enough", enough).drop("_new_visit", "_shot", "_sig", "_shot_n", "_visit_n")
+    return run.withColumn("enough", enough).drop("_sig", "_shot_n", "_visit_n")
 
 
 def stop_steps(running: DataFrame) -> DataFrame:
@@ -188,10 +197,10 @@ def stop_steps(running: DataFrame) -> DataFrame:
 
 def investigation(log: DataFrame, cap: int = DEFAULT_STEP_CAP, num_partitions: int | None = None) -> DataFrame:
     """Steps actually taken: up to the stop step and at most ``cap`` steps."""
-    running = running_evidence(log, num_partitions)
-    stops = stop_steps(running)
+    numbered = log if "step" in log.columns else number_steps(log, num_partitions)
+    stops = stop_steps(running_evidence(numbered, num_partitions))
     limit = F.least(F.coalesce(F.col("stop_step"), F.lit(cap)), F.lit(cap))
-    return running.join(stops, "site").filter(F.col("step") <= limit).drop("stop_step")
+    return numbered.join(stops, "site").filter(F.col("step") <= limit).drop("stop_step")
 
 
 def cap_steps(log: DataFrame, n: int = DEFAULT_STEP_CAP) -> DataFrame:

@@ -81,6 +81,11 @@ def _log(spark, d):
     return G.g3_log(spark, d)
 
 
+def _raw_log(spark, d):
+    """The log without step numbers (for order-free aggregates)."""
+    return G.g3_log(spark, d, numbered=False)
+
+
 def _out_log(df):
     return df.select("site", L("seq").alias("seq"), "tool", "summary", "evidence")
 
@@ -125,7 +130,7 @@ def q_win_step_number(spark, d):
 @query("win_running_evidence", f"""SELECT site, CAST(step AS BIGINT) AS step, shots_so_far, visited_so_far, signals_so_far,
   popup_so_far, reject_missing_so_far, enough FROM {SQL_RUN_ENOUGH}""")
 def q_win_running_evidence(spark, d):
-    r = E.running_evidence(_log(spark, d))
+    r = E.running_evidence(_raw_log(spark, d))
     return r.select("site", L("step").alias("step"), L("shots_so_far").alias("shots_so_far"),
                     L("visited_so_far").alias("visited_so_far"), "signals_so_far", "popup_so_far",
                     "reject_missing_so_far", "enough")
@@ -134,7 +139,7 @@ def q_win_running_evidence(spark, d):
 @query("win_stop_step", f"""SELECT site, CAST(min(CASE WHEN enough THEN step END) AS BIGINT) AS stop_step
   FROM {SQL_RUN_ENOUGH} GROUP BY site""")
 def q_win_stop_step(spark, d):
-    return E.stop_steps(E.running_evidence(_log(spark, d))).select("site", L("stop_step").alias("stop_step"))
+    return E.stop_steps(E.running_evidence(_raw_log(spark, d))).select("site", L("stop_step").alias("stop_step"))
 
 
 @query("win_step_cap", f"SELECT site, CAST(step AS BIGINT) AS step, tool FROM {SQL_INV}")
@@ -153,17 +158,17 @@ def q_win_last_scrape_text(spark, d):
 # --- aggregates -------------------------------------------------------------------------
 @query("agg_step_count", f"SELECT site, CAST(count(*) AS BIGINT) AS step_count FROM {SQL_LOG} GROUP BY site")
 def q_agg_step_count(spark, d):
-    return E.site_evidence(_log(spark, d)).select("site", L("step_count").alias("step_count"))
+    return E.site_evidence(_raw_log(spark, d)).select("site", L("step_count").alias("step_count"))
 
 
 @query("agg_popup", f"SELECT site, bool_or(popup) AS popup_detected FROM {SQL_LOG} GROUP BY site")
 def q_agg_popup(spark, d):
-    return E.site_evidence(_log(spark, d)).select("site", "popup_detected")
+    return E.site_evidence(_raw_log(spark, d)).select("site", "popup_detected")
 
 
 @query("agg_reject_missing", f"SELECT site, bool_or(reject_missing) AS reject_button_missing FROM {SQL_LOG} GROUP BY site")
 def q_agg_reject_missing(spark, d):
-    return E.site_evidence(_log(spark, d)).select("site", "reject_button_missing")
+    return E.site_evidence(_raw_log(spark, d)).select("site", "reject_button_missing")
 
 
 _SQL_SITE_EV = f"""(SELECT site, CAST(count(*) AS BIGINT) AS step_count, CAST(count(shot_path) AS BIGINT) AS screenshots_taken,
@@ -178,7 +183,7 @@ _SQL_SITE_EV = f"""(SELECT site, CAST(count(*) AS BIGINT) AS step_count, CAST(co
 
 @query("agg_site_evidence", f"SELECT * FROM {_SQL_SITE_EV}")
 def q_agg_site_evidence(spark, d):
-    ev = E.site_evidence(_log(spark, d))
+    ev = E.site_evidence(_raw_log(spark, d))
     return ev.select("site", *[L(c).alias(c) if c not in ("popup_detected", "reject_button_missing") else c
                                for c in ev.columns if c != "site"])
 
@@ -187,7 +192,7 @@ def q_agg_site_evidence(spark, d):
   AND step_count >= 6 AND (n_urgency_texts > 0 OR n_subscription_keywords > 0 OR n_dark_pattern_hints > 0
   OR n_preselected > 0 OR popup_detected OR reject_button_missing)""")
 def q_flt_enough_evidence(spark, d):
-    ev = E.site_evidence(_log(spark, d))
+    ev = E.site_evidence(_raw_log(spark, d))
     return ev.filter(E.enough_evidence(ev)).select("site")
 
 

@@ -8,16 +8,38 @@ from pyspark.sql import functions as F
 PAGES_SCHEMA = "page_id long, url string, html string"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table stored in fewer files than the cluster has cores.
+
+    A file with one row group is read by one task however it is split, so
+    row-local CPU work (HTML features, phrase scans, reply parsing) would run
+    on one core. Such an input is small by construction (few files), and a
+    round-robin repartition to the default parallelism is cheap; a large table
+    (many files) is left as it is, with no extra exchange. Filters and column
+    pruning are still pushed below the repartition into the scan.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - non-file sources
+        return df
+    if n_files < cores:
+        return df.repartition(cores)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if balance else df
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Crawl snapshot (page_id, url, html). Column pruning keeps ``html`` out of
     every query that does not select it."""
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.schema(PAGES_SCHEMA).format(fmt).load(path)
+        return spread(spark.read.parquet(path))
+    return spread(spark.read.schema(PAGES_SCHEMA).format(fmt).load(path))
 
 
 def read_responses(spark: SparkSession, path: str, fmt: str = "parquet", key: str = "site",
