@@ -21,7 +21,8 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     try:
-        n_files = len(df.inputFiles())
+        # the file index is already listed for planning; only its length crosses to Python
+        n_files = len(df._jdf.inputFiles())
     except Exception:  # noqa: BLE001 - non-file sources
         return df
     if n_files < cores:
