@@ -2,7 +2,7 @@
 
 The lexicon is a dimension of fixed, small size. ``lexicon_scan`` inlines it
 as literal arrays, so the scan is one row-local projection (lower-case text
-bound once per row, one ``instr`` per phrase). ``lexicon_hits`` is the same
+bound once per row, one ``contains`` per phrase). ``lexicon_hits`` is the same
 match as long rows; with a user lexicon table it is a broadcast nested-loop
 join against that table (size-checked before broadcasting).
 """
@@ -44,13 +44,14 @@ def scan_column(text, category: str, lexicon=None) -> Column:
     rows = _lexicon_rows(lexicon)
     lex = F.array(*[F.lit(p) for p in _phrases(rows, category)]) if _phrases(rows, category) \
         else F.array().cast("array<string>")
-    return bind(F.lower(col(text)), lambda t: F.filter(lex, lambda p: F.instr(t, p) > 0))
+    return bind(F.lower(col(text)), lambda t: F.filter(lex, lambda p: t.contains(p)))
 
 
 def rule_signals(text, lexicon=None, categories: dict | None = None) -> Column:
     """The rule-based extraction record for one text column (one struct).
 
-    Every category is scanned against the same lower-cased text, bound once.
+    Every category is scanned against the same lower-cased text, bound once
+    (``contains`` is a byte search; ``instr`` would count characters too).
     Hints are empty and the language ``unknown``, as for the audited tool's
     fallback.
     """
@@ -62,7 +63,7 @@ def rule_signals(text, lexicon=None, categories: dict | None = None) -> Column:
         for cat, out in cats.items():
             ph = _phrases(rows, cat)
             lex = F.array(*[F.lit(p) for p in ph]) if ph else F.array().cast("array<string>")
-            fields.append(F.filter(lex, lambda p: F.instr(t, p) > 0).alias(out))
+            fields.append(F.filter(lex, lambda p: t.contains(p)).alias(out))
         fields.append(F.array().cast("array<string>").alias("dark_pattern_hints"))
         fields.append(F.lit("unknown").alias("language_detected"))
         return F.struct(*fields)
@@ -73,11 +74,11 @@ def rule_signals(text, lexicon=None, categories: dict | None = None) -> Column:
 def lexicon_scan(df: DataFrame, text_col: str = "text", lexicon=None,
                  prefix: str = "") -> DataFrame:
     """Add the four signal arrays (whole text scanned) to ``df``."""
-    sig = rule_signals(text_col, lexicon)
-    out = df.withColumn("_sig", sig)
-    for c in list(dims.CATEGORY_COLUMNS.values()):
-        out = out.withColumn(prefix + c, F.col("_sig." + c))
-    return out.drop("_sig")
+    out = df.withColumn("_sig", rule_signals(text_col, lexicon))
+    # one projection reads the struct four times, so Catalyst keeps the scan in
+    # its own projection instead of inlining it into every field
+    return out.select(*df.columns, *[F.col("_sig." + c).alias(prefix + c)
+                                     for c in dims.CATEGORY_COLUMNS.values()])
 
 
 def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon=None) -> DataFrame:
@@ -85,7 +86,7 @@ def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon
 
     Default lexicon: literal array of structs filtered per row, then exploded
     (no join, no shuffle). A lexicon DataFrame: broadcast nested-loop join on
-    ``instr(lower(text), lower(pattern)) > 0`` with lower(text) projected once.
+    ``contains(lower(text), lower(pattern))`` with lower(text) projected once.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if lexicon is None or isinstance(lexicon, (list, tuple)):
@@ -94,14 +95,14 @@ def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon
                                  F.lit(o).alias("ord"), F.lit(p.lower()).alias("pattern"))
                         for c, lg, o, p in rows])
         hits = bind(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
-                    lambda t: F.filter(lex, lambda s: F.instr(t, s["pattern"]) > 0))
+                    lambda t: F.filter(lex, lambda s: t.contains(s["pattern"])))
         return df.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
     n = lexicon.limit(MAX_LEXICON_ROWS + 1).count()
     if n > MAX_LEXICON_ROWS:
         raise ValueError("lexicon too large to broadcast")
     lex = lexicon.select("category", "lang", "ord", F.lower("pattern").alias("pattern"))
     texts = df.select(*keys, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    return (texts.join(F.broadcast(lex), F.instr(F.col("_lt"), F.col("pattern")) > 0)
+    return (texts.join(F.broadcast(lex), F.col("_lt").contains(F.col("pattern")))
             .select(*keys, "category", "lang", "ord", "pattern"))
 
 
