@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..sources import dims
-from .signals import response_json
+from .signals import is_array, is_object, response_json
 
 FINDING_FIELDS = ["pattern", "level", "high_level_strategy", "severity", "evidence", "location",
                   "gdpr_risk", "legal_reference", "recommendation"]
@@ -33,7 +33,7 @@ def _vt(v: Column, path: str) -> Column:
 
 def _finding_ok(f: Column) -> Column:
     """A finding (variant) has all nine keys with values a typed model accepts."""
-    ok = F.coalesce(F.schema_of_variant(f).startswith("OBJECT"), F.lit(False))
+    ok = is_object(f)
     for k in FINDING_FIELDS:
         t = _vt(f, f"$.{k}")
         if k == "gdpr_risk":
@@ -49,13 +49,12 @@ def _finding_ok(f: Column) -> Column:
 def report_status(raw) -> Column:
     """Struct(v, status, error): parse a reply and classify the three failures."""
     v = response_json(raw)
-    obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    obj = is_object(v)
     keys_ok = obj
     for k in REPORT_KEYS:
         keys_ok = keys_ok & F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
     items = F.try_variant_get(v, "$.dark_patterns_found", "array<variant>")
-    findings_ok = F.coalesce(F.forall(items, _finding_ok), F.lit(False)) & \
-        F.coalesce(_vt(v, "$.dark_patterns_found").startswith("ARRAY"), F.lit(False))
+    findings_ok = F.coalesce(F.forall(items, _finding_ok), F.lit(False)) & is_array(v, "$.dark_patterns_found")
     scalars_ok = (F.coalesce(_vt(v, "$.gdpr_concerns") == "BOOLEAN", F.lit(False))
                   & F.coalesce(_vt(v, "$.pattern_count") == "BIGINT", F.lit(False))
                   & F.coalesce(_vt(v, "$.overall_risk") == "STRING", F.lit(False))

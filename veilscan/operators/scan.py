@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 OPS = ("count", "sum", "max", "min", "any", "last")
 
@@ -150,6 +150,7 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
         if a.op == "last" and a.frame == "before":
             raise ValueError("'last' supports only frame='upto'; shift the input instead")
     n = num_partitions or shuffle_partitions(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)  # the cluster's shared folder; a scratch one only if unset
     in_cols = df.columns + ["_pid"]
     ranged = (df.repartitionByRange(n, key, *order)
               .withColumn("_pid", F.spark_partition_id())

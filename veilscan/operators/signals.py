@@ -156,15 +156,25 @@ def response_json(raw, mode: str = "fenced") -> Column:
 
 
 def _vtype(v: Column, key: str) -> Column:
+    """Type name of a scalar at ``$.key`` (only used on scalars: cheap)."""
     return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
 
 
+def is_object(v: Column, path: str = "$") -> Column:
+    """The value at ``path`` is a JSON object (cast test; no schema string built)."""
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
+
+
+def is_array(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
+
+
 def valid_signals(v) -> Column:
     """Reply is an object with five list fields and a string language."""
     v = col(v)
-    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    ok = is_object(v)
     for k in dims.SIGNAL_COLUMNS:
-        ok = ok & F.coalesce(_vtype(v, k).startswith("ARRAY"), F.lit(False))
+        ok = ok & is_array(v, f"$.{k}")
     return ok & F.coalesce(_vtype(v, "language_detected") == "STRING", F.lit(False))
 
 

@@ -10,6 +10,7 @@ from ..operators.scan import Agg, ordered_scan
 from ..session import ensure_checkpoint_dir
 from ..sources import dims
 from ..sources.sinks import report_json
+from ..operators.signals import is_object
 from ..sources.tables import read_responses, read_table
 from . import fixtures as G
 from .registry import L, query
@@ -57,7 +58,7 @@ def q_src_responses(spark, d):
     G.g5_analyst_replies(spark, d).select("site", "raw").write.mode("overwrite").json(path)
     r = read_responses(spark, path, fmt="json")
     v = FN.response_json("raw")
-    return r.select("site", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"))
+    return r.select("site", is_object(v).alias("is_object"))
 
 
 # --- joins with dimensions ----------------------------------------------------------

@@ -41,7 +41,9 @@ def q_src_failed_pages(spark, d):
        "left(regexp_replace(replace(replace(url, 'https://', ''), 'http://', ''), '[^\\p{L}\\p{N}]', '_', 'g'), 50) || '_' || "
        "strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 3600), '%Y%m%d_%H%M%S') AS shot_key FROM pages")
 def q_sink_report_key(spark, d):
-    p = _pages(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 3600))
+    # a time-zone-free timestamp: the key does not depend on the session's zone
+    base = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    p = _pages(spark, d).withColumn("ts", base + F.make_dt_interval(secs=(F.col("page_id") * 3600).cast("decimal(18,6)")))
     return p.select("page_id", report_key("url", "ts").alias("report_key"),
                     report_key("url", "ts", strip_scheme=True).alias("shot_key"))
 
