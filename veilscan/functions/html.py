@@ -154,7 +154,7 @@ def meta_description_sql(h: str, m: str, limit: int = 300) -> str:
 
 
 def links_sql(cleaned: str, m: str, limit: int | None = 50) -> str:
-    has_href = S.lam(lambda t: with_attrs_sql(t, m, lambda g, has: has("href")))
+    has_href = S.lam(lambda t: f"({t} rlike '(?i)href' AND " + with_attrs_sql(t, m, lambda g, has: has("href")) + ")")
     href = S.lam(lambda t: with_attrs_sql(t, m, lambda g, has: g("href")))
     hrefs = f"transform(filter({start_tags_sql(cleaned, 'a')}, {has_href}), {href})"
     return f"slice({hrefs}, 1, {limit})" if limit else hrefs
@@ -276,8 +276,9 @@ def _style_sql(g) -> str:
 
 def sticky_sql(cleaned: str, m: str, limit: int | None = 5) -> str:
     def pred(tag, name):
-        return with_attrs_sql(tag, m, lambda g, has: (
+        exact = with_attrs_sql(tag, m, lambda g, has: (
             f"({has('style')} AND replace({_style_sql(g)}, ' ', '') rlike 'position:fixed|position:sticky')"))
+        return f"({tag} rlike {S.q(STYLE_HINT_RE)} AND {exact})"
 
     def run(toks):
         cut = S.lam(lambda s: f"substr({s}, 1, 100)")
@@ -294,9 +295,11 @@ def small_print_sql(cleaned: str, m: str, limit: int | None = 10) -> str:
         return f"{name} IN ('small', 'sup', 'sub')"
 
     def styled(tag, name):
-        return with_attrs_sql(tag, m, lambda g, has: (
+        exact = with_attrs_sql(tag, m, lambda g, has: (
             f"({has('style')} AND coalesce(try_cast(regexp_extract({_style_sql(g)}, "
             f"{S.q(FONT_SIZE_RE)}, 1) AS bigint) <= 11, false))"))
+        # cheap guard first: only tags that mention a style attribute are parsed
+        return f"({tag} rlike {S.q(STYLE_HINT_RE)} AND {exact})"
 
     def run(toks):
         both = f"concat({element_texts_sql(toks, m, tagged)}, {element_texts_sql(toks, m, styled)})"
