@@ -312,18 +312,20 @@ def q_agg_summary_text(spark, d):
 
 def _site_findings(spark, d):
     """Classify the evidence of every site's whole log (rules table)."""
-    lg = _log(spark, d)
+    lg = _raw_log(spark, d)
+    # phrases: exploded first, so the per-site set holds strings of the lexicon only
+    phrases = (lg.select("site", F.explode(F.array_distinct(F.concat(
+        "urgency_texts", "subscription_keywords", "consent_accept", "consent_reject"))).alias("p"))
+        .groupBy("site").agg(F.array_sort(F.collect_set("p")).alias("phrases")))
     ev = lg.groupBy("site").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(
-            "urgency_texts", "subscription_keywords", "consent_accept", "consent_reject")))))
-        .alias("phrases"),
         F.array_compact(F.array(F.when(F.max(F.size("subscription_keywords")) > 0, F.lit("subscription"))))
         .alias("categories"),
         F.bool_or(F.size("preselected") > 0).alias("has_preselected"),
         F.bool_or("reject_missing").alias("reject_button_missing"),
         F.bool_or("popup").alias("popup_detected"),
         F.bool_or(F.col("n_small_print") > 0).alias("has_small_print"))
-    return classify(ev, key="site")
+    # one row per site on both sides: no key can be hot in this join
+    return classify(ev.join(phrases, "site", "left"), key="site")
 
 
 _SQL_CLASSIFY = f"""WITH ph AS (SELECT DISTINCT site, unnest(list_concat(urgency_texts, subscription_keywords, consent_accept, consent_reject)) AS p FROM {SQL_LOG}),
