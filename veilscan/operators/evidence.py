@@ -370,3 +370,15 @@ def landing_scrapes(log: DataFrame, num_partitions: int | None = None) -> DataFr
         .withColumn("_neg", -F.col("step")).withColumn("_is_nav", F.col("_scr").isNull())
     out = ordered_scan(both, "_k", ["_neg"], [Agg("landing_seq", "last", "_scr")], num_partitions)
     return out.filter(F.col("_is_nav")).select("site", "url", "step", "seq", "landing_seq")
+
+
+def price_changed(log: DataFrame) -> DataFrame:
+    """(site, price_changed): the prices of the first and the last priced step differ.
+
+    ``min_by``/``max_by`` over (ts, seq) are aggregates (partial aggregation),
+    so no ordering of a whole site is needed.
+    """
+    priced = log.filter(F.size("prices") > 0)
+    pos = F.struct("ts", "seq")
+    return priced.groupBy("site").agg(
+        (F.array_sort(F.min_by("prices", pos)) != F.array_sort(F.max_by("prices", pos))).alias("price_changed"))

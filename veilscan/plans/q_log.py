@@ -324,19 +324,24 @@ def _site_findings(spark, d):
         F.bool_or("reject_missing").alias("reject_button_missing"),
         F.bool_or("popup").alias("popup_detected"),
         F.bool_or(F.col("n_small_print") > 0).alias("has_small_print"))
-    # one row per site on both sides: no key can be hot in this join
-    return classify(ev.join(phrases, "site", "left"), key="site")
+    # one row per site on every side: no key can be hot in these joins
+    ev = ev.join(phrases, "site", "left").join(E.price_changed(lg), "site", "left") \
+        .withColumn("price_changed", F.coalesce("price_changed", F.lit(False)))
+    return classify(ev, key="site")
 
 
 _SQL_CLASSIFY = f"""WITH ph AS (SELECT DISTINCT site, unnest(list_concat(urgency_texts, subscription_keywords, consent_accept, consent_reject)) AS p FROM {SQL_LOG}),
   fl AS (SELECT site, bool_or(n_pre > 0) AS pre, bool_or(reject_missing) AS rm, bool_or(popup) AS pop, bool_or(n_small > 0) AS sm,
          bool_or(len(subscription_keywords) > 0) AS sub FROM {SQL_LOG} GROUP BY site),
+  pc AS (SELECT site, list_sort(arg_min(prices, (ts, seq))) <> list_sort(arg_max(prices, (ts, seq))) AS changed
+         FROM {SQL_LOG} WHERE len(prices) > 0 GROUP BY site),
   sig AS (SELECT site, 'phrase' AS kind, p AS signal FROM ph
     UNION ALL SELECT site, 'category', 'subscription' FROM fl WHERE sub
     UNION ALL SELECT site, 'flag', 'has_preselected' FROM fl WHERE pre
     UNION ALL SELECT site, 'flag', 'reject_button_missing' FROM fl WHERE rm
     UNION ALL SELECT site, 'flag', 'popup_detected' FROM fl WHERE pop
-    UNION ALL SELECT site, 'flag', 'has_small_print' FROM fl WHERE sm),
+    UNION ALL SELECT site, 'flag', 'has_small_print' FROM fl WHERE sm
+    UNION ALL SELECT site, 'flag', 'price_changed' FROM pc WHERE changed),
   fp AS (SELECT s.site, r.pattern, any_value(r.severity) AS severity,
       any_value(CASE WHEN r.kind = 'phrase' THEN 'urgency' ELSE r.signal END) AS instance,
       array_to_string(list_sort(list(DISTINCT s.signal)), ', ') AS evidence
