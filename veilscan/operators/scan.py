@@ -8,9 +8,9 @@ the data. ``ordered_scan`` computes the same running values in three steps:
    hot key spreads over many consecutive partitions, and sort each partition;
 2. in each partition, running values per key (pandas over Arrow batches,
    state carried across batches);
-3. the scanned partitions are checkpointed (pins the partitioning), then per
-   (partition, key) totals, and for every key its combined totals of the
-   earlier partitions it spans. Only the first key of a partition can start in
+3. the scanned rows are written once to the shared checkpoint folder (pins
+   the partitioning), then per (partition, key) totals, and for every key its
+   combined totals of the earlier partitions it spans. Only the first key of a partition can start in
    an earlier one, so the carry table has at most one row per partition: its
    size is bounded by the partition count and it is broadcast.
 
@@ -21,6 +21,7 @@ value). Frame ``"upto"`` includes the current row, ``"before"`` excludes it.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -150,7 +151,7 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
         if a.op == "last" and a.frame == "before":
             raise ValueError("'last' supports only frame='upto'; shift the input instead")
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    ensure_checkpoint_dir(df.sparkSession)  # the cluster's shared folder; a scratch one only if unset
+    base = ensure_checkpoint_dir(df.sparkSession)  # the cluster's shared folder; a scratch one only if unset
     in_cols = df.columns + ["_pid"]
     ranged = (df.repartitionByRange(n, key, *order)
               .withColumn("_pid", F.spark_partition_id())
@@ -160,10 +161,14 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
     int_outs = {a.out for a in aggs
                 if isinstance(_spark_type(df, a), (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
     # Range boundaries come from a sample seeded per execution, so two readers
-    # of the range shuffle may see different partitions. A reliable checkpoint
-    # (written to the cluster's checkpoint folder) pins one partitioning for
-    # both the carry totals and the final join, and cuts lineage.
-    local = ranged.mapInPandas(_local_scan(key, aggs, in_cols, int_outs), schema).checkpoint(eager=True)
+    # of the range shuffle may see different partitions. The scanned rows are
+    # written once as a table in the cluster's shared checkpoint folder (the
+    # partition id is a column, so every reader agrees on it), which also cuts
+    # lineage: a lost executor never forces the range shuffle to be redone.
+    # (An eager checkpoint() would run the scan twice: once to count, once to write.)
+    path = f"{base.rstrip('/')}/ordered_scan_{uuid.uuid4().hex}"
+    ranged.mapInPandas(_local_scan(key, aggs, in_cols, int_outs), schema).write.parquet(path)
+    local = df.sparkSession.read.parquet(path)
 
     # totals per (partition, key); only keys spanning partitions need a carry
     tot_exprs = []
