@@ -373,11 +373,20 @@ def q_agg_completion_counts(spark, d):
                     E.run_stats("step_count", "shots", "n").alias("stats"))
 
 
-@query("rec_prompt")
+def _sql_prompt():
+    from .prompts import template
+    fixed = len(template()) - len("{evidence_summary}") - len("{screenshot_count}")
+    return f"""SELECT site, CAST({fixed} + length(evidence_summary) + length(CAST(screenshot_count AS VARCHAR)) AS BIGINT)
+  AS prompt_chars, starts_with(evidence_summary, 'Investigation of: ') AS has_summary FROM ({SQL_SUMMARY_TEXT})"""
+
+
+@query("rec_prompt", _sql_prompt)
 def q_rec_prompt(spark, d):
-    """Rows only: analyst prompt per site from its investigation summary."""
+    """Analyst prompt per site from its investigation summary (length and content checked)."""
     inv = E.investigation(_log(spark, d), cap=10)
-    return analyst_prompts(E.evidence_summary(inv)).select("site", F.length("prompt").alias("prompt_chars"))
+    p = analyst_prompts(E.evidence_summary(inv))
+    return p.select("site", L(F.length("prompt")).alias("prompt_chars"),
+                    F.col("prompt").contains("Investigation of: ").alias("has_summary"))
 
 
 # --- screenshot files ---------------------------------------------------------------------------

@@ -303,9 +303,15 @@ def q_flt_finding_valid(spark, d):
 
 
 # --- extension surface -----------------------------------------------------------
-@query("udf_scorer")
+def _sql_scorer():
+    arr = _lexarr("urgency")
+    return f"""SELECT doc_id, true AS valid,
+  array_to_string(list_filter({arr}, lambda p: contains(lower(text), p)), '|') AS urgency FROM documents"""
+
+
+@query("udf_scorer", _sql_scorer)
 def q_udf_scorer(spark, d):
-    """Rows-only: default scorer over all documents, replies parsed and validated."""
+    """Default scorer over all documents (Arrow batches), replies parsed and validated."""
     raw = score_texts(_docs(spark, d), "doc_id", "text")
     v = S.response_json("raw")
     return raw.select("doc_id", S.valid_signals(v).alias("valid"),
