@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, join_nonempty, py_list_repr
-from .scan import Agg, ordered_scan
+from .scan import Agg, materialize, ordered_scan
 
 SIGNALS = ["urgency_texts", "subscription_keywords", "consent_accept", "consent_reject",
            "dark_pattern_hints"]
@@ -177,6 +177,9 @@ def running_evidence(log: DataFrame, num_partitions: int | None = None) -> DataF
     flagged = (slim.join(first, ["site", "visited"], "left")
                .withColumn("_visit_n", F.coalesce(F.col("_pos") == F.col("_first"), F.lit(False)).cast("long"))
                .drop("_first", "_pos"))
+    # the scan reads its input in several pruned passes: write the slim joined
+    # input once so the join is not recomputed in each of them
+    flagged = materialize(flagged, "running_input")
     aggs = [Agg("shots_so_far", "sum", "_shot_n"), Agg("visited_so_far", "sum", "_visit_n"),
             Agg("signals_so_far", "any", "_sig"), Agg("popup_so_far", "any", "popup"),
             Agg("reject_missing_so_far", "any", "reject_missing")]

@@ -72,21 +72,26 @@ def window_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg]) -> D
     return out
 
 
-def _local_scan(key: str, aggs: list[Agg], in_cols: list[str], int_outs: set[str]):
-    """Per-partition running values; rows arrive sorted by (key, order).
+def _local_scan(gcols: list[str], aggs: list[Agg], in_cols: list[str], int_outs: set[str]):
+    """Per-partition running values; rows arrive sorted by (group columns, order).
 
-    A key may continue across Arrow batches: the running values at the last
-    row of a batch are carried into the next batch for rows of that key.
+    Groups are runs of equal ``gcols`` values. A group may continue across
+    Arrow batches: the running values at the last row of a batch are carried
+    into the next batch for rows of that group.
     """
 
-    def running(pdf, a):
-        grp = pdf[key]
+    def group_ids(pdf):
+        g = pdf[gcols]
+        changed = (g != g.shift(1)).any(axis=1)
+        return changed.cumsum()
+
+    def running(pdf, gid, a):
         if a.op == "count":
-            return pdf.groupby(key, sort=False).cumcount().astype("float64") + 1
+            return pdf.groupby(gid, sort=False).cumcount().astype("float64") + 1
         v = pdf[a.col]
         if a.op == "any":
-            return v.fillna(False).astype(bool).astype("int8").groupby(grp, sort=False).cummax().astype(bool)
-        g = v.groupby(grp, sort=False)
+            return v.fillna(False).astype(bool).astype("int8").groupby(gid, sort=False).cummax().astype(bool)
+        g = v.groupby(gid, sort=False)
         if a.op == "sum":
             return g.cumsum()
         if a.op == "max":
@@ -109,17 +114,23 @@ def _local_scan(key: str, aggs: list[Agg], in_cols: list[str], int_outs: set[str
         return s.where(~same | s.notna(), prev)
 
     def run(batches):
-        state = None  # (key value, {out: running value at the last row})
+        state = None  # (tuple of group values, {out: running value at the last row})
         for pdf in batches:
             if pdf.empty:
                 continue
             pdf = pdf.reset_index(drop=True)
-            same = (pdf[key] == state[0]) if state is not None else pd.Series(False, index=pdf.index)
-            prev_same = pdf[key].shift(1) == pdf[key]
+            gid = group_ids(pdf)
+            if state is not None:
+                first = tuple(pdf[c].iloc[0] for c in gcols)
+                cont = first == state[0]
+                same = (gid == gid.iloc[0]) if cont else pd.Series(False, index=pdf.index)
+            else:
+                same = pd.Series(False, index=pdf.index)
+            prev_same = gid.shift(1) == gid
             out = pdf[in_cols].copy()
             new_state = {}
             for a in aggs:
-                upto = add_carry(running(pdf, a), a, state[1][a.out] if state else None, same)
+                upto = add_carry(running(pdf, gid, a), a, state[1][a.out] if state else None, same)
                 new_state[a.out] = upto.iloc[-1]
                 if a.frame == "before":
                     if a.op == "count":
@@ -136,20 +147,182 @@ def _local_scan(key: str, aggs: list[Agg], in_cols: list[str], int_outs: set[str
                 elif a.op == "any":
                     val = val.astype(object).where(val.notna(), None)
                 out[a.out] = val
-            state = (pdf[key].iloc[-1], new_state)
+            state = (tuple(pdf[c].iloc[-1] for c in gcols), new_state)
             yield out
 
     return run
 
 
+def materialize(df: DataFrame, name: str = "scan_input") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For scan inputs whose plan holds shuffles (joins, aggregates): the scan
+    reads its input in several column-pruned passes, and a written table makes
+    each pass a plain scan. Also cuts lineage (no recomputation on executor loss).
+    """
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _norm(df: DataFrame, c: str):
+    """A comparable form of a key/order column (string or number), monotone in
+    Spark's ordering with nulls first; None if the type has no literal form."""
+    t = df.schema[c].dataType
+    col = F.col(c)
+    if isinstance(t, T.StringType):
+        return F.coalesce(col, F.lit("")), "s"
+    if isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return F.coalesce(col.cast("long"), F.lit(-(2 ** 63)).cast("long")), "n"
+    if isinstance(t, T.BooleanType):
+        return F.coalesce(col.cast("long"), F.lit(-1).cast("long")), "n"
+    if isinstance(t, T.DoubleType) or isinstance(t, T.FloatType):
+        return F.coalesce(col.cast("double"), F.lit(float("-inf"))), "d"
+    if isinstance(t, T.TimestampType):
+        return F.coalesce(F.unix_micros(col), F.lit(-(2 ** 63)).cast("long")), "n"
+    if isinstance(t, (T.TimestampNTZType, T.DateType)):
+        fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS" if isinstance(t, T.TimestampNTZType) else "yyyy-MM-dd"
+        return F.coalesce(F.date_format(col, fmt), F.lit("")), "s"
+    return None
+
+
+def _lit_sql(v, kind: str) -> str:
+    from ..functions.sqlgen import q
+    if kind == "s":
+        return q(v)
+    if kind == "n":
+        return f"CAST({int(v)} AS BIGINT)"
+    return "CAST('-Infinity' AS DOUBLE)" if v == float("-inf") else f"CAST({float(v)!r} AS DOUBLE)"
+
+
 def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
                  num_partitions: int | None = None) -> DataFrame:
-    """Running per-key aggregates in ``order`` (must be a total order within a key)."""
+    """Running per-key aggregates in ``order`` (must be a total order within a key).
+
+    Rows are cut into chunks that are contiguous ranges of (key, order): the
+    boundaries are read from a seeded sample of the key/order columns only,
+    and each row's chunk is a binary search of its values over them, so the
+    chunk id is a pure function of the row and every reader agrees on it.
+    Chunks are spread by hash; each is scanned in order in pandas; per-chunk
+    totals (a column-pruned aggregate) give every key the carry of its
+    earlier chunks. At most one key per chunk continues from earlier chunks,
+    so the carry table has fewer rows than chunks and is broadcast.
+    Nothing is materialised and the input's expensive columns are computed
+    once (the sample and the totals read only the columns they need).
+    """
     for a in aggs:
         if a.op not in OPS:
             raise ValueError(f"unsupported op {a.op}")
         if a.op == "last" and a.frame == "before":
             raise ValueError("'last' supports only frame='upto'; shift the input instead")
+    norms = [_norm(df, c) for c in [key, *order]]
+    if any(x is None for x in norms):
+        return _ordered_scan_written(df, key, order, aggs, num_partitions)
+    spark = df.sparkSession
+    n = num_partitions or shuffle_partitions(spark)
+    names = [f"c{i}" for i in range(len(norms))]
+    # 1. boundaries from a bounded, seeded sample (about 20 rows per chunk)
+    total = df.count()
+    fraction = min(1.0, 20.0 * n / max(total, 1))
+    sample = (df.select(*[e.alias(nm) for nm, (e, _) in zip(names, norms)])
+              .sample(withReplacement=False, fraction=fraction, seed=20241202)
+              .orderBy(*names).collect())
+    bounds, last = [], None
+    for j in range(1, n):
+        if not sample:
+            break
+        b = tuple(sample[min(len(sample) - 1, j * len(sample) // n)])
+        if b != last:
+            bounds.append(b)
+            last = b
+    # 2. chunk id: a deterministic function of each row's own values
+    arr = "array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{nm}', {_lit_sql(v, kind)}" for nm, v, (_, kind) in zip(names, b, norms)) + ")"
+        for b in bounds) + ")" if bounds else None
+    m = len(bounds)
+    depth = max(1, m.bit_length() + 1)
+    vstruct = F.struct(*[e.alias(nm) for nm, (e, _) in zip(names, norms)])
+    if arr is None:
+        chunk = F.lit(0)
+    else:
+        mid = "CAST((acc.lo + acc.hi) div 2 AS INT)"
+        search = (f"aggregate(sequence(1, {depth}), named_struct('lo', 0, 'hi', {m}), (acc, i) -> "
+                  f"CASE WHEN acc.lo < acc.hi THEN (CASE WHEN element_at(_b, {mid} + 1) <= _cv "
+                  f"THEN named_struct('lo', {mid} + 1, 'hi', acc.hi) "
+                  f"ELSE named_struct('lo', acc.lo, 'hi', {mid}) END) ELSE acc END).lo")
+        chunk = F.expr(f"transform(array({arr}), _b -> {search})[0]")
+    chunked = df.withColumn("_cv", vstruct).withColumn("_chunk", chunk).drop("_cv")
+    in_cols = df.columns + ["_chunk"]
+    # 3. local running values per (chunk, key), chunks spread by hash
+    spread = chunked.repartition(n, "_chunk").sortWithinPartitions("_chunk", key, *order)
+    schema = T.StructType(list(spread.schema.fields) + [
+        T.StructField(a.out, _spark_type(df, a), True) for a in aggs])
+    int_outs = {a.out for a in aggs
+                if isinstance(_spark_type(df, a), (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
+    local = spread.mapInPandas(_local_scan(["_chunk", key], aggs, in_cols, int_outs), schema)
+    # 4. totals per (chunk, key) -> carry of the earlier chunks of each key
+    tot_exprs = []
+    for a in aggs:
+        if a.op == "count":
+            tot_exprs.append(F.count(F.lit(1)).alias(a.out))
+        elif a.op == "sum":
+            tot_exprs.append(F.sum(a.col).alias(a.out))
+        elif a.op == "max":
+            tot_exprs.append(F.max(a.col).alias(a.out))
+        elif a.op == "min":
+            tot_exprs.append(F.min(a.col).alias(a.out))
+        elif a.op == "any":
+            tot_exprs.append(F.coalesce(F.bool_or(a.col), F.lit(False)).alias(a.out))
+        else:
+            tot_exprs.append(F.max_by(F.col(a.col), F.when(F.col(a.col).isNotNull(),
+                                                            F.struct(*order))).alias(a.out))
+    tot = chunked.groupBy("_chunk", key).agg(*tot_exprs)
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry_cols = []
+    for a in aggs:
+        c = F.col(a.out)
+        if a.op in ("count", "sum"):
+            e = F.sum(c).over(earlier)
+        elif a.op == "max":
+            e = F.max(c).over(earlier)
+        elif a.op == "min":
+            e = F.min(c).over(earlier)
+        elif a.op == "any":
+            e = F.bool_or(c).over(earlier)
+        else:
+            e = F.last(c, ignorenulls=True).over(earlier)
+        carry_cols.append(e.alias("_c_" + a.out))
+    first = F.min("_chunk").over(Window.partitionBy(key))
+    carry = (tot.select("_chunk", key, first.alias("_first"), *carry_cols)
+             .filter(F.col("_chunk") > F.col("_first")).drop("_first"))
+    # fewer carry rows than chunks (one continuing key per chunk at most): broadcast
+    joined = local.join(F.broadcast(carry), ["_chunk", key], "left")
+    return joined.select(*[F.col(c) for c in df.columns], *_combine_cols(df, aggs))
+
+
+def _combine_cols(df: DataFrame, aggs: list[Agg]):
+    out = []
+    for a in aggs:
+        loc, car = F.col(a.out), F.col("_c_" + a.out)
+        if a.op in ("count", "sum"):
+            e = F.when(car.isNull(), loc).otherwise(F.coalesce(loc, F.lit(0)) + car)
+        elif a.op == "max":
+            e = F.greatest(loc, car)
+        elif a.op == "min":
+            e = F.least(loc, car)
+        elif a.op == "any":
+            e = F.coalesce(loc, F.lit(False)) | F.coalesce(car, F.lit(False))
+        else:
+            e = F.coalesce(loc, car)
+        out.append(e.cast(_spark_type(df, a)).alias(a.out))
+    return out
+
+
+def _ordered_scan_written(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
+                 num_partitions: int | None = None) -> DataFrame:
+    """Fallback for order columns without a comparable literal form: range
+    partitioning, scanned rows written once to the shared folder."""
     n = num_partitions or shuffle_partitions(df.sparkSession)
     base = ensure_checkpoint_dir(df.sparkSession)  # the cluster's shared folder; a scratch one only if unset
     in_cols = df.columns + ["_pid"]
@@ -167,7 +340,7 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
     # lineage: a lost executor never forces the range shuffle to be redone.
     # (An eager checkpoint() would run the scan twice: once to count, once to write.)
     path = f"{base.rstrip('/')}/ordered_scan_{uuid.uuid4().hex}"
-    ranged.mapInPandas(_local_scan(key, aggs, in_cols, int_outs), schema).write.parquet(path)
+    ranged.mapInPandas(_local_scan([key], aggs, in_cols, int_outs), schema).write.parquet(path)
     local = df.sparkSession.read.parquet(path)
 
     # totals per (partition, key); only keys spanning partitions need a carry
