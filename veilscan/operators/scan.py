@@ -2,21 +2,25 @@
 
 ``Window.partitionBy(site).orderBy(ts)`` sends every row of a site to one
 task; a site holding a third of all rows would make that task hold a third of
-the data. ``ordered_scan`` computes the same running values in three steps:
-
-1. range-partition on (key, order...) with an explicit partition count, so a
-   hot key spreads over many consecutive partitions, and sort each partition;
-2. in each partition, running values per key (pandas over Arrow batches,
-   state carried across batches);
-3. the scanned rows are written once to the shared checkpoint folder (pins
-   the partitioning), then per (partition, key) totals, and for every key its
-   combined totals of the earlier partitions it spans. Only the first key of a partition can start in
-   an earlier one, so the carry table has at most one row per partition: its
-   size is bounded by the partition count and it is broadcast.
+the data. ``ordered_scan`` computes the same running values in four steps:
+
+1. chunk boundaries: a seeded sample of the (key, order) columns only, sorted,
+   cut into ``n`` ranges (about 20 sampled rows per chunk reach the driver);
+2. each row's chunk: a binary search of its own (key, order) values over the
+   boundaries, so the chunk id is a pure function of the row, the same in
+   every pass, and a hot key simply spans many chunks;
+3. chunks spread by hash; each partition sorted by (chunk, key, order) and
+   scanned in pandas over Arrow batches (state carried across batches);
+4. per (chunk, key) totals from a column-pruned aggregate; for every key the
+   combined totals of its earlier chunks. Only the first key of a chunk can
+   continue from an earlier one, so the carry table has fewer rows than
+   chunks and is broadcast.
 
 Supported operators (all associative): ``count`` (running row number),
 ``sum``, ``max``, ``min``, ``any`` (boolean or) and ``last`` (last non-null
 value). Frame ``"upto"`` includes the current row, ``"before"`` excludes it.
+Order columns without a literal form fall back to range partitioning with the
+scanned rows written once to the shared checkpoint folder.
 """
 
 from __future__ import annotations
