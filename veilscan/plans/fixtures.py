@@ -278,10 +278,10 @@ def g5_analyst_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.lit("true"), F.lit("null"), F.lit("Require explicit opt-in"), drop_location=True)
 
     def report(findings, risk, count, with_summary=True):
+        summary = F.concat(F.lit('"overall_summary": "Order '), key, F.lit(' audit", ')) if with_summary \
+            else F.lit("")
         return F.concat(F.lit('{"dark_patterns_found": ['), findings, F.lit('], "overall_risk": "'), F.lit(risk),
-                        F.lit('", ') if True else F.lit(""),
-                        F.concat(F.lit('"overall_summary": "Order '), key, F.lit(' audit", ')) if with_summary
-                        else F.lit(""),
+                        F.lit('", '), summary,
                         F.lit('"gdpr_concerns": '), F.lit("true" if count else "false"),
                         F.lit(', "pattern_count": '), F.lit(str(count)), F.lit(', "language_detected": "en"}'))
 

@@ -9,7 +9,7 @@ from ..operators import dom
 from ..sources.tables import read_table
 from ..sources.sinks import report_key
 from . import fixtures as G
-from .registry import SQL_WS, J, L, query, sql_clean, sql_j, sql_text_nodes, sql_unescape, sql_visible
+from .registry import SQL_WS, J, L, query, sql_clean, sql_unescape, sql_visible
 
 
 def _pages(spark, d):
@@ -229,5 +229,3 @@ def q_jn_subtree(spark, d):
     pred = lambda tag, name: f"({name} IN ('div', 'p') AND {tag} rlike 'style=')"
     return dom.subtree_texts(G.g2_form_pages(spark, d), pred).select("page_id", L("ord").alias("ord"), "text")
 
-
-del sql_text_nodes  # imported for symmetry with the Spark helpers

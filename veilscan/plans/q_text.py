@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cap, distinct_list, join_nonempty, left, lower_text, strip, union_signals
 from ..operators import signals as S
-from ..operators.findings import FINDING_FIELDS, _finding_ok, explode_findings, parse_reports, report_status
+from ..operators.findings import _finding_ok, parse_reports, report_status
 from ..operators.scoring import score_texts
 from ..sources import dims
 from ..sources.tables import read_table
@@ -317,5 +317,3 @@ def q_udf_scorer(spark, d):
     return raw.select("doc_id", S.valid_signals(v).alias("valid"),
                       F.array_join(F.try_variant_get(v, "$.urgency_texts", "array<string>"), "|").alias("urgency"))
 
-
-del FINDING_FIELDS, explode_findings

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..operators.signals import rule_signals
 from ..plans.flagship import page_evidence
 from ..session import ensure_checkpoint_dir
 
@@ -101,5 +100,3 @@ def streaming_log(spark: SparkSession, in_dir: str) -> DataFrame:
     return E.build_log(E.scrape_log(view), E.extract_log(purchase), E.screenshot_log(signup),
                        E.navigation_log(click), E.agent_log(error))
 
-
-del rule_signals
