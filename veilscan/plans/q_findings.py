@@ -56,7 +56,7 @@ def q_src_responses(spark, d):
     import uuid
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/responses_{uuid.uuid4().hex}"
     G.g5_analyst_replies(spark, d).select("site", "raw").write.mode("overwrite").json(path)
-    r = read_responses(spark, path, fmt="json")
+    r = read_responses(spark, path, fmt="json", schema="site long, raw string")
     v = FN.response_json("raw")
     return r.select("site", is_object(v).alias("is_object"))
 

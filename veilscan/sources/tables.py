@@ -44,13 +44,21 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def read_responses(spark: SparkSession, path: str, fmt: str = "parquet", key: str = "site",
-                   raw: str = "raw") -> DataFrame:
-    """Stored model replies, (key, raw text); json lines or text files also work."""
+                   raw: str = "raw", schema: str | None = None) -> DataFrame:
+    """Stored model replies, (key, raw text); json lines, csv or text files also work.
+
+    Text formats are read with an explicit schema (no inference pass over the
+    data); ``schema`` overrides the default ``key string, raw string``.
+    """
     if fmt == "text":
         df = spark.read.text(path).withColumnRenamed("value", raw)
         return df.withColumn(key, F.input_file_name())
     reader = spark.read.format(fmt)
-    return reader.load(path).select(key, raw)
+    if fmt in ("json", "csv"):
+        reader = reader.schema(schema or f"`{key}` string, `{raw}` string")
+        if fmt == "csv":
+            reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+    return spread(reader.load(path)).select(key, raw)
 
 
 def screenshot_files(spark: SparkSession, path: str, glob: str | None = None,
