@@ -24,7 +24,8 @@ def _report(findings, count=2, extra=""):
 
 
 def test_parse_reports(spark):
-    rows = [("ok", _report([F1, F2])), ("clean", _report([], 0).replace("HIGH", "CLEAN")),
+    lax = _report([F1.replace('"gdpr_risk": false', '"gdpr_risk": "no"')]).replace('"pattern_count": 2', '"pattern_count": "2"')
+    rows = [("ok", _report([F1, F2])), ("clean", _report([], 0).replace("HIGH", "CLEAN")), ("lax", lax),
             ("missing_key", _report([F1, F2_NO_LEGAL])), ("wrong_count", _report([F1], 5)),
             ("empty", ""), ("structure", '{"overall_risk": "LOW"}')]
     df = spark.createDataFrame(rows, "site string, raw string")
@@ -34,6 +35,8 @@ def test_parse_reports(spark):
     assert got["clean"].overall_risk == "CLEAN" and got["clean"].pattern_count == 0
     assert got["missing_key"].analysis_error == FN.ERR_CONSTRUCT and got["missing_key"].overall_risk == "UNKNOWN"
     assert got["wrong_count"].pattern_count == 5            # the model's count is kept
+    assert got["lax"].analysis_success and got["lax"].pattern_count == 2
+    assert got["lax"].dark_patterns_found[0].gdpr_risk is False
     assert got["empty"].analysis_error == FN.ERR_NO_REPLY
     assert got["structure"].analysis_error == FN.ERR_STRUCTURE
     salvaged = {r.site: r for r in FN.parse_reports(df, salvage=True).collect()}

@@ -31,13 +31,41 @@ def _vt(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+_TRUE = ["true", "1", "yes", "on", "t", "y"]
+_FALSE = ["false", "0", "no", "off", "f", "n"]
+
+
+def lax_bool(v: Column, path: str) -> Column:
+    """Boolean the way a lax typed model reads it: true/false, 0/1, or the
+    usual words ("yes", "off", "t", ...); null when it is none of these."""
+    t = _vt(v, path)
+    s = F.lower(F.try_variant_get(v, path, "string"))
+    n = F.try_variant_get(v, path, "double")
+    return (F.when(t == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+            .when((t == "STRING") & s.isin(_TRUE), F.lit(True))
+            .when((t == "STRING") & s.isin(_FALSE), F.lit(False))
+            .when(t.startswith("BIGINT") | t.startswith("DECIMAL") | t.startswith("DOUBLE"),
+                  F.when(n == 1, F.lit(True)).when(n == 0, F.lit(False))))
+
+
+def lax_int(v: Column, path: str) -> Column:
+    """Integer the way a lax typed model reads it: an integer, an integral
+    decimal (2.0), or a string of digits; null otherwise."""
+    t = _vt(v, path)
+    d = F.try_variant_get(v, path, "double")
+    s = F.try_variant_get(v, path, "string")
+    return (F.when(t == "BIGINT", F.try_variant_get(v, path, "bigint"))
+            .when((t.startswith("DECIMAL") | t.startswith("DOUBLE")) & (d == F.floor(d)), d.cast("bigint"))
+            .when((t == "STRING") & s.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(s).try_cast("bigint")))
+
+
 def _finding_ok(f: Column) -> Column:
     """A finding (variant) has all nine keys with values a typed model accepts."""
     ok = is_object(f)
     for k in FINDING_FIELDS:
         t = _vt(f, f"$.{k}")
         if k == "gdpr_risk":
-            ok = ok & F.coalesce(t == "BOOLEAN", F.lit(False))
+            ok = ok & lax_bool(f, f"$.{k}").isNotNull()
         elif k == "legal_reference":
             # must be present; may be null
             ok = ok & F.coalesce((t == "STRING") | (t == "VOID"), F.lit(False))
@@ -55,8 +83,8 @@ def report_status(raw) -> Column:
         keys_ok = keys_ok & F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
     items = F.try_variant_get(v, "$.dark_patterns_found", "array<variant>")
     findings_ok = F.coalesce(F.forall(items, _finding_ok), F.lit(False)) & is_array(v, "$.dark_patterns_found")
-    scalars_ok = (F.coalesce(_vt(v, "$.gdpr_concerns") == "BOOLEAN", F.lit(False))
-                  & F.coalesce(_vt(v, "$.pattern_count") == "BIGINT", F.lit(False))
+    scalars_ok = (lax_bool(v, "$.gdpr_concerns").isNotNull()
+                  & lax_int(v, "$.pattern_count").isNotNull()
                   & F.coalesce(_vt(v, "$.overall_risk") == "STRING", F.lit(False))
                   & F.coalesce(_vt(v, "$.overall_summary") == "STRING", F.lit(False))
                   & F.coalesce(_vt(v, "$.language_detected") == "STRING", F.lit(False))
@@ -79,7 +107,7 @@ def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
     ok = F.col("_s.error").isNull()
     items = F.try_variant_get(v, "$.dark_patterns_found", "array<variant>")
     typed = F.transform(F.filter(items, _finding_ok), lambda f: F.struct(
-        *[F.try_variant_get(f, f"$.{k}", "boolean" if k == "gdpr_risk" else "string").alias(k)
+        *[(lax_bool(f, f"$.{k}") if k == "gdpr_risk" else F.try_variant_get(f, f"$.{k}", "string")).alias(k)
           for k in FINDING_FIELDS]))
     if salvage:
         ok_findings = F.coalesce(typed, F.array().cast(f"array<{FINDING_TYPE}>"))
@@ -94,9 +122,9 @@ def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
         .otherwise(F.lit("UNKNOWN")).alias("overall_risk"),
         F.when(success, F.coalesce(F.try_variant_get(v, "$.overall_summary", "string"), F.lit("")))
         .otherwise(F.lit("Analysis failed.")).alias("overall_summary"),
-        F.when(success, F.coalesce(F.try_variant_get(v, "$.gdpr_concerns", "boolean"), F.lit(False)))
+        F.when(success, F.coalesce(lax_bool(v, "$.gdpr_concerns"), F.lit(False)))
         .otherwise(F.lit(False)).alias("gdpr_concerns"),
-        F.when(success, F.coalesce(F.try_variant_get(v, "$.pattern_count", "int"), F.size(ok_findings)))
+        F.when(success, F.coalesce(lax_int(v, "$.pattern_count").cast("int"), F.size(ok_findings)))
         .otherwise(F.lit(0)).alias("pattern_count"),
         F.when(success, F.coalesce(F.try_variant_get(v, "$.language_detected", "string"), F.lit("unknown")))
         .otherwise(F.lit("unknown")).alias("language_detected"),
