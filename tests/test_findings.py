@@ -35,6 +35,7 @@ def test_parse_reports(spark):
     assert got["clean"].overall_risk == "CLEAN" and got["clean"].pattern_count == 0
     assert got["missing_key"].analysis_error == FN.ERR_CONSTRUCT and got["missing_key"].overall_risk == "UNKNOWN"
     assert got["wrong_count"].pattern_count == 5            # the model's count is kept
+    assert got["wrong_count"].count_mismatch and got["wrong_count"].computed_pattern_count == 1
     assert got["lax"].analysis_success and got["lax"].pattern_count == 2
     assert got["lax"].dark_patterns_found[0].gdpr_risk is False
     assert got["empty"].analysis_error == FN.ERR_NO_REPLY

@@ -84,3 +84,19 @@ def test_extract_merges_and_falls_back(spark):
     assert out[1].language_detected == "en"
     assert out[2].extraction_method == "fallback" and out[2].language_detected == "unknown"
     assert all(len(out[1][c]) <= 10 for c in ["urgency_texts", "subscription_keywords"])
+
+
+def test_whole_word_option(spark):
+    df = spark.createDataFrame([(1, "commonly only"), (2, "commonly")], "id long, text string")
+    sub = {r.id: r.urgency_texts for r in S.lexicon_scan(df, "text").collect()}
+    word = {r.id: r.urgency_texts for r in S.lexicon_scan(df, "text", whole_word=True).collect()}
+    assert sub == {1: ["only"], 2: ["only"]}
+    assert word == {1: ["only"], 2: []}
+
+
+def test_full_amount_prices(spark):
+    from veilscan.functions import html as H
+    df = spark.createDataFrame([(1, "<p>$1,299.99 and 2.500,00 EUR</p>")], "id long, html string")
+    r = df.select(H.prices("html").alias("a"), H.prices("html", full_amount=True).alias("b")).collect()[0]
+    assert r.a == ["$1,299", "500,00 EUR"] or r.a[0] == "$1,299"
+    assert r.b[0] == "$1,299.99"

@@ -45,6 +45,8 @@ BUTTON_RE = r"(?is)<button\b" + _ATTRS + r">(.*?)</button\s*>"
 FORM_RE = r"(?is)<form\b" + _ATTRS + r">.*?(?:</form\s*>|$)"
 FORM_HEAD_RE = r"(?is)^<form\b" + _ATTRS + ">"
 PRICE_RE = r"(?U)[$€£₺]\s?\d+[.,]?\d*|\d+[.,]\d+\s?(?:USD|EUR|GBP|TRY)"
+# optional: whole amounts with thousands separators ("$1,299.99" instead of "$1,299")
+PRICE_FULL_RE = r"(?U)[$€£₺]\s?\d+(?:[.,]\d+)*|\d+(?:[.,]\d+)+\s?(?:USD|EUR|GBP|TRY)"
 FONT_SIZE_RE = r"font-size:\s*(\d+)px"
 STYLE_HINT_RE = r"(?i)\sstyle\s*="
 SMALL_HINT_RE = r"(?i)<(small|sup|sub)\b|\sstyle\s*="
@@ -200,8 +202,9 @@ def hidden_inputs_sql(forms: str) -> str:
     return f"flatten(transform({forms}, {S.lam(per_form)}))"
 
 
-def prices_sql(text: str, limit: int | None = 20) -> str:
-    found = f"array_distinct(regexp_extract_all({text}, {S.q(PRICE_RE)}, 0))"
+def prices_sql(text: str, limit: int | None = 20, full_amount: bool = False) -> str:
+    pat = PRICE_FULL_RE if full_amount else PRICE_RE
+    found = f"array_distinct(regexp_extract_all({text}, {S.q(pat)}, 0))"
     return f"slice({found}, 1, {limit})" if limit else found
 
 
@@ -347,8 +350,8 @@ def forms(html: str = "html") -> Column:
     return _expr(lambda m: S.bind(clean_sql(html), lambda c: forms_sql(c, m)))
 
 
-def prices(html: str = "html", limit: int | None = 20) -> Column:
-    return _expr(lambda m: prices_sql(f"array_join({text_nodes_sql(clean_sql(html), m)}, ' ')", limit))
+def prices(html: str = "html", limit: int | None = 20, full_amount: bool = False) -> Column:
+    return _expr(lambda m: prices_sql(f"array_join({text_nodes_sql(clean_sql(html), m)}, ' ')", limit, full_amount))
 
 
 def popup_detected(html: str = "html") -> Column:

@@ -133,7 +133,23 @@ def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
         .otherwise(F.lit(dims.ONTOLOGY_REFERENCE_SHORT)).alias("ontology_reference"),
         success.alias("analysis_success"),
         F.when(~success, F.col("_s.error")).alias("analysis_error"),
-    )
+    ).transform(_with_checks)
+
+
+def _with_checks(rep: DataFrame) -> DataFrame:
+    """The model's own count, risk and GDPR flag are kept; computed values and
+    mismatch flags sit beside them."""
+    f = F.col("dark_patterns_found")
+    sev = F.array_max(F.transform(f, lambda x: severity_rank(x["severity"])))
+    computed = (F.when(~F.col("analysis_success"), F.lit("UNKNOWN")).when(sev == 3, "HIGH")
+                .when(sev == 2, "MEDIUM").when(sev == 1, "LOW").otherwise("CLEAN"))
+    gdpr = F.coalesce(F.exists(f, lambda x: F.coalesce(x["gdpr_risk"], F.lit(False))), F.lit(False))
+    return (rep.withColumn("computed_pattern_count", F.size(f))
+            .withColumn("computed_risk", computed)
+            .withColumn("computed_gdpr", gdpr)
+            .withColumn("count_mismatch", F.col("pattern_count") != F.col("computed_pattern_count"))
+            .withColumn("risk_mismatch", F.col("overall_risk") != F.col("computed_risk"))
+            .withColumn("gdpr_mismatch", F.col("gdpr_concerns") != F.col("computed_gdpr")))
 
 
 def explode_findings(reports: DataFrame, key: str = "site") -> DataFrame:

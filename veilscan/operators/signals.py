@@ -47,7 +47,15 @@ def scan_column(text, category: str, lexicon=None) -> Column:
     return bind(F.lower(col(text)), lambda t: F.filter(lex, lambda p: t.contains(p)))
 
 
-def rule_signals(text, lexicon=None, categories: dict | None = None) -> Column:
+def _match(t: Column, p, whole_word: bool) -> Column:
+    """Substring match (the default, like the audited tool: "only" hits
+    "commonly"), or whole words only (Unicode word boundaries)."""
+    if not whole_word:
+        return t.contains(p)
+    return F.regexp_like(t, F.concat(F.lit("(?U)(?<!\\w)\\Q"), p, F.lit("\\E(?!\\w)")))
+
+
+def rule_signals(text, lexicon=None, categories: dict | None = None, whole_word: bool = False) -> Column:
     """The rule-based extraction record for one text column (one struct).
 
     Every category is scanned against the same lower-cased text, bound once
@@ -63,7 +71,7 @@ def rule_signals(text, lexicon=None, categories: dict | None = None) -> Column:
         for cat, out in cats.items():
             ph = _phrases(rows, cat)
             lex = F.array(*[F.lit(p) for p in ph]) if ph else F.array().cast("array<string>")
-            fields.append(F.filter(lex, lambda p: t.contains(p)).alias(out))
+            fields.append(F.filter(lex, lambda p: _match(t, p, whole_word)).alias(out))
         fields.append(F.array().cast("array<string>").alias("dark_pattern_hints"))
         fields.append(F.lit("unknown").alias("language_detected"))
         return F.struct(*fields)
@@ -72,9 +80,9 @@ def rule_signals(text, lexicon=None, categories: dict | None = None) -> Column:
 
 
 def lexicon_scan(df: DataFrame, text_col: str = "text", lexicon=None,
-                 prefix: str = "") -> DataFrame:
+                 prefix: str = "", whole_word: bool = False) -> DataFrame:
     """Add the four signal arrays (whole text scanned) to ``df``."""
-    out = df.withColumn("_sig", rule_signals(text_col, lexicon))
+    out = df.withColumn("_sig", rule_signals(text_col, lexicon, whole_word=whole_word))
     # one projection reads the struct four times, so Catalyst keeps the scan in
     # its own projection instead of inlining it into every field
     return out.select(*df.columns, *[F.col("_sig." + c).alias(prefix + c)
