@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs
 from .fixtures import sql_lexicon
-from .q_log import SQL_LOG
+from .q_log import SQL_LOG, SQL_SIGNAL
 from .registry import J, L, query, sql_visible
 
 
@@ -21,12 +21,15 @@ def q_st_page_signals(spark, d):
 
 @query("st_site_evidence", f"""SELECT site, CAST(count(*) AS BIGINT) AS step_count, CAST(count(shot_path) AS BIGINT) AS screenshots_taken,
   bool_or(popup) AS popup_detected, bool_or(reject_missing) AS reject_button_missing,
-  CAST(sum(len(urgency_texts)) AS BIGINT) AS n_urgency_texts FROM {SQL_LOG} GROUP BY site""")
+  CAST(sum(len(urgency_texts)) AS BIGINT) AS n_urgency_texts,
+  (count(shot_path) > 0 AND count(visited) > 0 AND count(*) >= 6 AND bool_or({SQL_SIGNAL})) AS enough
+  FROM {SQL_LOG} GROUP BY site""")
 def q_st_site_evidence(spark, d):
     out = jobs.stream_site_evidence(spark, jobs.streaming_log(spark, d))
     r = spark.read.parquet(out)
     return r.select("site", L("step_count").alias("step_count"), L("screenshots_taken").alias("screenshots_taken"),
-                    "popup_detected", "reject_button_missing", L("n_urgency_texts").alias("n_urgency_texts"))
+                    "popup_detected", "reject_button_missing", L("n_urgency_texts").alias("n_urgency_texts"),
+                    "enough")
 
 
 @query("st_visited_dedupe", f"SELECT DISTINCT site, visited AS url FROM {SQL_LOG} WHERE visited IS NOT NULL")

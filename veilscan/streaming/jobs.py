@@ -60,12 +60,20 @@ def stream_site_evidence(spark: SparkSession, log: DataFrame, out_dir: str | Non
     state size is bounded by the number of sites, never by their log length.
     """
     out_dir = out_dir or _scratch(spark, "site_evidence")
+    signal = ((F.size("urgency_texts") > 0) | (F.size("subscription_keywords") > 0)
+              | (F.size("dark_pattern_hints") > 0) | (F.size("preselected") > 0)
+              | F.col("popup") | F.col("reject_missing"))
     agg = log.groupBy("site").agg(
         F.count(F.lit(1)).alias("step_count"),
         F.count("shot_path").alias("screenshots_taken"),
         F.coalesce(F.bool_or("popup"), F.lit(False)).alias("popup_detected"),
         F.coalesce(F.bool_or("reject_missing"), F.lit(False)).alias("reject_button_missing"),
-        F.sum(F.size("urgency_texts")).alias("n_urgency_texts"))
+        F.sum(F.size("urgency_texts")).alias("n_urgency_texts"),
+        F.bool_or(F.col("visited").isNotNull()).alias("_visited"),
+        F.bool_or(signal).alias("_signals"))
+    # the evidence rule on running state: a screenshot, a visited page, six steps, a signal
+    agg = agg.withColumn("enough", (F.col("screenshots_taken") > 0) & F.col("_visited")
+                         & (F.col("step_count") >= E.MIN_STEPS) & F.col("_signals")).drop("_visited", "_signals")
 
     def write(batch: DataFrame, epoch: int):
         batch.write.mode("overwrite").parquet(out_dir)
