@@ -82,7 +82,8 @@ def report_status(raw) -> Column:
     for k in REPORT_KEYS:
         keys_ok = keys_ok & F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
     items = F.try_variant_get(v, "$.dark_patterns_found", "array<variant>")
-    findings_ok = F.coalesce(F.forall(items, _finding_ok), F.lit(False)) & is_array(v, "$.dark_patterns_found")
+    checked = F.transform(items, lambda f: F.struct(f.alias("f"), _finding_ok(f).alias("ok")))
+    findings_ok = F.coalesce(F.forall(checked, lambda x: x["ok"]), F.lit(False)) & is_array(v, "$.dark_patterns_found")
     scalars_ok = (lax_bool(v, "$.gdpr_concerns").isNotNull()
                   & lax_int(v, "$.pattern_count").isNotNull()
                   & F.coalesce(_vt(v, "$.overall_risk") == "STRING", F.lit(False))
@@ -92,7 +93,8 @@ def report_status(raw) -> Column:
     error = (F.when(v.isNull() | ~obj, F.lit(ERR_NO_REPLY))
              .when(~keys_ok, F.lit(ERR_STRUCTURE))
              .when(~(findings_ok & scalars_ok), F.lit(ERR_CONSTRUCT)))
-    return F.struct(v.alias("v"), error.alias("error"))
+    # each finding's validity is computed once here and reused by the parser
+    return F.struct(v.alias("v"), error.alias("error"), checked.alias("checked"))
 
 
 def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
@@ -105,9 +107,8 @@ def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
     st = responses.select(key, report_status(raw_col).alias("_s"))
     v = F.col("_s.v")
     ok = F.col("_s.error").isNull()
-    items = F.try_variant_get(v, "$.dark_patterns_found", "array<variant>")
-    typed = F.transform(F.filter(items, _finding_ok), lambda f: F.struct(
-        *[(lax_bool(f, f"$.{k}") if k == "gdpr_risk" else F.try_variant_get(f, f"$.{k}", "string")).alias(k)
+    typed = F.transform(F.filter(F.col("_s.checked"), lambda x: x["ok"]), lambda x: F.struct(
+        *[(lax_bool(x["f"], f"$.{k}") if k == "gdpr_risk" else F.try_variant_get(x["f"], f"$.{k}", "string")).alias(k)
           for k in FINDING_FIELDS]))
     if salvage:
         ok_findings = F.coalesce(typed, F.array().cast(f"array<{FINDING_TYPE}>"))
