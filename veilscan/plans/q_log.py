@@ -96,19 +96,19 @@ def q_set_log_union(spark, d):
     return _out_log(G.g3_log(spark, d, numbered=False))
 
 
-def _rec(tool, fn, idx):
+def _rec(name, tool, fn, idx):
+    """One producer's log records (rec_* queries): producer table -> log rows."""
     def q(spark, d):
         parts = G.g3_parts(G.g3_events(spark, d))
         return _out_log(fn(parts[idx]))
-    query(f"rec_{tool}_log", f"SELECT site, seq, tool, summary, evidence FROM {SQL_LOG} WHERE tool = "
-                             f"'{ {'scrape': 'scraper', 'extract': 'extractor', 'screenshot': 'screenshot', 'navigation': 'navigator', 'agent': 'agent'}[tool] }'")(q)
+    query(name, f"SELECT site, seq, tool, summary, evidence FROM {SQL_LOG} WHERE tool = '{tool}'")(q)
 
 
-_rec("scrape", E.scrape_log, 0)
-_rec("extract", E.extract_log, 1)
-_rec("screenshot", E.screenshot_log, 2)
-_rec("navigation", E.navigation_log, 3)
-_rec("agent", E.agent_log, 4)
+_rec("rec_scrape_log", "scraper", E.scrape_log, 0)
+_rec("rec_extract_log", "extractor", E.extract_log, 1)
+_rec("rec_screenshot_log", "screenshot", E.screenshot_log, 2)
+_rec("rec_navigation_log", "navigator", E.navigation_log, 3)
+_rec("rec_agent_log", "agent", E.agent_log, 4)
 
 
 @query("sink_findings_log", f"SELECT site, seq, tool, CAST(step AS BIGINT) AS step FROM {SQL_LOG}")
