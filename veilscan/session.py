@@ -52,10 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    # spark.checkpoint.dir is a core setting (not modifiable at runtime): read it,
+    # and only when it is absent (tests, a local bench) use a fresh scratch folder
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="veilscan-ckpt-", dir=os.environ.get("VEILSCAN_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
