@@ -103,6 +103,20 @@ def features_struct_sql(html: str = "html", fields=None, **limits) -> str:
     return with_entity_maps(with_maps)
 
 
+_EXPR_CACHE: dict = {}
+
+
+def _features_expr(pages: DataFrame, html_col: str, want: list, limits: dict):
+    """The parsed feature expression, reused within one JVM (parsing ~100 KB of
+    SQL costs seconds on a cold JVM). Keyed by the gateway, so a new JVM never
+    sees an expression object of an old one."""
+    gw = id(pages.sparkSession.sparkContext._gateway)
+    key = (gw, html_col, tuple(want), tuple(sorted(limits.items())))
+    if key not in _EXPR_CACHE:
+        _EXPR_CACHE[key] = F.expr(features_struct_sql(f"`{html_col}`", fields=want, **limits))
+    return _EXPR_CACHE[key]
+
+
 def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html",
                   url_col: str = "url", fields=None, **limits) -> DataFrame:
     """Whole feature record per page (``keep`` = extra key columns such as ``page_id``).
@@ -114,7 +128,7 @@ def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str
     keep = [c for c in (keep or ["page_id"]) if c in pages.columns and c != url_col]
     ok = page_ok(html_col)
     want = list(fields or ALL_FIELDS)
-    feats = F.expr(features_struct_sql(f"`{html_col}`", fields=want, **limits))
+    feats = _features_expr(pages, html_col, want, limits)
     step1 = pages.select(*keep, F.col(url_col).alias("url"), ok.alias("scrape_success"),
                          F.when(ok, feats).alias("_r"))
     empty = F.array().cast("array<string>")
