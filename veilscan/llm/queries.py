@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sql
+from pyspark.sql import functions as F
+
+from . import decontaminate, exact_dedup, line_dedup, minhash_dedup, sql
 from .store import table
 
 QUERIES, SQL = {}, {}
@@ -20,3 +22,19 @@ def query(name, oracle=None):
 @query("op10_exact_dedup", sql.EXACT_DEDUP)
 def op10(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_minhash_dedup", sql.NEAR_DEDUP)
+def op5(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op8_decontaminate", sql.DECONTAMINATE)
+def op8(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_line_dedup")
+def op4(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
