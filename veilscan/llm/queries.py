@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash_dedup, sql
+from . import decontaminate, exact_dedup, line_dedup, minhash_dedup, packing, sql, url_filter
 from .store import table
 
 QUERIES, SQL = {}, {}
@@ -14,7 +14,7 @@ def query(name, oracle=None):
     def register(fn):
         QUERIES[name] = fn
         if oracle:
-            SQL[name] = oracle
+            SQL[name] = oracle() if callable(oracle) else oracle
         return fn
     return register
 
@@ -38,3 +38,19 @@ def op8(spark, sf_dir):
 def op4(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op6_packing")
+def op6(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_url_filter", sql.url_filter)
+def op9(spark, sf_dir):
+    """A page whose path holds a document's number is bad where that document's quality label is 0."""
+    pages = table(spark, sf_dir, "pages")
+    numbered = (pages.select("page_id", url_filter.host_path(F.col("url"))[1].alias("path"))
+                .select("page_id", F.expr("try_cast(regexp_extract(path, '/([0-9]{1,18})', 1) AS bigint)").alias("doc_id")))
+    labels = (numbered.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+              .select("page_id", (F.col("quality") == 0).cast("int").alias("bad")))
+    return url_filter.judge(pages, labels)
