@@ -1,8 +1,9 @@
 """Exact dedup by distributed MSD radix partitioning (no digest decides equality).
 
 Round r splits every open group by the next digit of its texts: ``width``
-successive bytes of the normalised text, 32 at first and eight times as many
-each round, so a text of n bytes takes about log8(n) rounds. A split is one
+successive bytes of the normalised text, 512 at first (beyond the usual common
+first line) and eight times as many each round, so a text of n bytes takes about
+log8(n / 512) rounds. A split is one
 aggregate over (group, digit) with map-side combine, and one left join of the
 open rows with the groups of two or more. A group is closed when it has one
 row, or when its digit is shorter than the width: all its texts have ended and
@@ -29,7 +30,7 @@ def without_whitespace(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 first_width: int = 32, growth: int = 8) -> DataFrame:
+                 first_width: int = 512, growth: int = 8) -> DataFrame:
     """One row per input row: its group of equal normalised texts and the row that stays.
 
     Of a group the row with the most code points in the original text stays,
@@ -60,7 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     F.monotonically_increasing_id().alias("next_gid")), "groups")
         single, ended = F.col("n").isNull(), F.length("digit") < width
         step = store.save(
-            state.join(groups, (state.gid == groups.g) & (state.digit == groups.d), "left").select(
+            state.join(groups.hint("merge"), (state.gid == groups.g) & (state.digit == groups.d), "left").select(
                 "doc_id", "n_cp", "text_sha256",
                 F.when(single, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
                 F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
