@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash_dedup, packing, sql, url_filter
+from . import (decontaminate, exact_dedup, langid, license_scan, line_dedup, minhash_dedup, packing, quality, sql,
+               url_filter)
 from .store import table
 
 QUERIES, SQL = {}, {}
@@ -54,3 +55,20 @@ def op9(spark, sf_dir):
     labels = (numbered.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
               .select("page_id", (F.col("quality") == 0).cast("int").alias("bad")))
     return url_filter.judge(pages, labels)
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder == 1)
+    return langid.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
+@query("op3_license_scan")
+def op3(spark, sf_dir):
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op2_quality")
+def op2(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])

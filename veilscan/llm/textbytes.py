@@ -68,13 +68,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
-                limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of about ``limit`` text bytes, one row at least: (rows, bytes, offsets)."""
+                limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of at most ``rows`` rows and about ``limit`` text bytes, one row at least: (rows, bytes, offsets)."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(column))
         lo, n = 0, batch.num_rows
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
             yield batch.slice(lo, hi - lo), data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
             lo = hi
 
