@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (decontaminate, exact_dedup, langid, license_scan, line_dedup, minhash_dedup, packing, quality, sql,
-               url_filter)
+               suffix_dedup, url_filter)
 from .store import table
 
 QUERIES, SQL = {}, {}
@@ -72,3 +72,8 @@ def op3(spark, sf_dir):
 @query("op2_quality")
 def op2(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
+@query("op7_suffix_dedup", sql.SUFFIX_DEDUP)
+def op7(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -93,3 +93,18 @@ SELECT page_id, u.host, u.path, rule, coalesce(kind, CASE WHEN rate >= 0.5 THEN
 FROM u JOIN r4 USING (host, path) JOIN m4 ON m4.host = r4.host AND m4.t = r4.t JOIN j ON j.host = m4.host AND j.m = m4.m
 LEFT JOIN fit ON fit.host = u.host AND fit.path = u.path
 """
+
+SUFFIX_DEDUP = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 400)) AS k
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS p FROM d)),
+r AS (SELECT doc_id, p FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+      FROM (SELECT doc_id, p, coalesce((p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200)::INT, 1) AS fresh FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * from_b + 1, 2 * (a - from_b)), '' ORDER BY a) AS head, max(b) AS last_b, sum(b - a) AS gone, count(*) AS c
+      FROM (SELECT s.*, h, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS from_b FROM s JOIN d USING (doc_id)) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans,
+       sha256(unhex(CASE WHEN c IS NULL THEN h ELSE head || substr(h, 2 * last_b + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
