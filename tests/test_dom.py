@@ -58,6 +58,37 @@ def test_failed_pages_are_kept(spark):
 def test_caps(spark, n):
     body = "".join(f'<a href="/{i}">x</a><button>b{i}</button>' for i in range(n))
     pages = spark.createDataFrame([(1, "u", f"<body>{body}</body>")], "page_id long, url string, html string")
-    r = dom.page_features(pages).collect()[0]
+    r = dom.page_features(pages, **dom.AUDIT_LIMITS).collect()[0]
+    whole = dom.page_features(pages).collect()[0]
+    assert len(whole.links) == len(whole.buttons) == n
     assert len(r.links) == min(n, 50)
     assert len(r.buttons) == min(n, 30)
+
+
+HARD_PAGES = [
+    "<p>" + "x" * 100_000 + "</p><small>" + "fine print " * 9_000 + "</small>",   # long text runs
+    "a <b " + "y" * 100_000 + ">bold</b>",                                        # a long tag
+    "<div " + " ".join(f'a{i}="{i}>"' for i in range(10_000)) + ' style="position:fixed">many</div>',
+    "<p>one</p><head-line>two</head-line><script-x>three</script-x><style-guide>four</style-guide><p>five</p>",
+    "<a-card href='no'>x</a-card><button-bar>y</button-bar><form-x><input-y name=z></form-x><a href=yes>z</a>",
+    "<form><button>Buy now</form><p>after</p>",
+    '<div class="a"style="position:fixed">glued</div>',
+    "<p>plain</p>",
+    "<div style='position:sticky'>" * 60 + "deep" + "</div>" * 60,
+]
+
+
+def test_hard_pages(spark):
+    """Long runs, odd names and unclosed elements neither fail nor swallow the page."""
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(HARD_PAGES)], "page_id long, url string, html string")
+    for r in dom.page_features(pages).collect():
+        got, want = r.asDict(recursive=True), walker.features(HARD_PAGES[r.page_id])
+        for k, v in want.items():
+            assert got[k] == v, (r.page_id, k)
+    assert {r.page_id for r in dom.dom_tokens(pages).collect()} == set(range(len(HARD_PAGES)))
+
+
+def test_crawler_error_is_kept(spark):
+    pages = spark.createDataFrame([(1, "a", "<p>x</p>", "timeout"), (2, "b", "<p>y</p>", None)], "page_id long, url string, html string, why string")
+    got = {r.page_id: (r.scrape_success, r.scrape_error) for r in dom.page_features(pages, error_col="why").collect()}
+    assert got == {1: (False, "timeout"), 2: (True, None)}

@@ -27,29 +27,33 @@ from .entities import unescape_sql, with_entity_maps
 from .text import PY_WHITESPACE
 
 SEP = "\u0001"  # stands in for every removed tag; splits text nodes
-_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""  # quote-aware rest of a start tag
+# quote-aware rest of a start tag; possessive, so that a long run takes no regex stack
+_ATTRS = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
+_NAME_END = r"(?=[\s/>])"  # a tag name ends here: <head-line> is no <head>
 START_TAG_RE = r"<[a-zA-Z]" + _ATTRS + ">"
 END_TAG_RE = r"</[a-zA-Z][^>]*>"
 TAG_RE = START_TAG_RE + "|" + END_TAG_RE
 # comments, raw-text elements, declarations and processing instructions
-DROP_RE = (r"(?is)<!--.*?(?:-->|$)|<(script|style)\b" + _ATTRS + r">.*?(?:</\1\s*>|$)"
+DROP_RE = (r"(?is)<!--.*?(?:-->|$)|<(script|style)" + _NAME_END + _ATTRS + r">.*?(?:</\1\s*>|$)"
            r"|<![^>]*>|<\?[^>]*>")
-HEAD_RE = r"(?is)<head\b" + _ATTRS + r">.*?(?:</head\s*>|$)"
+HEAD_RE = r"(?is)<head" + _NAME_END + _ATTRS + r">.*?(?:</head\s*>|$)"
 # text runs never contain the separator left by removed blocks (it splits nodes)
-TOKEN_RE = r"(?s)" + START_TAG_RE + "|" + END_TAG_RE + "|(?:[^<\u0001]|<(?![a-zA-Z/]))+|<"
+TOKEN_RE = r"(?s)" + START_TAG_RE + "|" + END_TAG_RE + "|(?:[^<\u0001]++|<(?![a-zA-Z/]))++|<"
 ATTR_RE = r"""([^\s/>"'=][^\s/>"'=]*)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""
 UNQUOTE_RE = r"""(?s)^"(.*)"$|^'(.*)'$"""
 TAG_NAME_RE = r"^</?([a-zA-Z][^\s/>]*)"
-TITLE_RE = r"(?is)<title\b" + _ATTRS + r">(.*?)</title\s*>"
-BUTTON_RE = r"(?is)<button\b" + _ATTRS + r">(.*?)</button\s*>"
-FORM_RE = r"(?is)<form\b" + _ATTRS + r">.*?(?:</form\s*>|$)"
-FORM_HEAD_RE = r"(?is)^<form\b" + _ATTRS + ">"
+TITLE_RE = r"(?is)<title" + _NAME_END + _ATTRS + r">(.*?)(?:</title\s*>|$)"
+# an unclosed button ends with its form or the page
+BUTTON_RE = r"(?is)<button" + _NAME_END + _ATTRS + r">(.*?)(?:</button\s*>|</form\s*>|</body\s*>|$)"
+FORM_RE = r"(?is)<form" + _NAME_END + _ATTRS + r">.*?(?:</form\s*>|$)"
+FORM_HEAD_RE = r"(?is)^<form" + _NAME_END + _ATTRS + ">"
+# fixed value: what counts as a price
 PRICE_RE = r"(?U)[$€£₺]\s?\d+[.,]?\d*|\d+[.,]\d+\s?(?:USD|EUR|GBP|TRY)"
 # optional: whole amounts with thousands separators ("$1,299.99" instead of "$1,299")
 PRICE_FULL_RE = r"(?U)[$€£₺]\s?\d+(?:[.,]\d+)*|\d+(?:[.,]\d+)+\s?(?:USD|EUR|GBP|TRY)"
 FONT_SIZE_RE = r"font-size:\s*(\d+)px"
-STYLE_HINT_RE = r"(?i)\sstyle\s*="
-SMALL_HINT_RE = r"(?i)<(small|sup|sub)\b|\sstyle\s*="
+STYLE_HINT_RE = r"(?i)style\s*="
+SMALL_HINT_RE = r"(?i)<(small|sup|sub)(?=[\s/>])|style\s*="
 POPUP_WORDS_RE = "modal|overlay|popup"
 # Elements that never have content (tree builder's empty-element list).
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
@@ -109,7 +113,7 @@ def title_sql(h: str, m: str) -> str:
 
 
 def start_tags_sql(h: str, name: str | None = None) -> str:
-    pat = START_TAG_RE if name is None else r"(?i)<" + name + r"\b" + _ATTRS + ">"
+    pat = START_TAG_RE if name is None else r"(?i)<" + name + _NAME_END + _ATTRS + ">"
     return f"regexp_extract_all({h}, {S.q(pat)}, 0)"
 
 
@@ -144,25 +148,26 @@ def with_attrs_sql(tag: str, m: str, fn) -> str:
     return S.bind(f"named_struct('n', {names}, 'v', {vals})", inner)
 
 
-def meta_description_sql(h: str, m: str, limit: int = 300) -> str:
+def meta_description_sql(h: str, m: str, limit: int | None = None) -> str:
     is_desc = S.lam(lambda t: with_attrs_sql(t, m, lambda g, has: f"({g('name')} <=> 'description')"))
     metas = f"filter({start_tags_sql(h, 'meta')}, {is_desc})"
 
     def on_metas(ms):
         content = with_attrs_sql(f"element_at({ms}, 1)", m, lambda g, has: f"coalesce({g('content')}, '')")
-        return f"CASE WHEN size({ms}) > 0 THEN substr({content}, 1, {limit}) ELSE '' END"
+        cut = f"substr({content}, 1, {limit})" if limit else content
+        return f"CASE WHEN size({ms}) > 0 THEN {cut} ELSE '' END"
 
     return S.bind(metas, on_metas)
 
 
-def links_sql(cleaned: str, m: str, limit: int | None = 50) -> str:
+def links_sql(cleaned: str, m: str, limit: int | None = None) -> str:
     has_href = S.lam(lambda t: f"({t} rlike '(?i)href' AND " + with_attrs_sql(t, m, lambda g, has: has("href")) + ")")
     href = S.lam(lambda t: with_attrs_sql(t, m, lambda g, has: g("href")))
     hrefs = f"transform(filter({start_tags_sql(cleaned, 'a')}, {has_href}), {href})"
     return f"slice({hrefs}, 1, {limit})" if limit else hrefs
 
 
-def buttons_sql(cleaned: str, m: str, limit: int | None = 30) -> str:
+def buttons_sql(cleaned: str, m: str, limit: int | None = None) -> str:
     texts = (f"filter(transform(regexp_extract_all({cleaned}, {S.q(BUTTON_RE)}, 1), "
              f"{S.lam(lambda x: inner_text_sql(x, m))}), {S.lam(_nonempty)})")
     return f"slice({texts}, 1, {limit})" if limit else texts
@@ -202,7 +207,7 @@ def hidden_inputs_sql(forms: str) -> str:
     return f"flatten(transform({forms}, {S.lam(per_form)}))"
 
 
-def prices_sql(text: str, limit: int | None = 20, full_amount: bool = False) -> str:
+def prices_sql(text: str, limit: int | None = None, full_amount: bool = False) -> str:
     pat = PRICE_FULL_RE if full_amount else PRICE_RE
     found = f"array_distinct(regexp_extract_all({text}, {S.q(pat)}, 0))"
     return f"slice({found}, 1, {limit})" if limit else found
@@ -277,15 +282,19 @@ def _style_sql(g) -> str:
     return f"lower(coalesce({g('style')}, ''))"
 
 
-def sticky_sql(cleaned: str, m: str, limit: int | None = 5) -> str:
+def _cut_texts(texts: str, chars: int | None) -> str:
+    return f"transform({texts}, {S.lam(lambda s: f'substr({s}, 1, {chars})')})" if chars else texts
+
+
+def sticky_sql(cleaned: str, m: str, limit: int | None = None, chars: int | None = None) -> str:
     def pred(tag, name):
         exact = with_attrs_sql(tag, m, lambda g, has: (
             f"({has('style')} AND replace({_style_sql(g)}, ' ', '') rlike 'position:fixed|position:sticky')"))
         return f"({tag} rlike {S.q(STYLE_HINT_RE)} AND {exact})"
 
     def run(toks):
-        cut = S.lam(lambda s: f"substr({s}, 1, 100)")
-        texts = f"filter(transform({element_texts_sql(toks, m, pred)}, {cut}), {S.lam(_nonempty)})"
+        texts = _cut_texts(element_texts_sql(toks, m, pred), chars)
+        texts = f"filter({texts}, {S.lam(_nonempty)})"
         out = f"array_distinct({texts})"
         return f"slice({out}, 1, {limit})" if limit else out
 
@@ -293,7 +302,7 @@ def sticky_sql(cleaned: str, m: str, limit: int | None = 5) -> str:
             f"ELSE {EMPTY_STR_ARRAY} END")
 
 
-def small_print_sql(cleaned: str, m: str, limit: int | None = 10) -> str:
+def small_print_sql(cleaned: str, m: str, limit: int | None = None, chars: int | None = None) -> str:
     def tagged(tag, name):
         return f"{name} IN ('small', 'sup', 'sub')"
 
@@ -306,9 +315,8 @@ def small_print_sql(cleaned: str, m: str, limit: int | None = 10) -> str:
 
     def run(toks):
         both = f"concat({element_texts_sql(toks, m, tagged)}, {element_texts_sql(toks, m, styled)})"
-        kept = (f"transform(filter({both}, {S.lam(lambda s: f'length({s}) > 10')}), "
-                f"{S.lam(lambda s: f'substr({s}, 1, 200)')})")
-        out = f"array_distinct({kept})"
+        kept = f"filter({both}, {S.lam(lambda s: f'length({s}) > 10')})"
+        out = f"array_distinct({_cut_texts(kept, chars)})"
         return f"slice({out}, 1, {limit})" if limit else out
 
     return (f"CASE WHEN {cleaned} rlike {S.q(SMALL_HINT_RE)} THEN {S.bind(tokens_sql(cleaned), run)} "
@@ -326,7 +334,7 @@ def clean_html(html: str = "html") -> Column:
     return F.expr(clean_sql(html))
 
 
-def visible_text(html: str = "html", limit: int | None = 8000) -> Column:
+def visible_text(html: str = "html", limit: int | None = None) -> Column:
     return _expr(lambda m: visible_text_sql(html, m, limit))
 
 
@@ -334,15 +342,15 @@ def title(html: str = "html") -> Column:
     return _expr(lambda m: title_sql(html, m))
 
 
-def meta_description(html: str = "html", limit: int = 300) -> Column:
+def meta_description(html: str = "html", limit: int | None = None) -> Column:
     return _expr(lambda m: meta_description_sql(html, m, limit))
 
 
-def links(html: str = "html", limit: int | None = 50) -> Column:
+def links(html: str = "html", limit: int | None = None) -> Column:
     return _expr(lambda m: S.bind(clean_sql(html), lambda c: links_sql(c, m, limit)))
 
 
-def buttons(html: str = "html", limit: int | None = 30) -> Column:
+def buttons(html: str = "html", limit: int | None = None) -> Column:
     return _expr(lambda m: S.bind(clean_sql(html), lambda c: buttons_sql(c, m, limit)))
 
 
@@ -350,7 +358,7 @@ def forms(html: str = "html") -> Column:
     return _expr(lambda m: S.bind(clean_sql(html), lambda c: forms_sql(c, m)))
 
 
-def prices(html: str = "html", limit: int | None = 20, full_amount: bool = False) -> Column:
+def prices(html: str = "html", limit: int | None = None, full_amount: bool = False) -> Column:
     return _expr(lambda m: prices_sql(f"array_join({text_nodes_sql(clean_sql(html), m)}, ' ')", limit, full_amount))
 
 
@@ -358,11 +366,11 @@ def popup_detected(html: str = "html") -> Column:
     return _expr(lambda m: popup_sql(html, m))
 
 
-def sticky_elements(html: str = "html", limit: int | None = 5) -> Column:
+def sticky_elements(html: str = "html", limit: int | None = None) -> Column:
     return _expr(lambda m: S.bind(clean_sql(html), lambda c: sticky_sql(c, m, limit)))
 
 
-def small_print(html: str = "html", limit: int | None = 10) -> Column:
+def small_print(html: str = "html", limit: int | None = None) -> Column:
     return _expr(lambda m: S.bind(clean_sql(html), lambda c: small_print_sql(c, m, limit)))
 
 

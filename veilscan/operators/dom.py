@@ -15,7 +15,11 @@ from ..functions import html as H
 from ..functions import sqlgen as S
 from ..functions.entities import with_entity_maps
 
-DEFAULT_LIMITS = {
+#: Every list and text is whole unless a limit is given (None: no limit).
+DEFAULT_LIMITS = dict.fromkeys(["max_visible_text", "max_links", "max_buttons", "max_prices", "max_html", "max_meta",
+                                "max_sticky", "max_small_print", "sticky_chars", "small_print_chars"])
+#: The limits of the audited tool, to pass as arguments where its exact records are wanted.
+AUDIT_LIMITS = {
     "max_visible_text": 8000,
     "max_links": 50,
     "max_buttons": 30,
@@ -24,6 +28,8 @@ DEFAULT_LIMITS = {
     "max_meta": 300,
     "max_sticky": 5,
     "max_small_print": 10,
+    "sticky_chars": 100,
+    "small_print_chars": 200,
 }
 
 EMPTY_PAGE_ERROR = "Empty page: no HTML captured"
@@ -34,17 +40,20 @@ def page_ok(html_col="html"):
     return h.isNotNull() & (F.length(h) > 0)
 
 
+def _status(pages: DataFrame, html_col: str, error_col: str | None):
+    ok = page_ok(html_col)
+    if error_col is None or error_col not in pages.columns:
+        return ok, F.when(~ok, F.lit(EMPTY_PAGE_ERROR))
+    ok = ok & F.col(error_col).isNull()
+    return ok, F.when(~ok, F.coalesce(F.col(error_col), F.lit(EMPTY_PAGE_ERROR)))
+
+
 def with_status(pages: DataFrame, html_col: str = "html", error_col: str | None = None) -> DataFrame:
     """``scrape_success``/``scrape_error`` per page; failed rows are kept, never dropped.
 
     ``error_col`` names a column with the crawler's own error text, if any.
     """
-    ok = page_ok(html_col)
-    if error_col is not None and error_col in pages.columns:
-        ok = ok & F.col(error_col).isNull()
-        err = F.when(~ok, F.coalesce(F.col(error_col), F.lit(EMPTY_PAGE_ERROR)))
-    else:
-        err = F.when(~ok, F.lit(EMPTY_PAGE_ERROR))
+    ok, err = _status(pages, html_col, error_col)
     return pages.withColumn("scrape_success", ok).withColumn("scrape_error", err)
 
 
@@ -78,8 +87,8 @@ def features_struct_sql(html: str = "html", fields=None, **limits) -> str:
                         "links": lambda: H.links_sql(c, m, lim["max_links"]),
                         "buttons": lambda: H.buttons_sql(c, m, lim["max_buttons"]),
                         "prices": lambda: H.prices_sql(f"array_join({nodes}, ' ')", lim["max_prices"]),
-                        "sticky_elements": lambda: H.sticky_sql(c, m, lim["max_sticky"]),
-                        "small_print": lambda: H.small_print_sql(c, m, lim["max_small_print"]),
+                        "sticky_elements": lambda: H.sticky_sql(c, m, lim["max_sticky"], lim["sticky_chars"]),
+                        "small_print": lambda: H.small_print_sql(c, m, lim["max_small_print"], lim["small_print_chars"]),
                     }
                     return "named_struct(" + ", ".join(f"'{k}', {v()}" for k, v in parts.items() if k in want) + ")"
                 if want & {"forms", "preselected_checkboxes", "hidden_inputs"}:
@@ -92,7 +101,7 @@ def features_struct_sql(html: str = "html", fields=None, **limits) -> str:
         raw = {
             "title": lambda: H.title_sql(html, m),
             "meta_description": lambda: H.meta_description_sql(html, m, lim["max_meta"]),
-            "html": lambda: f"substr({html}, 1, {lim['max_html']})",
+            "html": lambda: f"substr({html}, 1, {lim['max_html']})" if lim["max_html"] else html,
             "popup_detected": lambda: H.popup_sql(html, m),
         }
         body = [f"'{k}', {v()}" for k, v in raw.items() if k in want]
@@ -103,22 +112,8 @@ def features_struct_sql(html: str = "html", fields=None, **limits) -> str:
     return with_entity_maps(with_maps)
 
 
-_EXPR_CACHE: dict = {}
-
-
-def _features_expr(pages: DataFrame, html_col: str, want: list, limits: dict):
-    """The parsed feature expression, reused within one JVM (parsing ~100 KB of
-    SQL costs seconds on a cold JVM). Keyed by the gateway, so a new JVM never
-    sees an expression object of an old one."""
-    gw = id(pages.sparkSession.sparkContext._gateway)
-    key = (gw, html_col, tuple(want), tuple(sorted(limits.items())))
-    if key not in _EXPR_CACHE:
-        _EXPR_CACHE[key] = F.expr(features_struct_sql(f"`{html_col}`", fields=want, **limits))
-    return _EXPR_CACHE[key]
-
-
 def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html",
-                  url_col: str = "url", fields=None, **limits) -> DataFrame:
+                  url_col: str = "url", fields=None, error_col: str | None = None, **limits) -> DataFrame:
     """Whole feature record per page (``keep`` = extra key columns such as ``page_id``).
 
     Two projections: the first computes every feature once into one struct
@@ -126,10 +121,10 @@ def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str
     the struct is referenced many times). No exchange: a scan plus projections.
     """
     keep = [c for c in (keep or ["page_id"]) if c in pages.columns and c != url_col]
-    ok = page_ok(html_col)
+    ok, err = _status(pages, html_col, error_col)
     want = list(fields or ALL_FIELDS)
-    feats = _features_expr(pages, html_col, want, limits)
-    step1 = pages.select(*keep, F.col(url_col).alias("url"), ok.alias("scrape_success"),
+    feats = F.expr(features_struct_sql(f"`{html_col}`", fields=want, **limits))
+    step1 = pages.select(*keep, F.col(url_col).alias("url"), ok.alias("scrape_success"), err.alias("scrape_error"),
                          F.when(ok, feats).alias("_r"))
     empty = F.array().cast("array<string>")
 
@@ -150,19 +145,16 @@ def page_features(pages: DataFrame, keep: list[str] | None = None, html_col: str
     return step1.select(
         *keep, "url",
         *[g(defaults[k][0], defaults[k][1]).alias(k) for k in ALL_FIELDS if k in want],
-        "scrape_success",
-        F.when(~F.col("scrape_success"), F.lit(EMPTY_PAGE_ERROR)).alias("scrape_error"),
+        "scrape_success", "scrape_error",
     )
 
 
 def dom_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
     """Long table of tokens: (key, pos, kind, tag, token) for cleaned HTML.
 
-    Only pages carrying inline styles or small-print tags are tokenised (the
-    only features that need element subtrees), filtered before exploding.
+    Every page with HTML is tokenised.
     """
-    h = F.col(html_col)
-    toks = pages.filter(h.rlike(H.SMALL_HINT_RE)).select(
+    toks = pages.select(
         key, F.posexplode(H.tokens(html_col)).alias("pos", "token"))
     kind = (F.when(F.col("token").startswith("</") & F.col("token").rlike(r"^</[a-zA-Z]"), "end")
             .when(F.col("token").rlike(r"^<[a-zA-Z]"), "start").otherwise("text"))

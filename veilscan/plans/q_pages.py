@@ -54,9 +54,9 @@ def q_dom_clean(spark, d):
     return _pages(spark, d).select("page_id", H.clean_html("html").alias("cleaned"))
 
 
-@query("dom_visible_text", f"SELECT page_id, {sql_visible('html', 8000)} AS visible_text FROM pages")
+@query("dom_visible_text", f"SELECT page_id, {sql_visible('html')} AS visible_text FROM pages")
 def q_dom_visible_text(spark, d):
-    return _pages(spark, d).select("page_id", H.visible_text("html", 8000).alias("visible_text"))
+    return _pages(spark, d).select("page_id", H.visible_text("html").alias("visible_text"))
 
 
 @query("dom_html_prefix", "SELECT page_id, left(html, 5000) AS html_prefix, "
@@ -70,9 +70,9 @@ _HREF = """regexp_extract_all({c}, '(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1)""
 
 
 @query("dom_links", f"""SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, array_to_string(l, ' ') AS links
-  FROM (SELECT page_id, list_slice(list_transform({_HREF.format(c=sql_clean('html'))}, lambda x: {sql_unescape('x')}), 1, 50) AS l FROM pages)""")
+  FROM (SELECT page_id, list_transform({_HREF.format(c=sql_clean('html'))}, lambda x: {sql_unescape('x')}) AS l FROM pages)""")
 def q_dom_links(spark, d):
-    p = _pages(spark, d).select("page_id", H.links("html", 50).alias("l"))
+    p = _pages(spark, d).select("page_id", H.links("html").alias("l"))
     return p.select("page_id", L(F.size("l")).alias("n_links"), F.array_join("l", " ").alias("links"))
 
 
@@ -116,12 +116,12 @@ def q_dom_title(spark, d):
 
 @query("dom_prices", f"SELECT page_id, price_text AS prices FROM {G.SQL_G1}")
 def q_dom_prices(spark, d):
-    return G.g1_shop_pages(spark, d).select("page_id", J(H.prices("html", 20)).alias("prices"))
+    return G.g1_shop_pages(spark, d).select("page_id", J(H.prices("html")).alias("prices"))
 
 
 @query("dom_buttons", f"SELECT page_id, 'Buy' || p_brand AS buttons, CAST(1 AS BIGINT) AS n_buttons FROM {G.SQL_G1}")
 def q_dom_buttons(spark, d):
-    p = G.g1_shop_pages(spark, d).select("page_id", H.buttons("html", 30).alias("b"))
+    p = G.g1_shop_pages(spark, d).select("page_id", H.buttons("html").alias("b"))
     return p.select("page_id", F.array_join("b", "|").alias("buttons"), L(F.size("b")).alias("n_buttons"))
 
 
@@ -142,9 +142,9 @@ def q_dom_page_features(spark, d):
   UNION ALL SELECT -c_custkey AS page_id, CASE WHEN 8 + c_nationkey % 6 <= 11 THEN 'Fine print for customer ' || c_custkey ELSE '' END
   FROM customer""")
 def q_dom_small_print(spark, d):
-    a = G.g1_shop_pages(spark, d).select("page_id", J(H.small_print("html", 10)).alias("small_print"))
+    a = G.g1_shop_pages(spark, d).select("page_id", J(H.small_print("html")).alias("small_print"))
     b = G.g2_form_pages(spark, d).select((-F.col("page_id")).alias("page_id"),
-                                         J(H.small_print("html", 10)).alias("small_print"))
+                                         J(H.small_print("html")).alias("small_print"))
     return a.unionByName(b)
 
 
@@ -199,15 +199,15 @@ def q_dom_popup(spark, d):
 @query("dom_sticky", f"""SELECT page_id, CASE WHEN c_nationkey % 2 = 0 THEN 'Offer for' || c_name ELSE '' END AS sticky
   FROM {_G2}""")
 def q_dom_sticky(spark, d):
-    return G.g2_form_pages(spark, d).select("page_id", J(H.sticky_elements("html", 5)).alias("sticky"))
+    return G.g2_form_pages(spark, d).select("page_id", J(H.sticky_elements("html")).alias("sticky"))
 
 
 @query("dom_meta_description", f"SELECT page_id, c_mktsegment AS meta_description FROM {_G2} "
                                "UNION ALL SELECT -page_id, '' FROM pages")
 def q_dom_meta_description(spark, d):
-    a = G.g2_form_pages(spark, d).select("page_id", H.meta_description("html", 300).alias("meta_description"))
+    a = G.g2_form_pages(spark, d).select("page_id", H.meta_description("html").alias("meta_description"))
     b = _pages(spark, d).select((-F.col("page_id")).alias("page_id"),
-                                H.meta_description("html", 300).alias("meta_description"))
+                                H.meta_description("html").alias("meta_description"))
     return a.unionByName(b)
 
 

@@ -63,7 +63,7 @@ def sql_text_nodes(fragment: str) -> str:
             f"{SEP_SQL}), lambda p: p <> '')")
 
 
-def sql_visible(h: str, limit: int | None = 8000) -> str:
+def sql_visible(h: str, limit: int | None = None) -> str:
     nodes = sql_text_nodes(sql_clean(h))
     text = (f"array_to_string(list_filter(list_transform({nodes}, lambda s: trim(s, {SQL_WS})), "
             f"lambda s: s <> ''), ' ')")
