@@ -9,8 +9,7 @@ the data. ``ordered_scan`` computes the same running values in four steps:
 2. each row's chunk: a binary search of its own (key, order) values over the
    boundaries, so the chunk id is a pure function of the row, the same in
    every pass, and a hot key simply spans many chunks;
-3. chunks spread by hash; each partition sorted by (chunk, key, order) and
-   scanned in pandas over Arrow batches (state carried across batches);
+3. Spark's own window functions over (chunk, key) for the local values;
 4. per (chunk, key) totals from a column-pruned aggregate; for every key the
    combined totals of its earlier chunks. Only the first key of a chunk can
    continue from an earlier one, so the carry table has fewer rows than
@@ -19,21 +18,18 @@ the data. ``ordered_scan`` computes the same running values in four steps:
 Supported operators (all associative): ``count`` (running row number),
 ``sum``, ``max``, ``min``, ``any`` (boolean or) and ``last`` (last non-null
 value). Frame ``"upto"`` includes the current row, ``"before"`` excludes it.
-Order columns without a literal form fall back to range partitioning with the
-scanned rows written once to the shared checkpoint folder.
+A null key is a key like any other.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import shuffle_partitions
 
 OPS = ("count", "sum", "max", "min", "any", "last")
 
@@ -54,120 +50,26 @@ def _spark_type(df: DataFrame, a: Agg):
     return df.schema[a.col].dataType
 
 
-def window_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg]) -> DataFrame:
-    """Reference implementation with a key-partitioned window (small inputs, tests)."""
-    w = Window.partitionBy(key).orderBy(*order)
+def _running(df: DataFrame, window, aggs: list[Agg]) -> DataFrame:
+    """Built-in running aggregates over an ordered window, null where no row is in the frame."""
     out = df
     for a in aggs:
-        frame = w.rowsBetween(Window.unboundedPreceding, 0 if a.frame == "upto" else -1)
+        frame = window.rowsBetween(Window.unboundedPreceding, 0 if a.frame == "upto" else -1)
         if a.op == "count":
             e = F.count(F.lit(1)).over(frame)
-        elif a.op == "sum":
-            e = F.sum(a.col).over(frame)
-        elif a.op == "max":
-            e = F.max(a.col).over(frame)
-        elif a.op == "min":
-            e = F.min(a.col).over(frame)
         elif a.op == "any":
             e = F.coalesce(F.bool_or(a.col).over(frame), F.lit(False))
-        else:
+        elif a.op == "last":
             e = F.last(a.col, ignorenulls=True).over(frame)
+        else:
+            e = {"sum": F.sum, "max": F.max, "min": F.min}[a.op](a.col).over(frame)
         out = out.withColumn(a.out, e.cast(_spark_type(df, a)))
     return out
 
 
-def _local_scan(gcols: list[str], aggs: list[Agg], in_cols: list[str], int_outs: set[str]):
-    """Per-partition running values; rows arrive sorted by (group columns, order).
-
-    Groups are runs of equal ``gcols`` values. A group may continue across
-    Arrow batches: the running values at the last row of a batch are carried
-    into the next batch for rows of that group.
-    """
-
-    def group_ids(pdf):
-        g = pdf[gcols]
-        changed = (g != g.shift(1)).any(axis=1)
-        return changed.cumsum()
-
-    def running(pdf, gid, a):
-        if a.op == "count":
-            return pdf.groupby(gid, sort=False).cumcount().astype("float64") + 1
-        v = pdf[a.col]
-        if a.op == "any":
-            return v.fillna(False).astype(bool).astype("int8").groupby(gid, sort=False).cummax().astype(bool)
-        g = v.groupby(gid, sort=False)
-        if a.op == "sum":
-            return g.cumsum()
-        if a.op == "max":
-            return g.cummax()
-        if a.op == "min":
-            return g.cummin()
-        return g.ffill()
-
-    def add_carry(s, a, prev, same):
-        if prev is None or (not isinstance(prev, bool) and pd.isna(prev)):
-            return s
-        if a.op in ("count", "sum"):
-            return s.where(~same, s.fillna(0) + prev)
-        if a.op == "max":
-            return s.where(~same, s.where(s >= prev, prev).fillna(prev))
-        if a.op == "min":
-            return s.where(~same, s.where(s <= prev, prev).fillna(prev))
-        if a.op == "any":
-            return s.where(~same, s | bool(prev))
-        return s.where(~same | s.notna(), prev)
-
-    def run(batches):
-        state = None  # (tuple of group values, {out: running value at the last row})
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            gid = group_ids(pdf)
-            if state is not None:
-                first = tuple(pdf[c].iloc[0] for c in gcols)
-                cont = first == state[0]
-                same = (gid == gid.iloc[0]) if cont else pd.Series(False, index=pdf.index)
-            else:
-                same = pd.Series(False, index=pdf.index)
-            prev_same = gid.shift(1) == gid
-            out = pdf[in_cols].copy()
-            new_state = {}
-            for a in aggs:
-                upto = add_carry(running(pdf, gid, a), a, state[1][a.out] if state else None, same)
-                new_state[a.out] = upto.iloc[-1]
-                if a.frame == "before":
-                    if a.op == "count":
-                        val = upto - 1
-                    else:
-                        val = upto.shift(1).where(prev_same)
-                        if state is not None and bool(same.iloc[0]):
-                            val = val.astype(object)
-                            val.iloc[0] = state[1][a.out]
-                else:
-                    val = upto
-                if a.out in int_outs:
-                    val = pd.to_numeric(val, errors="coerce").round().astype("Int64")
-                elif a.op == "any":
-                    val = val.astype(object).where(val.notna(), None)
-                out[a.out] = val
-            state = (tuple(pdf[c].iloc[-1] for c in gcols), new_state)
-            yield out
-
-    return run
-
-
-def materialize(df: DataFrame, name: str = "scan_input") -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
-
-    For scan inputs whose plan holds shuffles (joins, aggregates): the scan
-    reads its input in several column-pruned passes, and a written table makes
-    each pass a plain scan. Also cuts lineage (no recomputation on executor loss).
-    """
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def window_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg]) -> DataFrame:
+    """Reference implementation with a key-partitioned window (small inputs, tests)."""
+    return _running(df, Window.partitionBy(key).orderBy(*order), aggs)
 
 
 def _norm(df: DataFrame, c: str):
@@ -179,6 +81,8 @@ def _norm(df: DataFrame, c: str):
         return F.coalesce(col, F.lit("")), "s"
     if isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return F.coalesce(col.cast("long"), F.lit(-(2 ** 63)).cast("long")), "n"
+    if isinstance(t, T.DecimalType):
+        return F.coalesce(col, F.lit("-" + "9" * (t.precision - t.scale or 1)).cast(t)), t.simpleString()
     if isinstance(t, T.BooleanType):
         return F.coalesce(col.cast("long"), F.lit(-1).cast("long")), "n"
     if isinstance(t, T.DoubleType) or isinstance(t, T.FloatType):
@@ -197,6 +101,8 @@ def _lit_sql(v, kind: str) -> str:
         return q(v)
     if kind == "n":
         return f"CAST({int(v)} AS BIGINT)"
+    if kind.startswith("decimal"):
+        return f"CAST('{v}' AS {kind})"
     return "CAST('-Infinity' AS DOUBLE)" if v == float("-inf") else f"CAST({float(v)!r} AS DOUBLE)"
 
 
@@ -208,21 +114,18 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
     boundaries are read from a seeded sample of the key/order columns only,
     and each row's chunk is a binary search of its values over them, so the
     chunk id is a pure function of the row and every reader agrees on it.
-    Chunks are spread by hash; each is scanned in order in pandas; per-chunk
-    totals (a column-pruned aggregate) give every key the carry of its
-    earlier chunks. At most one key per chunk continues from earlier chunks,
-    so the carry table has fewer rows than chunks and is broadcast.
-    Nothing is materialised and the input's expensive columns are computed
-    once (the sample and the totals read only the columns they need).
+    Running values inside a chunk are window functions over (chunk, key);
+    per-chunk totals (a column-pruned aggregate) give every key the carry of
+    its earlier chunks. At most one key per chunk continues from earlier
+    chunks, so the carry table has fewer rows than chunks and is broadcast.
+    The call runs two small jobs (a count and the sample); nothing is written.
     """
     for a in aggs:
         if a.op not in OPS:
             raise ValueError(f"unsupported op {a.op}")
-        if a.op == "last" and a.frame == "before":
-            raise ValueError("'last' supports only frame='upto'; shift the input instead")
     norms = [_norm(df, c) for c in [key, *order]]
     if any(x is None for x in norms):
-        return _ordered_scan_written(df, key, order, aggs, num_partitions)
+        raise TypeError(f"no total order known for one of {[key, *order]}")
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
     names = [f"c{i}" for i in range(len(norms))]
@@ -257,14 +160,8 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
                   f"ELSE named_struct('lo', acc.lo, 'hi', {mid}) END) ELSE acc END).lo")
         chunk = F.expr(f"transform(array({arr}), _b -> {search})[0]")
     chunked = df.withColumn("_cv", vstruct).withColumn("_chunk", chunk).drop("_cv")
-    in_cols = df.columns + ["_chunk"]
-    # 3. local running values per (chunk, key), chunks spread by hash
-    spread = chunked.repartition(n, "_chunk").sortWithinPartitions("_chunk", key, *order)
-    schema = T.StructType(list(spread.schema.fields) + [
-        T.StructField(a.out, _spark_type(df, a), True) for a in aggs])
-    int_outs = {a.out for a in aggs
-                if isinstance(_spark_type(df, a), (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
-    local = spread.mapInPandas(_local_scan(["_chunk", key], aggs, in_cols, int_outs), schema)
+    # 3. local running values per (chunk, key)
+    local = _running(chunked, Window.partitionBy("_chunk", key).orderBy(*order), aggs)
     # 4. totals per (chunk, key) -> carry of the earlier chunks of each key
     tot_exprs = []
     for a in aggs:
@@ -301,7 +198,8 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
     carry = (tot.select("_chunk", key, first.alias("_first"), *carry_cols)
              .filter(F.col("_chunk") > F.col("_first")).drop("_first"))
     # fewer carry rows than chunks (one continuing key per chunk at most): broadcast
-    joined = local.join(F.broadcast(carry), ["_chunk", key], "left")
+    carry = carry.withColumnsRenamed({"_chunk": "_cc", key: "_ck"})
+    joined = local.join(F.broadcast(carry), (F.col("_chunk") == F.col("_cc")) & F.col(key).eqNullSafe(F.col("_ck")), "left")
     return joined.select(*[F.col(c) for c in df.columns], *_combine_cols(df, aggs))
 
 
@@ -321,81 +219,3 @@ def _combine_cols(df: DataFrame, aggs: list[Agg]):
             e = F.coalesce(loc, car)
         out.append(e.cast(_spark_type(df, a)).alias(a.out))
     return out
-
-
-def _ordered_scan_written(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
-                 num_partitions: int | None = None) -> DataFrame:
-    """Fallback for order columns without a comparable literal form: range
-    partitioning, scanned rows written once to the shared folder."""
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    base = ensure_checkpoint_dir(df.sparkSession)  # the cluster's shared folder; a scratch one only if unset
-    in_cols = df.columns + ["_pid"]
-    ranged = (df.repartitionByRange(n, key, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .sortWithinPartitions(key, *order))
-    schema = T.StructType(list(ranged.schema.fields) + [
-        T.StructField(a.out, _spark_type(df, a), True) for a in aggs])
-    int_outs = {a.out for a in aggs
-                if isinstance(_spark_type(df, a), (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
-    # Range boundaries come from a sample seeded per execution, so two readers
-    # of the range shuffle may see different partitions. The scanned rows are
-    # written once as a table in the cluster's shared checkpoint folder (the
-    # partition id is a column, so every reader agrees on it), which also cuts
-    # lineage: a lost executor never forces the range shuffle to be redone.
-    # (An eager checkpoint() would run the scan twice: once to count, once to write.)
-    path = f"{base.rstrip('/')}/ordered_scan_{uuid.uuid4().hex}"
-    ranged.mapInPandas(_local_scan([key], aggs, in_cols, int_outs), schema).write.parquet(path)
-    local = df.sparkSession.read.parquet(path)
-
-    # totals per (partition, key); only keys spanning partitions need a carry
-    tot_exprs = []
-    for a in aggs:
-        if a.op == "count":
-            tot_exprs.append(F.count(F.lit(1)).alias(a.out))
-        elif a.op == "sum":
-            tot_exprs.append(F.sum(a.col).alias(a.out))
-        elif a.op == "max":
-            tot_exprs.append(F.max(a.col).alias(a.out))
-        elif a.op == "min":
-            tot_exprs.append(F.min(a.col).alias(a.out))
-        elif a.op == "any":
-            tot_exprs.append(F.coalesce(F.bool_or(a.col), F.lit(False)).alias(a.out))
-        else:
-            tot_exprs.append(F.max_by(F.col(a.col), F.when(F.col(a.col).isNotNull(),
-                                                            F.struct(*order))).alias(a.out))
-    tot = local.groupBy("_pid", key).agg(*tot_exprs)
-    earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = []
-    for a in aggs:
-        c = F.col(a.out)
-        if a.op in ("count", "sum"):
-            e = F.sum(c).over(earlier)
-        elif a.op == "max":
-            e = F.max(c).over(earlier)
-        elif a.op == "min":
-            e = F.min(c).over(earlier)
-        elif a.op == "any":
-            e = F.bool_or(c).over(earlier)
-        else:
-            e = F.last(c, ignorenulls=True).over(earlier)
-        carry_cols.append(e.alias("_c_" + a.out))
-    first_pid = F.min("_pid").over(Window.partitionBy(key))
-    carry = (tot.select("_pid", key, first_pid.alias("_first"), *carry_cols)
-             .filter(F.col("_pid") > F.col("_first")).drop("_first"))
-    # at most one continuing key per partition -> at most n rows: broadcast
-    joined = local.join(F.broadcast(carry), ["_pid", key], "left")
-    out_cols = [F.col(c) for c in df.columns]
-    for a in aggs:
-        loc, car = F.col(a.out), F.col("_c_" + a.out)
-        if a.op in ("count", "sum"):
-            e = F.when(car.isNull(), loc).otherwise(F.coalesce(loc, F.lit(0)) + car)
-        elif a.op == "max":
-            e = F.greatest(loc, car)
-        elif a.op == "min":
-            e = F.least(loc, car)
-        elif a.op == "any":
-            e = F.coalesce(loc, F.lit(False)) | F.coalesce(car, F.lit(False))
-        else:
-            e = F.coalesce(loc, car)
-        out_cols.append(e.cast(_spark_type(df, a)).alias(a.out))
-    return joined.select(*out_cols)
