@@ -21,12 +21,14 @@ def test_write_reports_partitioned_by_risk(spark):
         .withColumn("report_ts", F.lit(dt.datetime(2024, 5, 6, 7, 8, 9)))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports_{uuid.uuid4().hex}"
     sinks.write_reports(rep, path)
-    back = {r.risk: r for r in spark.read.json(path).collect()}
+    back = {r.risk: json.loads(r.value) for r in spark.read.text(path).collect()}
     assert set(back) == {"LOW", "UNKNOWN"}
-    doc = json.loads(back["LOW"].value)
+    doc = back["LOW"]
+    assert list(doc) == sinks.REPORT_KEY_ORDER and doc["dark_patterns_found"][0]["pattern"] == "Nagging"
     assert doc["url"] == "https://a.example" and doc["timestamp"] == "20240506_070809"
-    assert back["LOW"].report_key == "https___a_example_20240506_070809"
-    assert json.loads(back["UNKNOWN"].value)["dark_patterns_found"] == []
+    assert rep.filter("site = 'a'").select(sinks.report_key("url", "report_ts")).first()[0] == "https___a_example_20240506_070809"
+    assert back["UNKNOWN"]["dark_patterns_found"] == []
+    assert spark.read.json(path).filter("overall_risk = 'LOW'").first().pattern_count == 1
 
 
 def test_write_log_appends(spark):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, join_nonempty, py_list_repr
-from .scan import Agg, materialize, ordered_scan
+from .scan import Agg, ordered_scan
 
 SIGNALS = ["urgency_texts", "subscription_keywords", "consent_accept", "consent_reject",
            "dark_pattern_hints"]
@@ -36,7 +36,6 @@ def _empty(kind: str = "string") -> Column:
     return F.array().cast(types[kind])
 
 
-EVIDENCE_CHARS = 500
 DEFAULT_STEP_CAP = 10
 MIN_STEPS = 6
 
@@ -57,7 +56,7 @@ def _base(df, site, ts, seq, tool, summary, evidence, **kw) -> DataFrame:
     return df.select(col(site).cast("string").alias("site"), col(ts).alias("ts"),
                      col(seq).cast("long").alias("seq"), F.lit(tool).alias("tool"),
                      summary.alias("summary"),
-                     F.substring(F.coalesce(evidence, F.lit("")), 1, EVIDENCE_CHARS).alias("evidence"),
+                     F.coalesce(evidence, F.lit("")).alias("evidence"),
                      *[v.alias(k) for k, v in vals.items()])
 
 
@@ -174,12 +173,10 @@ def running_evidence(log: DataFrame, num_partitions: int | None = None) -> DataF
                       _signal_flag().alias("_sig"), "popup", "reject_missing", pos.alias("_pos"))
     first = (slim.filter(F.col("visited").isNotNull()).groupBy("site", "visited")
              .agg(F.min("_pos").alias("_first")))
-    flagged = (slim.join(first, ["site", "visited"], "left")
-               .withColumn("_visit_n", F.coalesce(F.col("_pos") == F.col("_first"), F.lit(False)).cast("long"))
-               .drop("_first", "_pos"))
-    # the scan reads its input in several pruned passes: write the slim joined
-    # input once so the join is not recomputed in each of them
-    flagged = materialize(flagged, "running_input")
+    # rows without a URL visit nothing: they bypass the join, whose key would be hot
+    landed = (slim.filter(F.col("visited").isNotNull()).join(first, ["site", "visited"])
+              .withColumn("_visit_n", (F.col("_pos") == F.col("_first")).cast("long")).drop("_first", "_pos"))
+    flagged = landed.unionByName(slim.filter(F.col("visited").isNull()).drop("_pos").withColumn("_visit_n", F.lit(0).cast("long")))
     aggs = [Agg("shots_so_far", "sum", "_shot_n"), Agg("visited_so_far", "sum", "_visit_n"),
             Agg("signals_so_far", "any", "_sig"), Agg("popup_so_far", "any", "popup"),
             Agg("reject_missing_so_far", "any", "reject_missing")]
@@ -201,9 +198,11 @@ def stop_steps(running: DataFrame) -> DataFrame:
 def investigation(log: DataFrame, cap: int = DEFAULT_STEP_CAP, num_partitions: int | None = None) -> DataFrame:
     """Steps actually taken: up to the stop step and at most ``cap`` steps."""
     numbered = log if "step" in log.columns else number_steps(log, num_partitions)
-    stops = stop_steps(running_evidence(numbered, num_partitions))
-    limit = F.least(F.coalesce(F.col("stop_step"), F.lit(cap)), F.lit(cap))
-    return numbered.join(stops, "site").filter(F.col("step") <= limit).drop("stop_step")
+    # the state of a step depends on earlier steps only, so the cap may come first:
+    # at most ``cap`` rows of a site enter the scan and the join
+    early = numbered.filter(F.col("step") <= cap)
+    stops = stop_steps(running_evidence(early, num_partitions))
+    return early.join(stops, "site").filter(F.col("step") <= F.coalesce("stop_step", F.lit(cap))).drop("stop_step")
 
 
 def cap_steps(log: DataFrame, n: int = DEFAULT_STEP_CAP) -> DataFrame:

@@ -238,6 +238,10 @@ def risk_code(risk) -> Column:
 # ---------------------------------------------------------------------------
 # rule classification (re-aimed analyst)
 # ---------------------------------------------------------------------------
+def _rule_rank() -> Column:
+    return F.struct(-severity_rank("severity"), F.col("recommendation"), F.col("kind"), F.col("signal"))
+
+
 def classify(evidence: DataFrame, key: str = "site", rules: DataFrame | None = None) -> DataFrame:
     """Evidence -> findings with the rules table.
 
@@ -264,10 +268,11 @@ def classify(evidence: DataFrame, key: str = "site", rules: DataFrame | None = N
                                       for f in present])) if present else F.array().cast(st)
     sig = F.concat(phrases.cast(st), cats.cast(st), flags.cast(st))
     signals = evidence.select(key, F.explode(sig).alias("s")).select(key, "s.kind", "s.signal")
-    hits = signals.join(F.broadcast(rules), ["kind", "signal"])
+    hits = signals.join(rules, ["kind", "signal"])  # the built-in rules are an inline table, broadcast by its size
     found = (hits.groupBy(key, "pattern").agg(
-        F.first("severity").alias("severity"), F.first("recommendation").alias("recommendation"),
-        F.first(F.when(F.col("kind") == "phrase", F.lit("urgency")).otherwise(F.col("signal"))).alias("instance"),
+        # of several rules of one pattern the most severe speaks, then the first of the alphabet
+        F.min_by("severity", _rule_rank()).alias("severity"), F.min_by("recommendation", _rule_rank()).alias("recommendation"),
+        F.min_by(F.when(F.col("kind") == "phrase", F.lit("urgency")).otherwise(F.col("signal")), _rule_rank()).alias("instance"),
         F.array_join(F.array_sort(F.collect_set("signal")), ", ").alias("evidence")))
     enriched = enrich_legal(enrich_taxonomy(found))
     findings = enriched.select(

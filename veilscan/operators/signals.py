@@ -15,24 +15,25 @@ from pyspark.sql import functions as F
 from ..functions.text import PY_WHITESPACE, bind, col
 from ..sources import dims
 
-MAX_SIGNALS = 10
-MAX_LEXICON_ROWS = 100_000  # broadcast bound for user lexicon tables
+#: Characters of a phrase that texts and lexicon tables are joined on.
+GRAM = 5
 SIGNALS_TYPE = ("struct<urgency_texts:array<string>,subscription_keywords:array<string>,"
                 "consent_accept:array<string>,consent_reject:array<string>,"
                 "dark_pattern_hints:array<string>,language_detected:string>")
 
 
 def _lexicon_rows(lexicon) -> list[tuple]:
-    """Rows (category, lang, ord, pattern) from the defaults or a small table."""
+    """Rows (category, lang, ord, pattern) of the defaults or a list."""
     if lexicon is None:
         return dims.lexicon_rows()
     if isinstance(lexicon, (list, tuple)):
         return list(lexicon)
-    n = lexicon.limit(MAX_LEXICON_ROWS + 1).count()
-    if n > MAX_LEXICON_ROWS:
-        raise ValueError(f"lexicon has more than {MAX_LEXICON_ROWS} rows; use lexicon_hits")
-    return [tuple(r) for r in lexicon.select("category", "lang", "ord", "pattern")
-            .orderBy("category", "ord").collect()]
+    raise TypeError("a lexicon table is joined: use lexicon_hits or lexicon_scan")
+
+
+def categories_of(rows) -> dict:
+    """Category -> output column: the built-in ones, then any other under its own name."""
+    return dims.CATEGORY_COLUMNS | {c: c for c in dict.fromkeys(r[0] for r in rows) if c not in dims.CATEGORY_COLUMNS}
 
 
 def _phrases(rows, category: str) -> list[str]:
@@ -64,7 +65,7 @@ def rule_signals(text, lexicon=None, categories: dict | None = None, whole_word:
     fallback.
     """
     rows = _lexicon_rows(lexicon)
-    cats = categories or dims.CATEGORY_COLUMNS
+    cats = categories or categories_of(rows)
 
     def scan(t):
         fields = []
@@ -81,20 +82,24 @@ def rule_signals(text, lexicon=None, categories: dict | None = None, whole_word:
 
 def lexicon_scan(df: DataFrame, text_col: str = "text", lexicon=None,
                  prefix: str = "", whole_word: bool = False) -> DataFrame:
-    """Add the four signal arrays (whole text scanned) to ``df``."""
+    """Add a signal array per category (whole text scanned) to ``df``.
+
+    Categories beyond the built-in ones become columns of their own name.
+    """
     out = df.withColumn("_sig", rule_signals(text_col, lexicon, whole_word=whole_word))
     # one projection reads the struct four times, so Catalyst keeps the scan in
     # its own projection instead of inlining it into every field
     return out.select(*df.columns, *[F.col("_sig." + c).alias(prefix + c)
-                                     for c in dims.CATEGORY_COLUMNS.values()])
+                                     for c in categories_of(_lexicon_rows(lexicon)).values()])
 
 
 def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon=None) -> DataFrame:
     """Long rows (key, category, lang, ord, pattern): one per phrase found in a text.
 
     Default lexicon: literal array of structs filtered per row, then exploded
-    (no join, no shuffle). A lexicon DataFrame: broadcast nested-loop join on
-    ``contains(lower(text), lower(pattern))`` with lower(text) projected once.
+    (no join, no shuffle). A lexicon DataFrame of any size: every phrase is
+    joined on its first ``GRAM`` characters (a shorter one on its first) with the
+    distinct grams of each text, and the candidates' texts are then searched.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if lexicon is None or isinstance(lexicon, (list, tuple)):
@@ -105,13 +110,14 @@ def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon
         hits = bind(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
                     lambda t: F.filter(lex, lambda s: t.contains(s["pattern"])))
         return df.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
-    n = lexicon.limit(MAX_LEXICON_ROWS + 1).count()
-    if n > MAX_LEXICON_ROWS:
-        raise ValueError("lexicon too large to broadcast")
-    lex = lexicon.select("category", "lang", "ord", F.lower("pattern").alias("pattern"))
+    lex = lexicon.select("category", "lang", "ord", F.lower("pattern").alias("pattern")).filter("pattern <> ''")
+    lex = lex.withColumn("_gram", F.expr(f"substring(pattern, 1, IF(length(pattern) >= {GRAM}, {GRAM}, 1))"))
     texts = df.select(*keys, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    return (texts.join(F.broadcast(lex), F.col("_lt").contains(F.col("pattern")))
-            .select(*keys, "category", "lang", "ord", "pattern"))
+    chars = texts.withColumn("_cs", F.split("_lt", ""))
+    pieces = F.transform("_cs", lambda c, i: F.array_join(F.slice("_cs", i + 1, GRAM), ""))
+    grams = F.array_distinct(F.concat("_cs", pieces))
+    return (chars.select(*keys, "_lt", F.explode(grams).alias("_gram")).join(lex, "_gram")
+            .filter(F.col("_lt").contains(F.col("pattern"))).select(*keys, "category", "lang", "ord", "pattern"))
 
 
 def lexicon_hit_counts(df: DataFrame, key: str, text_col: str = "text", lexicon=None) -> DataFrame:
@@ -121,9 +127,11 @@ def lexicon_hit_counts(df: DataFrame, key: str, text_col: str = "text", lexicon=
             .groupBy(key, "category").agg(F.count(F.lit(1)).alias("n_hits")))
 
 
-def cap_signals(sig, n: int = MAX_SIGNALS) -> Column:
-    """Each list of a signals struct cut to ``n`` entries."""
+def cap_signals(sig, n: int | None) -> Column:
+    """Each list of a signals struct cut to ``n`` entries (None: whole)."""
     s = col(sig)
+    if n is None:
+        return s
     return F.struct(*[F.slice(s[c], 1, n).alias(c) for c in dims.SIGNAL_COLUMNS],
                     s["language_detected"].alias("language_detected"))
 
@@ -205,12 +213,12 @@ def merge_signals(model, rule) -> Column:
 
 def extract_signals(df: DataFrame, text_col: str, key: str, responses: DataFrame | None = None,
                     raw_col: str = "raw", lexicon=None, fallback_on_error: bool = True,
-                    cap: int = MAX_SIGNALS) -> DataFrame:
+                    cap: int | None = None) -> DataFrame:
     """Whole extraction per text: rules always; a valid model reply is merged.
 
     ``responses`` holds (key, raw) model replies; it is left-joined on ``key``
     (a text without reply counts as a failed model call). Output: key columns,
-    the five capped lists, ``extraction_method`` (hybrid|fallback) and
+    the five lists (cut to ``cap`` if given), ``extraction_method`` (hybrid|fallback) and
     ``language_detected``. With ``fallback_on_error=False`` an invalid reply
     fails the job, like the audited tool raising.
     """

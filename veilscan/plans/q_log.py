@@ -45,7 +45,7 @@ def _lrepr(col):
     return f"'[' || array_to_string(list_transform({col}, lambda x: '{_R}' || x || '{_R}'), ', ') || ']'"
 
 
-SQL_EVIDENCE = f"""left(CASE tool
+SQL_EVIDENCE = f"""(CASE tool
   WHEN 'scraper' THEN CASE WHEN scrape_ok THEN 'Page ' || k || ' of ' || site ELSE '' END
   WHEN 'extractor' THEN '{{{_R}urgency_texts{_R}: ' || {_lrepr('urgency_texts')} || ', {_R}subscription_keywords{_R}: ' ||
     {_lrepr('subscription_keywords')} || ', {_R}consent_accept{_R}: ' || {_lrepr('consent_accept')} ||
@@ -54,7 +54,7 @@ SQL_EVIDENCE = f"""left(CASE tool
     '{_R}, {_R}language_detected{_R}: {_R}' || CASE WHEN k % 2 = 0 THEN 'en' ELSE 'unknown' END || '{_R}}}'
   WHEN 'screenshot' THEN coalesce(shot_path, '')
   WHEN 'navigator' THEN 'Landing ' || k
-  ELSE '' END, 500)"""
+  ELSE '' END)"""
 
 SQL_LOG = f"(SELECT *, {SQL_SUMMARY} AS summary, {SQL_EVIDENCE} AS evidence FROM {G.SQL_G3})"
 

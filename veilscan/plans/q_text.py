@@ -225,15 +225,15 @@ def q_set_union_signals(spark, d):
     return j.select("text_id", J(union_signals(model_u, S.scan_column("text", "urgency"))).alias("urgency_union"))
 
 
-def _sql_union_cap(model, rule, n=10):
-    return f"list_slice(list_concat({model}, list_filter({rule}, lambda p: NOT list_contains({model}, p))), 1, {n})"
+def _sql_union(model, rule):
+    return f"list_concat({model}, list_filter({rule}, lambda p: NOT list_contains({model}, p)))"
 
 
 @query("sig_extract", lambda: f"""SELECT g.text_id,
-  array_to_string(list_sort(CASE WHEN m.valid THEN {_sql_union_cap('m.m_urgency', _sql_rule('urgency'))} ELSE list_slice({_sql_rule('urgency')}, 1, 10) END), '|') AS urgency_texts,
-  array_to_string(list_sort(list_slice({_sql_rule('subscription')}, 1, 10)), '|') AS subscription_keywords,
-  array_to_string(list_sort(CASE WHEN m.valid THEN {_sql_union_cap('m.m_accept', _sql_rule('consent_accept'))} ELSE list_slice({_sql_rule('consent_accept')}, 1, 10) END), '|') AS consent_accept,
-  array_to_string(list_sort(list_slice({_sql_rule('consent_reject')}, 1, 10)), '|') AS consent_reject,
+  array_to_string(list_sort(CASE WHEN m.valid THEN {_sql_union('m.m_urgency', _sql_rule('urgency'))} ELSE {_sql_rule('urgency')} END), '|') AS urgency_texts,
+  array_to_string(list_sort({_sql_rule('subscription')}), '|') AS subscription_keywords,
+  array_to_string(list_sort(CASE WHEN m.valid THEN {_sql_union('m.m_accept', _sql_rule('consent_accept'))} ELSE {_sql_rule('consent_accept')} END), '|') AS consent_accept,
+  array_to_string(list_sort({_sql_rule('consent_reject')}), '|') AS consent_reject,
   CASE WHEN m.valid THEN array_to_string(m.m_hints, '|') ELSE '' END AS dark_pattern_hints,
   CASE WHEN m.valid THEN 'hybrid' ELSE 'fallback' END AS extraction_method,
   CASE WHEN m.valid THEN 'en' ELSE 'unknown' END AS language_detected

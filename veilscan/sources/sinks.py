@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 
+# fixed values: the keys of a saved report, in order
 REPORT_KEY_ORDER = ["url", "timestamp", "overall_risk", "overall_summary", "gdpr_concerns",
                     "pattern_count", "language_detected", "dark_patterns_found"]
 
@@ -32,11 +33,10 @@ def report_json(reports: DataFrame, url_col: str = "url", ts_col: str = "report_
 
 def write_reports(reports: DataFrame, path: str, url_col: str = "url", ts_col: str = "report_ts",
                   mode: str = "overwrite") -> None:
-    """Write JSON reports partitioned by risk level (one line per site)."""
+    """Write reports partitioned by risk level: text files with one JSON document per line."""
     out = reports.select(F.col("overall_risk").alias("risk"),
-                         report_key(url_col, ts_col).alias("report_key"),
                          report_json(reports, url_col, ts_col).alias("value"))
-    out.write.mode(mode).partitionBy("risk").json(path)
+    out.write.mode(mode).partitionBy("risk").text(path)
 
 
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
