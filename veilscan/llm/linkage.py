@@ -59,16 +59,20 @@ def components(store: Store, links: DataFrame) -> DataFrame:
 
 
 def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[[Callable, Callable], Column],
-           confirm: Callable[[DataFrame], DataFrame], pivot_rounds: int = 2) -> DataFrame | None:
+           confirm: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None,
+           pivot_rounds: int = 2) -> DataFrame | None:
     """(id, component) of the ids that have a link, or None where nothing has.
 
     ``members`` (key, id) puts ids into buckets; ``payload`` has one row per id
     with the columns that ``near`` compares: it gets two functions from column
     name to column and returns a cheap predicate that holds for every pair to
-    be linked. ``confirm`` takes distinct pairs (a, b) and returns the linked ones.
+    be linked. ``confirm`` takes distinct pairs (a, b) and returns the linked ones;
+    ``prepare`` is first given the ids (id) that share any bucket.
     """
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = store.save(members.join(shared, "key"), "members")
+    if prepare:
+        prepare(members.select("id").distinct())
     popular = members.groupBy("id").agg(F.sum("n").alias("rank"))
     open_ = members.select("key", "id").join(popular, "id").select("key", "id", "rank", F.col("id").alias("component"))
     labels = links = None

@@ -1,11 +1,14 @@
 """Near-duplicate documents: MinHash samples folded into odd sketches, banded candidates, exact check.
 
-Per document, ``bands * rows`` MinHash values of its distinct word shingles
-give (a) a key per band, where candidates meet, and (b) an odd sketch: a
-bitmap in which every sample toggles one bit. The population count of the XOR
-of two sketches estimates how many samples differ and hence the similarity,
-precisely where it is high; candidates far below the threshold go without
-reading their sets. What remains is confirmed on the full shingle sets.
+Per document, ``BANDS * ROWS`` MinHash values of its distinct word shingles
+give a key per band, where candidates meet. Its bottom-k MinHash sample (the
+``SAMPLE`` least shingle hashes; all of a smaller set) is folded into an odd
+sketch: a bitmap in which every sampled hash toggles one bit. The population
+count of the XOR of two sketches counts the samples that only one side has,
+precisely where similarity is high. Bits can only cancel, so a count beyond
+what the threshold allows excludes a pair for certain where both sets are
+whole samples, and beyond six standard errors else. What remains is confirmed
+on the full shingle sets.
 Documents with equal sets meet by a 128-bit digest of the set first, so a large
 group of copies enters the search as one row.
 """
@@ -16,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import linked
@@ -25,9 +28,8 @@ from .textbytes import NOT_BLANK, mix, shingles, slice_words, text_slices
 
 WORDS = 5
 BANDS, ROWS = 32, 5
-SKETCH_BITS = 512
-#: How far the estimate may lie below the threshold: seven standard errors of 160 samples at 0.8.
-SLACK = 0.22
+SKETCH_BITS = 1024
+SAMPLE = 1024
 
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -48,13 +50,13 @@ def minhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each row of samples, as int64 words."""
-    n, k = samples.shape
-    at = mix(samples.astype(np.uint64) * _FOLD + np.arange(k, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-    flat = at.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
-    parity = (np.bincount(flat.ravel(), minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+def odd_sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmap of the bottom-k sample of each sorted set, as int64 words."""
+    out = np.empty((len(sets), SKETCH_BITS // 8), np.uint8)
+    for i, hashes in enumerate(sets):
+        bits = (mix(hashes[:SAMPLE]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        out[i] = np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8))
+    return out.view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -63,10 +65,12 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix(folded + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def most_differing(threshold: float) -> int:
-    """Largest XOR population count of a pair that may reach the threshold."""
-    toggles = 2 * BANDS * ROWS * (1 - max(0.0, threshold - SLACK))
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** toggles)) + 1
+def most_differing(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Largest XOR population count of two sketches whose sets may reach the similarity."""
+    k_a, k_b, most = F.least(n_a, F.lit(SAMPLE)), F.least(n_b, F.lit(SAMPLE)), F.greatest(n_a, n_b)
+    both = (n_a + n_b) * (percent / (100 + percent))  # least size of the intersection
+    expected = k_a + k_b - 2 * both * F.least(F.lit(1.0), F.lit(float(SAMPLE)) / most)
+    return F.when(most <= SAMPLE, expected + 0.001).otherwise(expected + 6 * F.sqrt(expected) + 10)
 
 
 def _signatures(batches):
@@ -86,7 +90,7 @@ def _signatures(batches):
             d1[full] = np.add.reduceat(mix(flat + np.uint64(1)), at[:-1]).view(np.int64)
             d2[full] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at[:-1]).view(np.int64)
             samples = minhash(flat, at)
-            keys[full], bits[full] = band_keys(samples), odd_sketch(samples)
+            keys[full], bits[full] = band_keys(samples), odd_sketch([sets[i] for i in full])
         out |= {"d1": pa.array(d1), "d2": pa.array(d2)}
         out["bands"] = pa.ListArray.from_arrays(pa.array(np.arange(0, len(size) * BANDS + 1, BANDS, dtype=np.int32)),
                                                pa.array(keys.ravel()))
@@ -139,22 +143,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     reps = store.save(sig.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
                       .dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "representatives")
     members = reps.select("id", F.explode("bands").alias("key"))
-    limit = most_differing(percent / 100)
+    prepared = {}
 
     def near(a, b):
         xor = reduce(lambda x, y: x + y, [F.bit_count(a(s).bitwiseXOR(b(s))) for s in SKETCH])
         low, high = F.least(a("n_shingles"), b("n_shingles")), F.greatest(a("n_shingles"), b("n_shingles"))
-        return (low * 100 >= high * percent) & (xor <= limit)
+        return (low * 100 >= high * percent) & (xor <= most_differing(a("n_shingles"), b("n_shingles"), percent))
+
+    def prepare(ids):
+        wanted = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        prepared["sets"] = store.save(wanted.mapInArrow(_full_sets, "doc_id long, shingles binary"), "shingles")
 
     def confirm(pairs):
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        full = store.save(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                          .mapInArrow(_full_sets, "doc_id long, shingles binary"), "shingles", "none")
+        full = prepared["sets"]
         both = (pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
                 .join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b"))
         return both.select("a", "b", "set_a", "set_b").mapInArrow(_similar(percent), "a long, b long")
 
-    labels = linked(store, members, reps.select("id", "n_shingles", *SKETCH), near, confirm)
+    labels = linked(store, members, reps.select("id", "n_shingles", *SKETCH), near, confirm, prepare)
     own = sig.select("doc_id", "n_shingles", "d1", "d2").join(sets, ["n_shingles", "d1", "d2"], "left")
     if labels is None:
         own = own.withColumn("component", F.col("rep"))
