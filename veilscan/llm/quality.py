@@ -172,6 +172,8 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
     host, path = F.coalesce(F.col("source"), F.lit("\0null")), F.coalesce(F.col("lang"), F.lit("\0null"))
     known = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
     plain = with_text_probability(docs.select("doc_id", host.alias("host"), path.alias("path"), "text"), model).drop("text")
+    if model is None:
+        known = known.limit(0)
     evidence = (store.save(plain, "text").join(known, "doc_id", "left")
                 .select("host", "path", F.coalesce(F.col("good").cast("double"), "p_text").alias("p")))
     sites, mean = site_posteriors(evidence)
@@ -183,4 +185,4 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
     judged = judged.join(sites, (F.col("_host") == sites.host) & (F.col("_path") == sites.path))
     odds = _log_odds(F.col("p_text")) + _log_odds(F.col("path_posterior")) - _log_odds(F.lit(mean))
     p = F.lit(1.0) / (1 + F.exp(-odds))
-    return judged.select(*carry, "p_text", "host_posterior", "path_posterior", p.alias("p_good"), (p >= KEEP).alias("kept"))
+    return judged.select(*carry, "p_text", "host_posterior", "path_posterior", p.alias("p_good"), (p >= KEEP - 1e-9).alias("kept"))
