@@ -23,18 +23,15 @@ _HTML5 = html.entities.html5
 _LEGACY = sorted((k for k in _HTML5 if not k.endswith(";")), key=lambda k: (-len(k), k))
 
 # Numeric references the HTML5 spec maps to other characters (0x00, 0x0D, 0x80-0x9F).
-_CHARREF_FIX = dict(getattr(html, "_invalid_charrefs", {}))
-if not _CHARREF_FIX:  # rule form: cp1252 for C1 controls, U+FFFD for NUL, CR kept
-    _CHARREF_FIX = {0: "�", 13: "\r"}
-    for n in range(0x80, 0xA0):
-        try:
-            _CHARREF_FIX[n] = bytes([n]).decode("cp1252")
-        except UnicodeDecodeError:
-            _CHARREF_FIX[n] = chr(n)
+_CHARREF_FIX = {0: "\ufffd", 13: "\r"}
+for _n in range(0x80, 0xA0):
+    try:
+        _CHARREF_FIX[_n] = bytes([_n]).decode("cp1252")
+    except UnicodeDecodeError:
+        _CHARREF_FIX[_n] = chr(_n)
 # Code points a numeric reference drops entirely.
-_DROPPED = set(getattr(html, "_invalid_codepoints", set())) or (
-    set(range(1, 9)) | set(range(0xE, 0x20)) | set(range(0x7F, 0xA0)) | set(range(0xFDD0, 0xFDF0))
-    | {0xB} | {p * 0x10000 + 0xFFFE for p in range(17)} | {p * 0x10000 + 0xFFFF for p in range(17)})
+_DROPPED = (set(range(1, 9)) | set(range(0xE, 0x20)) | set(range(0x7F, 0xA0)) | set(range(0xFDD0, 0xFDF0))
+            | {0xB} | {p * 0x10000 + 0xFFFE for p in range(17)} | {p * 0x10000 + 0xFFFF for p in range(17)})
 
 CHARREF_RE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 LEGACY_RE = "^(" + "|".join(_LEGACY) + ")"

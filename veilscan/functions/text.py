@@ -85,8 +85,3 @@ def py_list_repr(arr) -> Column:
     """
     quoted = F.transform(col(arr), lambda s: F.concat(F.lit("'"), s, F.lit("'")))
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
-
-
-def sorted_joined(arr, sep: str = "|") -> Column:
-    """Arrays as sorted joined strings: the form used in oracle comparisons."""
-    return F.array_join(F.array_sort(col(arr)), sep)

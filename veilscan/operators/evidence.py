@@ -352,9 +352,17 @@ def run_stats(step_count, screenshot_count, pattern_count) -> Column:
                            col(screenshot_count), n, F.when(n != 1, "s").otherwise(""))
 
 
-def number_within(df: DataFrame, key: str, order: list[str], out: str = "rn") -> DataFrame:
-    """Small helper: row number per key with a plain window (bounded groups only)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def frontier(log: DataFrame) -> DataFrame:
+    """Navigations to a URL that their site had not visited before: (site, seq, url, step).
+
+    The first visit of each (site, url) is an aggregate, joined once and
+    compared by step: no pair of rows per earlier visit. Expects the numbered log.
+    """
+    nav = log.filter(F.col("tool") == "navigator").select("site", "seq", "url", "step")
+    first = first_visits(log)
+    known = nav.filter(F.col("url").isNotNull()).join(first, ["site", "url"], "left")
+    fresh = known.filter(F.col("first_step").isNull() | (F.col("first_step") >= F.col("step"))).drop("first_step")
+    return fresh.select("site", "seq", "url", "step").unionByName(nav.filter(F.col("url").isNull()))
 
 
 def landing_scrapes(log: DataFrame, num_partitions: int | None = None) -> DataFrame:

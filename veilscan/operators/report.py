@@ -10,11 +10,11 @@ from ..sources import dims
 from .findings import risk_code, with_display
 
 
-def findings_table(findings: DataFrame) -> DataFrame:
-    """Pattern, level, icon + strategy, severity, location (30 chars), GDPR mark."""
+def findings_table(findings: DataFrame, location_chars: int | None = None) -> DataFrame:
+    """Pattern, level, icon + strategy, severity, location (cut if asked), GDPR mark."""
     f = with_display(findings)
     return f.withColumn("strategy_label", F.concat(F.col("strategy_icon"), F.lit(" "), F.col("high_level_strategy"))) \
-        .withColumn("location_short", F.substring("location", 1, 30)) \
+        .withColumn("location_short", F.substring("location", 1, location_chars) if location_chars else F.col("location")) \
         .withColumn("gdpr_mark", F.when(F.col("gdpr_risk"), F.lit("⚠️")).otherwise(F.lit("—")))
 
 

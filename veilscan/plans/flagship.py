@@ -1,98 +1,14 @@
-"""Flagship audit: crawl pages -> features -> signals -> per-host findings -> risk.
-
-Plan shape: one narrow stage (scan, feature projection, lexicon scan; the
-HTML never leaves it), one exchange on ``host`` for the per-host evidence
-(partial aggregation map-side; a host's phrase set is bounded by the
-lexicon), broadcast joins with the rules/taxonomy/legal dimensions, and one
-small exchange for the per-host risk rollup.
-"""
+"""Flagship audit over the crawl table, and its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import dom
-from ..operators.findings import classify_inline, risk_of
-from ..operators.signals import rule_signals
+from ..operators.audit import audit_hosts
 from ..sources.tables import read_table
 from .fixtures import sql_lexicon, sql_rules, sql_taxonomy
 from .registry import sql_visible
 
-HOST_RE = r"^https?://([^/?#:]+)"
-
-
-def host_col(url="url"):
-    return F.regexp_extract(F.col(url), HOST_RE, 1)
-
-
-def page_evidence(pages: DataFrame, lexicon=None) -> DataFrame:
-    """Per page: host, phrases found in the whole visible text, feature flags."""
-    feats = dom.page_features(pages, max_visible_text=None, fields=[
-        "visible_text", "preselected_checkboxes", "popup_detected", "small_print", "sticky_elements"])
-    sig = rule_signals("visible_text", lexicon)
-    return feats.select(
-        "page_id", host_col().alias("host"), sig.alias("s"),
-        (F.size("preselected_checkboxes") > 0).alias("has_preselected"),
-        F.col("popup_detected"), (F.size("small_print") > 0).alias("has_small_print"),
-        (F.size("sticky_elements") > 0).alias("has_sticky"),
-    ).select("page_id", "host", "s.*", "has_preselected", "popup_detected", "has_small_print", "has_sticky")
-
-
-def _phrase_list(category: str, lexicon=None) -> list[str]:
-    from ..operators.signals import _lexicon_rows, _phrases
-    return _phrases(_lexicon_rows(lexicon), category)
-
-
-def host_evidence(pe: DataFrame, lexicon=None) -> DataFrame:
-    """Per-host evidence with aggregation state of fixed size.
-
-    Each page's phrase hits become one bitmask per lexicon category (phrase i
-    -> bit i); a host's state is the ``bit_or`` of those masks plus flags and a
-    count, so a host holding a third of all pages costs the same small state
-    per task as any other. Masks are decoded back to phrases in lexicon order.
-    """
-    cats = {"urgency_texts": "urgency", "subscription_keywords": "subscription",
-            "consent_accept": "consent_accept", "consent_reject": "consent_reject"}
-    lists = {c: _phrase_list(cat, lexicon) for c, cat in cats.items()}
-    if any(len(v) > 63 for v in lists.values()):
-        raise ValueError("a lexicon category with more than 63 phrases needs the join-based classify path")
-
-    def mask(c):
-        lex = F.array(*[F.lit(p) for p in lists[c]]) if lists[c] else F.array().cast("array<string>")
-        idx = F.transform(F.col(c), lambda p: F.array_position(lex, p) - 1)
-        return F.aggregate(idx, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))))
-
-    per_page = pe.select("host", *[mask(c).alias("m_" + c) for c in cats],
-                         ((F.size("consent_accept") > 0) & (F.size("consent_reject") == 0)).alias("rm"),
-                         "has_preselected", "popup_detected", "has_small_print", "has_sticky")
-    agg = per_page.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n_pages"), *[F.bit_or("m_" + c).alias("m_" + c) for c in cats],
-        F.bool_or("rm").alias("reject_button_missing"), F.bool_or("has_preselected").alias("has_preselected"),
-        F.bool_or("popup_detected").alias("popup_detected"), F.bool_or("has_small_print").alias("has_small_print"),
-        F.bool_or("has_sticky").alias("has_sticky"))
-
-    def decode(c):
-        lex = F.array(*[F.lit(p) for p in lists[c]]) if lists[c] else F.array().cast("array<string>")
-        m = F.col("m_" + c)
-        return F.filter(lex, lambda p, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1)
-
-    phrases = F.array_sort(F.array_distinct(F.concat(*[decode(c) for c in cats])))
-    categories = F.array_compact(F.array(*[F.when(F.col("m_" + c) != 0, F.lit(cat)) for c, cat in cats.items()]))
-    return agg.select("host", "n_pages", phrases.alias("phrases"), categories.alias("categories"),
-                      "reject_button_missing", "has_preselected", "popup_detected", "has_small_print", "has_sticky")
-
-
-def audit_hosts(pages: DataFrame, lexicon=None) -> DataFrame:
-    """One exchange: per-host evidence; classification and risk stay inside each host row."""
-    ev = classify_inline(host_evidence(page_evidence(pages, lexicon), lexicon))
-    f = F.col("findings")
-    return ev.select("host", F.col("n_pages").cast("long").alias("n_pages"),
-                     F.size(f).cast("long").alias("pattern_count"), risk_of("findings").alias("overall_risk"),
-                     F.exists(f, lambda x: x["gdpr_risk"]).alias("gdpr_concerns"),
-                     F.array_join(F.array_sort(F.transform(f, lambda x: x["pattern"])), "|").alias("patterns"))
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_hosts(read_table(spark, sf_dir, "pages"))

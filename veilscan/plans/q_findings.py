@@ -156,7 +156,7 @@ def q_agg_gdpr(spark, d):
   severity, left(location, 30) AS location_short, CASE WHEN gdpr_risk THEN '⚠️' ELSE '—' END AS gdpr_mark FROM {_E()}""")
 def q_rpt_table(spark, d):
     f = _enriched(spark, d).withColumn("pattern", F.col("canonical_pattern"))
-    t = R.findings_table(f)
+    t = R.findings_table(f, location_chars=30)
     return t.select("l_orderkey", "l_linenumber", "pattern", "level", "strategy_label", "severity",
                     "location_short", "gdpr_mark")
 

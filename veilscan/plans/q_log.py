@@ -249,12 +249,7 @@ def q_top_log_samples(spark, d):
 @query("jn_new_urls", f"""SELECT n.site, n.seq, n.url FROM {SQL_LOG} n WHERE n.tool = 'navigator' AND NOT EXISTS (
   SELECT 1 FROM {SQL_LOG} v WHERE v.site = n.site AND v.visited = n.url AND v.step < n.step)""")
 def q_jn_new_urls(spark, d):
-    lg = _log(spark, d)
-    nav = lg.filter(F.col("tool") == "navigator").select("site", "seq", "url", "step")
-    seen = lg.filter(F.col("visited").isNotNull()).select("site", F.col("visited").alias("v_url"),
-                                                          F.col("step").alias("v_step"))
-    cond = ((nav["site"] == seen["site"]) & (nav["url"] == seen["v_url"]) & (seen["v_step"] < nav["step"]))
-    return nav.join(seen, cond, "left_anti").select("site", L("seq").alias("seq"), "url")
+    return E.frontier(_log(spark, d)).select("site", L("seq").alias("seq"), "url")
 
 
 @query("jn_flow_pages", f"""SELECT n.site, n.seq, n.url, (SELECT s.seq FROM {SQL_LOG} s WHERE s.site = n.site AND s.tool = 'scraper'
@@ -390,22 +385,37 @@ def q_rec_prompt(spark, d):
 
 
 # --- screenshot files ---------------------------------------------------------------------------
-@query("src_screenshots")
+SHOT_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+              "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "missing"]
+_SQL_SHOT_FILE = f"list_extract({SHOT_NAMES}, step % {len(SHOT_NAMES)} + 1) || '.parquet'"
+
+
+def _manifest(spark, d):
+    """The logged shots; each one's file is a table of the data folder, picked by its step, or missing."""
+    pick = F.element_at(F.array(*[F.lit(n) for n in SHOT_NAMES]), (F.col("step") % len(SHOT_NAMES) + 1).cast("int"))
+    return E.screenshots(_log(spark, d)).select("site", "step", F.concat(F.lit(d.rstrip("/") + "/"), pick, F.lit(".parquet")).alias("path"))
+
+
+def _file_name(path="path"):
+    return F.element_at(F.split(path, "/"), -1)
+
+
+@query("src_screenshots", f"""SELECT {_SQL_SHOT_FILE} AS file, CAST(count(*) AS BIGINT) AS n_shots, CAST(count(DISTINCT site) AS BIGINT) AS n_sites
+  FROM {SQL_LOG} WHERE shot_path IS NOT NULL AND step % {len(SHOT_NAMES)} <> {len(SHOT_NAMES) - 1} GROUP BY 1""")
 def q_src_screenshots(spark, d):
-    """Rows only: the binaryFile source over the data folder (path, size; no content read)."""
-    return screenshot_files(spark, d, glob="*.parquet").select("path", "length")
+    """The files of the folder (no content read) with the logged shots that name them."""
+    files = screenshot_files(spark, d, glob="*.parquet").select(_file_name().alias("file"))
+    shots = _manifest(spark, d).groupBy(_file_name().alias("file")).agg(
+        L(F.count("*")).alias("n_shots"), L(F.countDistinct("site")).alias("n_sites"))
+    return files.join(shots, "file")
 
 
-@query("jn_existing_shots")
+@query("jn_existing_shots", f"""SELECT site, CAST(step AS BIGINT) AS step, {_SQL_SHOT_FILE} AS file
+  FROM {SQL_LOG} WHERE shot_path IS NOT NULL AND step % {len(SHOT_NAMES)} <> {len(SHOT_NAMES) - 1}""")
 def q_jn_existing_shots(spark, d):
-    """Rows only: screenshot manifest paths (one per logged shot) that exist as files."""
-    lg = _log(spark, d)
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-             "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "missing"]
-    pick = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("step") % len(names) + 1).cast("int"))
-    man = E.screenshots(lg).select("site", "step", F.concat(F.lit(d.rstrip("/") + "/"), pick,
-                                                             F.lit(".parquet")).alias("path"))
-    return existing_shots(man, screenshot_files(spark, d, glob="*.parquet"))
+    """Logged shots whose file exists."""
+    found = existing_shots(_manifest(spark, d), screenshot_files(spark, d, glob="*.parquet"))
+    return found.select("site", L("step").alias("step"), _file_name().alias("file"))
 
 
 @query("flt_scrape_ok", f"SELECT site, seq, url FROM {SQL_LOG} WHERE tool = 'scraper' AND scrape_ok")

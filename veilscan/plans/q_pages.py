@@ -44,8 +44,8 @@ def q_sink_report_key(spark, d):
     # a time-zone-free timestamp: the key does not depend on the session's zone
     base = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
     p = _pages(spark, d).withColumn("ts", base + F.make_dt_interval(secs=(F.col("page_id") * 3600).cast("decimal(18,6)")))
-    return p.select("page_id", report_key("url", "ts").alias("report_key"),
-                    report_key("url", "ts", strip_scheme=True).alias("shot_key"))
+    return p.select("page_id", report_key("url", "ts", width=50).alias("report_key"),
+                    report_key("url", "ts", strip_scheme=True, width=50).alias("shot_key"))
 
 
 # --- DOM over crawl pages --------------------------------------------------

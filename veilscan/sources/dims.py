@@ -367,13 +367,6 @@ def literal_map(d: dict):
     return F.create_map(*items)
 
 
-def lexicon_array(languages: list[str] | None, category: str):
-    """Literal array of one category's phrases, in scan order."""
-    phrases = [p for c, _, _, p in lexicon_rows(languages, [category])]
-    return F.array(*[F.lit(p) for p in phrases]) if phrases else F.array().cast(
-        T.ArrayType(T.StringType()))
-
-
 def name_dim_rows():
     """(name, canonical pattern, level, strategy, definition) for every name and alias."""
     tax = {p: (lv, st, d) for _, st, lv, p, d, _ in taxonomy_rows()}

@@ -12,12 +12,14 @@ REPORT_KEY_ORDER = ["url", "timestamp", "overall_risk", "overall_summary", "gdpr
                     "pattern_count", "language_detected", "dark_patterns_found"]
 
 
-def report_key(url, ts, strip_scheme: bool = False, width: int = 50) -> Column:
-    """File key: non-alphanumerics -> '_', first ``width`` chars, then ``_yyyyMMdd_HHmmss``."""
+def report_key(url, ts, strip_scheme: bool = False, width: int | None = None) -> Column:
+    """File key: non-alphanumerics -> '_', cut to ``width`` chars if given, then ``_yyyyMMdd_HHmmss``."""
     u = col(url)
     if strip_scheme:
         u = F.replace(F.replace(u, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit(""))
-    clean = F.substring(F.regexp_replace(u, r"[^\p{L}\p{N}]", "_"), 1, width)
+    clean = F.regexp_replace(u, r"[^\p{L}\p{N}]", "_")
+    if width:
+        clean = F.substring(clean, 1, width)
     return F.concat(clean, F.lit("_"), F.date_format(col(ts), "yyyyMMdd_HHmmss"))
 
 

@@ -9,25 +9,13 @@ PAGES_SCHEMA = "page_id long, url string, html string"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table stored in fewer files than the cluster has cores.
-
-    A file with one row group is read by one task however it is split, so
-    row-local CPU work (HTML features, phrase scans, reply parsing) would run
-    on one core. Such an input is small by construction (few files), and a
-    round-robin repartition to the default parallelism is cheap; a large table
-    (many files) is left as it is, with no extra exchange. Filters and column
-    pruning are still pushed below the repartition into the scan.
+    """Spread a table stored in one row group over the cores (for the small driver tables).
+
+    A file with one row group is read by one task however it is split. The
+    readers below never do this: a real table has many files, and its HTML is
+    not to cross a shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        # the file index is already listed for planning; only its length crosses to Python
-        n_files = len(df._jdf.inputFiles())
-    except Exception:  # noqa: BLE001 - non-file sources
-        return df
-    if n_files < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
@@ -39,8 +27,8 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """Crawl snapshot (page_id, url, html). Column pruning keeps ``html`` out of
     every query that does not select it."""
     if fmt == "parquet":
-        return spread(spark.read.parquet(path))
-    return spread(spark.read.schema(PAGES_SCHEMA).format(fmt).load(path))
+        return spark.read.parquet(path)
+    return spark.read.schema(PAGES_SCHEMA).format(fmt).load(path)
 
 
 def read_responses(spark: SparkSession, path: str, fmt: str = "parquet", key: str = "site",
@@ -58,7 +46,7 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet", key: st
         reader = reader.schema(schema or f"`{key}` string, `{raw}` string")
         if fmt == "csv":
             reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
-    return spread(reader.load(path)).select(key, raw)
+    return reader.load(path).select(key, raw)
 
 
 def screenshot_files(spark: SparkSession, path: str, glob: str | None = None,

@@ -1,30 +1,22 @@
 """Structured Streaming jobs: the same DataFrame functions over arriving files.
 
 Each job reads a folder with ``readStream`` (schema given, no inference),
-applies the batch operators unchanged, and writes with a checkpoint in the
-cluster's shared checkpoint folder, so a restarted or failed-over job
-resumes exactly where it stopped. ``available_now=True`` processes what is
+applies the batch operators unchanged, and writes to a folder the caller names,
+with the checkpoint beside it, so a restarted or failed-over job resumes
+exactly where it stopped. ``available_now=True`` processes what is
 there and stops (what tests and backfills use); otherwise a processing-time
 trigger keeps the job running.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..plans.flagship import page_evidence
-from ..session import ensure_checkpoint_dir
+from ..operators.audit import page_evidence
 
 PAGES_SCHEMA = "page_id long, url string, html string"
-EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}_{uuid.uuid4().hex}"
 
 
 def _trigger(writer, available_now: bool, every: str = "30 seconds"):
@@ -38,10 +30,9 @@ def read_stream(spark: SparkSession, folder: str, schema: str, glob: str | None
     return r.parquet(folder)
 
 
-def stream_signals(spark: SparkSession, in_dir: str, out_dir: str | None = None, glob: str = "pages.parquet",
+def stream_signals(spark: SparkSession, in_dir: str, out_dir: str, glob: str = "pages.parquet",
                    available_now: bool = True) -> str:
     """Score pages as they land: features + lexicon signals, appended to ``out_dir``."""
-    out_dir = out_dir or _scratch(spark, "page_signals")
     pages = read_stream(spark, in_dir, PAGES_SCHEMA, glob)
     pe = page_evidence(pages).select("page_id", "host", "urgency_texts", "subscription_keywords",
                                      "consent_accept", "consent_reject", "popup_detected")
@@ -52,14 +43,17 @@ def stream_signals(spark: SparkSession, in_dir: str, out_dir: str | None = None,
     return out_dir
 
 
-def stream_site_evidence(spark: SparkSession, log: DataFrame, out_dir: str | None = None,
+def stream_site_evidence(spark: SparkSession, log: DataFrame, out_dir: str,
                          available_now: bool = True) -> str:
-    """Running accumulator per site over a streaming log (complete state per micro-batch).
+    """Running accumulator per site over a streaming log (update mode).
+
+    Every micro-batch writes the sites it changed under ``epoch=N``, replacing
+    that folder if the batch is run again; ``current_state`` reads the latest
+    row of each site.
 
     Streaming state holds one row per site (counters and flags only), so the
     state size is bounded by the number of sites, never by their log length.
     """
-    out_dir = out_dir or _scratch(spark, "site_evidence")
     signal = ((F.size("urgency_texts") > 0) | (F.size("subscription_keywords") > 0)
               | (F.size("dark_pattern_hints") > 0) | (F.size("preselected") > 0)
               | F.col("popup") | F.col("reject_missing"))
@@ -76,35 +70,28 @@ def stream_site_evidence(spark: SparkSession, log: DataFrame, out_dir: str | Non
                          & (F.col("step_count") >= E.MIN_STEPS) & F.col("_signals")).drop("_visited", "_signals")
 
     def write(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
-    q = _trigger(agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = _trigger(agg.writeStream.outputMode("update").foreachBatch(write)
                  .option("checkpointLocation", out_dir + "_ckpt"), available_now).start()
     if available_now:
         q.awaitTermination()
     return out_dir
 
 
-def stream_dedupe(spark: SparkSession, visits: DataFrame, delay: str = "3650 days", out_dir: str | None = None,
+def current_state(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The latest row of each site that ``stream_site_evidence`` wrote."""
+    rows = spark.read.parquet(out_dir)
+    cols = [c for c in rows.columns if c not in ("site", "epoch")]
+    return rows.groupBy("site").agg(F.max_by(F.struct(*cols), "epoch").alias("s")).select("site", "s.*")
+
+
+def stream_dedupe(spark: SparkSession, visits: DataFrame, out_dir: str, delay: str,
                   available_now: bool = True) -> str:
     """Each (site, url) once: ``dropDuplicatesWithinWatermark`` keeps state for ``delay`` only."""
-    out_dir = out_dir or _scratch(spark, "visited")
     d = visits.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["site", "url"])
     q = _trigger(d.writeStream.format("parquet").option("path", out_dir)
                  .option("checkpointLocation", out_dir + "_ckpt").outputMode("append"), available_now).start()
     if available_now:
         q.awaitTermination()
     return out_dir
-
-
-def streaming_log(spark: SparkSession, in_dir: str) -> DataFrame:
-    """The G3 evidence log over a stream of event files (no step numbers: unordered input)."""
-    from ..plans import fixtures as G
-    ev = read_stream(spark, in_dir, EVENTS_SCHEMA, "events.parquet")
-    ev = ev.select("event_id", "ts", "user_id", "event_type",
-                   F.get_json_object("props", "$.k").cast("int").alias("k"),
-                   F.concat(F.lit("https://site"), F.col("user_id"), F.lit(".example")).alias("site"))
-    view, purchase, signup, click, error = G.g3_parts(ev)
-    return E.build_log(E.scrape_log(view), E.extract_log(purchase), E.screenshot_log(signup),
-                       E.navigation_log(click), E.agent_log(error))
-
