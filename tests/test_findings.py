@@ -34,6 +34,8 @@ def test_parse_reports(spark):
     assert got["ok"].dark_patterns_found[1].legal_reference is None
     assert got["clean"].overall_risk == "CLEAN" and got["clean"].pattern_count == 0
     assert got["missing_key"].analysis_error == FN.ERR_CONSTRUCT and got["missing_key"].overall_risk == "UNKNOWN"
+    assert got["missing_key"].error_detail == "dark_patterns_found[1].legal_reference" and got["ok"].error_detail is None
+    assert got["ok"].n_out_of_domain == 0
     assert got["wrong_count"].pattern_count == 5            # the model's count is kept
     assert got["wrong_count"].count_mismatch and got["wrong_count"].computed_pattern_count == 1
     assert got["lax"].analysis_success and got["lax"].pattern_count == 2

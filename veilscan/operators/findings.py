@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import bind, col
 from ..sources import dims
-from .signals import is_array, is_object, response_json
+from .signals import is_object, response_json
 
+# fixed values: fields of a finding, keys of a report and the error texts of the contract
 FINDING_FIELDS = ["pattern", "level", "high_level_strategy", "severity", "evidence", "location",
                   "gdpr_risk", "legal_reference", "recommendation"]
 FINDING_TYPE = ("struct<pattern:string,level:string,high_level_strategy:string,severity:string,"
@@ -25,76 +26,106 @@ REPORT_KEYS = ["dark_patterns_found", "overall_risk", "overall_summary", "gdpr_c
 ERR_NO_REPLY = "All backends failed"
 ERR_STRUCTURE = "Invalid response structure from LLM"
 ERR_CONSTRUCT = "Report construction failed"
+# fixed values: the domains of a finding's level and severity
+LEVELS = ["low", "meso", "high"]
+SEVERITIES = ["LOW", "MEDIUM", "HIGH"]
 
+_TRUE = ["true", "1", "yes", "on", "t", "y"]
+_FALSE = ["false", "0", "no", "off", "f", "n"]
 
-def _vt(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
+def _scalar(v: Column, path: str = "$") -> Column:
+    """A value with the name of its type, for the readers below (bind it once)."""
+    e = F.try_variant_get(v, path, "variant")
+    return F.struct(F.schema_of_variant(e).alias("t"), e.alias("e"))
 
-_TRUE = ["true", "1", "yes", "on", "t", "y"]
-_FALSE = ["false", "0", "no", "off", "f", "n"]
 
+def _as_string(x: Column) -> Column:
+    return F.when(x["t"] == "STRING", F.try_variant_get(x["e"], "$", "string"))
 
-def lax_bool(v: Column, path: str) -> Column:
+
+def _as_bool(x: Column) -> Column:
     """Boolean the way a lax typed model reads it: true/false, 0/1, or the
     usual words ("yes", "off", "t", ...); null when it is none of these."""
-    t = _vt(v, path)
-    s = F.lower(F.try_variant_get(v, path, "string"))
-    n = F.try_variant_get(v, path, "double")
-    return (F.when(t == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+    t, n = x["t"], F.try_variant_get(x["e"], "$", "double")
+    s = F.lower(F.try_variant_get(x["e"], "$", "string"))
+    return (F.when(t == "BOOLEAN", F.try_variant_get(x["e"], "$", "boolean"))
             .when((t == "STRING") & s.isin(_TRUE), F.lit(True))
             .when((t == "STRING") & s.isin(_FALSE), F.lit(False))
             .when(t.startswith("BIGINT") | t.startswith("DECIMAL") | t.startswith("DOUBLE"),
                   F.when(n == 1, F.lit(True)).when(n == 0, F.lit(False))))
 
 
-def lax_int(v: Column, path: str) -> Column:
+def _as_int(x: Column) -> Column:
     """Integer the way a lax typed model reads it: an integer, an integral
     decimal (2.0), or a string of digits; null otherwise."""
-    t = _vt(v, path)
-    d = F.try_variant_get(v, path, "double")
-    s = F.try_variant_get(v, path, "string")
-    return (F.when(t == "BIGINT", F.try_variant_get(v, path, "bigint"))
+    t, d = x["t"], F.try_variant_get(x["e"], "$", "double")
+    s = F.try_variant_get(x["e"], "$", "string")
+    return (F.when(t == "BIGINT", F.try_variant_get(x["e"], "$", "bigint"))
             .when((t.startswith("DECIMAL") | t.startswith("DOUBLE")) & (d == F.floor(d)), d.cast("bigint"))
             .when((t == "STRING") & s.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(s).try_cast("bigint")))
 
 
+def _checked_finding(m: Column) -> Column:
+    """Struct(f, bad) of one finding given as map<string,variant>: typed values, first unusable field.
+
+    Every field is looked up and its type named once; all later steps read the bound struct.
+    """
+    def read(raw):
+        values = [(_as_bool if k == "gdpr_risk" else _as_string)(raw[k]).alias(k) for k in FINDING_FIELDS]
+
+        def judge(f):
+            bad = F.coalesce(*[
+                # the legal reference must be there, but may be null
+                F.when((~raw[k]["t"].isin("STRING", "VOID") | raw[k]["t"].isNull()) if k == "legal_reference" else f[k].isNull(), F.lit(k))
+                for k in FINDING_FIELDS])
+            return F.struct(f.alias("f"), F.when(m.isNull(), "object").otherwise(bad).alias("bad"))
+
+        return bind(F.struct(*values), judge)
+
+    return bind(F.struct(*[_scalar(F.try_element_at(m, F.lit(k))).alias(k) for k in FINDING_FIELDS]), read)
+
+
 def _finding_ok(f: Column) -> Column:
     """A finding (variant) has all nine keys with values a typed model accepts."""
-    ok = is_object(f)
-    for k in FINDING_FIELDS:
-        t = _vt(f, f"$.{k}")
-        if k == "gdpr_risk":
-            ok = ok & lax_bool(f, f"$.{k}").isNotNull()
-        elif k == "legal_reference":
-            # must be present; may be null
-            ok = ok & F.coalesce((t == "STRING") | (t == "VOID"), F.lit(False))
-        else:
-            ok = ok & F.coalesce(t == "STRING", F.lit(False))
-    return ok
+    return _checked_finding(F.try_variant_get(f, "$", "map<string,variant>"))["bad"].isNull()
 
 
 def report_status(raw) -> Column:
-    """Struct(v, status, error): parse a reply and classify the three failures."""
-    v = response_json(raw)
-    obj = is_object(v)
-    keys_ok = obj
-    for k in REPORT_KEYS:
-        keys_ok = keys_ok & F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
-    items = F.try_variant_get(v, "$.dark_patterns_found", "array<variant>")
-    checked = F.transform(items, lambda f: F.struct(f.alias("f"), _finding_ok(f).alias("ok")))
-    findings_ok = F.coalesce(F.forall(checked, lambda x: x["ok"]), F.lit(False)) & is_array(v, "$.dark_patterns_found")
-    scalars_ok = (lax_bool(v, "$.gdpr_concerns").isNotNull()
-                  & lax_int(v, "$.pattern_count").isNotNull()
-                  & F.coalesce(_vt(v, "$.overall_risk") == "STRING", F.lit(False))
-                  & F.coalesce(_vt(v, "$.overall_summary") == "STRING", F.lit(False))
-                  & F.coalesce(_vt(v, "$.language_detected") == "STRING", F.lit(False))
-                  & F.coalesce(_vt(v, "$.ontology_reference") == "STRING", F.lit(True)))
-    error = (F.when(v.isNull() | ~obj, F.lit(ERR_NO_REPLY))
-             .when(~keys_ok, F.lit(ERR_STRUCTURE))
-             .when(~(findings_ok & scalars_ok), F.lit(ERR_CONSTRUCT)))
-    # each finding's validity is computed once here and reused by the parser
-    return F.struct(v.alias("v"), error.alias("error"), checked.alias("checked"))
+    """Struct(v, r, error, detail, checked): a reply parsed once, and which of the three failures it is.
+
+    ``detail`` names the first field that a typed report cannot take.
+    """
+    def on_parsed(v):
+        obj = is_object(v)
+        scalars = F.struct(*[_scalar(v, f"$.{k}").alias(k) for k in [*REPORT_KEYS, "ontology_reference"]])
+        checked = F.transform(F.try_variant_get(v, "$.dark_patterns_found", "array<map<string,variant>>"), _checked_finding)
+
+        def on_scalars(x):
+            typed = F.struct(_as_bool(x["gdpr_concerns"]).alias("gdpr_concerns"), _as_int(x["pattern_count"]).alias("pattern_count"),
+                             *[_as_string(x[k]).alias(k) for k in ("overall_risk", "overall_summary", "language_detected", "ontology_reference")])
+
+            def on_both(c):
+                keys_ok = obj
+                for k in REPORT_KEYS:
+                    keys_ok = keys_ok & x[k]["t"].isNotNull()
+                r, cs = c["r"], c["checked"]
+                at = F.array_position(F.transform(cs, lambda y: y["bad"].isNotNull()), True)
+                detail = F.coalesce(
+                    F.when(cs.isNull(), F.lit("dark_patterns_found")),
+                    F.when(at > 0, F.concat(F.lit("dark_patterns_found["), (at - 1).cast("string"), F.lit("]."),
+                                            F.try_element_at(cs, at.cast("int"))["bad"])),
+                    *[F.when(r[k].isNull(), F.lit(k)) for k in ("gdpr_concerns", "pattern_count", "overall_risk", "overall_summary", "language_detected")],
+                    F.when(x["ontology_reference"]["t"].isNotNull() & r["ontology_reference"].isNull(), F.lit("ontology_reference")))
+                error = (F.when(v.isNull() | ~obj, F.lit(ERR_NO_REPLY)).when(~keys_ok, F.lit(ERR_STRUCTURE))
+                         .when(detail.isNotNull(), F.lit(ERR_CONSTRUCT)))
+                return F.struct(v.alias("v"), r.alias("r"), error.alias("error"), detail.alias("detail"), cs.alias("checked"))
+
+            return bind(F.struct(typed.alias("r"), checked.alias("checked")), on_both)
+
+        return bind(scalars, on_scalars)
+
+    return bind(response_json(raw), on_parsed)
 
 
 def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
@@ -105,11 +136,9 @@ def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
     fail validation (the default, like the audited tool, voids the report).
     """
     st = responses.select(key, report_status(raw_col).alias("_s"))
-    v = F.col("_s.v")
+    r = F.col("_s.r")
     ok = F.col("_s.error").isNull()
-    typed = F.transform(F.filter(F.col("_s.checked"), lambda x: x["ok"]), lambda x: F.struct(
-        *[(lax_bool(x["f"], f"$.{k}") if k == "gdpr_risk" else F.try_variant_get(x["f"], f"$.{k}", "string")).alias(k)
-          for k in FINDING_FIELDS]))
+    typed = F.transform(F.filter(F.col("_s.checked"), lambda x: x["bad"].isNull()), lambda x: x["f"])
     if salvage:
         ok_findings = F.coalesce(typed, F.array().cast(f"array<{FINDING_TYPE}>"))
         success = ok | (F.col("_s.error") == ERR_CONSTRUCT)
@@ -119,27 +148,29 @@ def parse_reports(responses: DataFrame, key: str = "site", raw_col: str = "raw",
     return st.select(
         key,
         ok_findings.alias("dark_patterns_found"),
-        F.when(success, F.coalesce(F.try_variant_get(v, "$.overall_risk", "string"), F.lit("UNKNOWN")))
+        F.when(success, F.coalesce(r["overall_risk"], F.lit("UNKNOWN")))
         .otherwise(F.lit("UNKNOWN")).alias("overall_risk"),
-        F.when(success, F.coalesce(F.try_variant_get(v, "$.overall_summary", "string"), F.lit("")))
+        F.when(success, F.coalesce(r["overall_summary"], F.lit("")))
         .otherwise(F.lit("Analysis failed.")).alias("overall_summary"),
-        F.when(success, F.coalesce(lax_bool(v, "$.gdpr_concerns"), F.lit(False)))
+        F.when(success, F.coalesce(r["gdpr_concerns"], F.lit(False)))
         .otherwise(F.lit(False)).alias("gdpr_concerns"),
-        F.when(success, F.coalesce(lax_int(v, "$.pattern_count").cast("int"), F.size(ok_findings)))
+        F.when(success, F.coalesce(r["pattern_count"].cast("int"), F.size(ok_findings)))
         .otherwise(F.lit(0)).alias("pattern_count"),
-        F.when(success, F.coalesce(F.try_variant_get(v, "$.language_detected", "string"), F.lit("unknown")))
+        F.when(success, F.coalesce(r["language_detected"], F.lit("unknown")))
         .otherwise(F.lit("unknown")).alias("language_detected"),
-        F.when(success, F.coalesce(F.try_variant_get(v, "$.ontology_reference", "string"),
+        F.when(success, F.coalesce(r["ontology_reference"],
                                    F.lit(dims.ONTOLOGY_REFERENCE_SHORT)))
         .otherwise(F.lit(dims.ONTOLOGY_REFERENCE_SHORT)).alias("ontology_reference"),
         success.alias("analysis_success"),
         F.when(~success, F.col("_s.error")).alias("analysis_error"),
+        F.when(F.col("_s.error") == ERR_CONSTRUCT, F.col("_s.detail")).alias("error_detail"),
     ).transform(_with_checks)
 
 
 def _with_checks(rep: DataFrame) -> DataFrame:
     """The model's own count, risk and GDPR flag are kept; computed values and
-    mismatch flags sit beside them."""
+    mismatch flags sit beside them, with the count of findings whose level or
+    severity is outside its domain."""
     f = F.col("dark_patterns_found")
     sev = F.array_max(F.transform(f, lambda x: severity_rank(x["severity"])))
     computed = (F.when(~F.col("analysis_success"), F.lit("UNKNOWN")).when(sev == 3, "HIGH")
@@ -148,6 +179,7 @@ def _with_checks(rep: DataFrame) -> DataFrame:
     return (rep.withColumn("computed_pattern_count", F.size(f))
             .withColumn("computed_risk", computed)
             .withColumn("computed_gdpr", gdpr)
+            .withColumn("n_out_of_domain", F.size(F.filter(f, lambda x: ~x["level"].isin(LEVELS) | ~x["severity"].isin(SEVERITIES))))
             .withColumn("count_mismatch", F.col("pattern_count") != F.col("computed_pattern_count"))
             .withColumn("risk_mismatch", F.col("overall_risk") != F.col("computed_risk"))
             .withColumn("gdpr_mismatch", F.col("gdpr_concerns") != F.col("computed_gdpr")))
