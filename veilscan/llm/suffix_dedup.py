@@ -39,6 +39,9 @@ SPAN = MATCH - GRAM + 1
 SHARD_BYTES = 4 << 20
 #: A hash with more different regions is split into pieces of up to BLOCK starts.
 SPLIT, BLOCK = 512, 32
+#: Starts of a long text that are cut into regions at a time. Where a cut falls
+#: does not matter: regions of one hash are compared wherever they lie.
+STARTS = 1 << 22
 
 _rng = np.random.default_rng(77)
 _EXACT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,10 +109,12 @@ def _region_rows(batches):
         ids = batch.column("doc_id").to_pylist()
         out, held = [], 0
         for i, doc_id in enumerate(ids):
-            first, count, key, digest, inner = regions(data[offsets[i]:offsets[i + 1]])
-            if len(first):
-                out.append((np.full(len(first), doc_id, np.int64), first, count, key.view(np.int64), digest.view(np.int64), inner))
-                held += len(first)
+            for at in range(int(offsets[i]), int(offsets[i + 1]), STARTS):
+                first, count, key, digest, inner = regions(data[at:min(at + STARTS + MATCH - 1, offsets[i + 1])])
+                if len(first):
+                    out.append((np.full(len(first), doc_id, np.int64), first + (at - offsets[i]), count,
+                                key.view(np.int64), digest.view(np.int64), inner))
+                    held += len(first)
             if held > 1 << 15 or (out and i == len(ids) - 1):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "first", "n", "key", "digest", "inner"])
                 out, held = [], 0
