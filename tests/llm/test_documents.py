@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import ODD, empty, frame, groups_of, near_copies, words
 
@@ -190,6 +191,18 @@ def test_induced_sort(seed):
     assert values.tolist() == [0, *[shared(a, b) for a, b in zip(want, want[1:])]]
 
 
+def assert_regions_cover(monkeypatch):
+    """Every start is in one region, also where a long text is cut."""
+    text = " ".join(words(random.Random(9), 700))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([5]), "text": pa.array([text])})
+    for starts in (1000, 1 << 22):
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "STARTS", starts)
+            rows = pa.Table.from_batches(list(suffix_dedup._region_rows([batch]))).to_pylist()
+        covered = [p for r in rows for p in range(r["first"], r["first"] + r["n"])]
+        assert covered == list(range(len(text) - 199))
+
+
 def brute_removed(texts):
     seen = {}
     for i, t in enumerate(texts):
@@ -208,6 +221,7 @@ def brute_removed(texts):
 @pytest.mark.parametrize("split", [512, 1])
 def test_repeats_removed(spark, split, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    assert_regions_cover(monkeypatch)
     rnd = random.Random(7)
     bases = [" ".join(words(rnd, n, 50)) for n in (30, 80, 150, 400)]
     texts = []
