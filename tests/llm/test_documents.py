@@ -121,7 +121,8 @@ def test_repeated_lines(spark):
 
     links = [(a, b) for a, b in itertools.combinations(range(len(names)), 2)
              if meet(sims[names[a]], sims[names[b]])
-             and line_dedup.edit_distance(names[a], names[b]) <= (1 - line_dedup.MIN_SIMILARITY) * max(len(names[a]), len(names[b])) + 1e-9]
+             and line_dedup.edit_distance(names[a].split(), names[b].split())
+             <= (1 - line_dedup.MIN_SIMILARITY) * max(len(names[a].split()), len(names[b].split())) + 1e-9]
     group = groups_of(links, range(len(names)))
     for i in range(len(names)):
         first.setdefault(group[i], []).extend(forms[names[i]])
