@@ -137,6 +137,61 @@ def test_repeated_lines(spark):
         assert (out[d].text, out[d].key) == (kept, 7)
 
 
+def line_variants(rnd, n):
+    """A line of ``n`` words and copies with the most edits that 0.85 allows: replaced, inserted, lost and mixed."""
+    line = words(rnd, n)
+    k = int(0.15 * n + 1e-9)
+    out = [line]
+    for kinds in ("r", "i", "d", "rid"):
+        copy = list(line)
+        most = k if "i" not in kinds else max(e for e in range(k + 2) if e <= 0.15 * (n + e) + 1e-9)
+        for at in sorted(rnd.sample(range(n), most), reverse=True):
+            kind = rnd.choice(kinds)
+            copy[at:at + 1] = {"r": [f"x{rnd.random()}"[:9].replace(".", "")], "i": [f"y{at}", copy[at]], "d": []}[kind]
+        out.append(copy)
+    return [" ".join(x) for x in out]
+
+
+def test_all_similar_line_pairs_are_linked(spark):
+    """Against a brute force over all pairs that knows of no candidates, one group per line of 6 to 60 words."""
+    rnd = random.Random(11)
+    lines = [x for n in range(6, 61) for x in line_variants(rnd, n)]
+    forms = sorted({x.lower() for x in lines})
+    links = [(a, b) for a, b in itertools.combinations(range(len(forms)), 2) if line_dedup.similar(forms[a], forms[b])]
+    group = groups_of(links, range(len(forms)))
+    seen, want = set(), set()
+    for d, x in enumerate(lines):
+        g = group[forms.index(x.lower())]
+        if g in seen:
+            want.add((d, 0))
+        seen.add(g)
+    assert len(links) > 150
+    got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(frame(spark, lines), Store(spark, "t")).collect()}
+    assert got == want
+
+
+def test_similar_lines_share_a_feature():
+    """Every pair at 0.85 shares one of its first features, and the parities do not exclude it."""
+    rnd = random.Random(12)
+    missed = pairs = 0
+    for n in list(range(6, 61)) * 4:
+        forms = [x.lower() for x in line_variants(rnd, n)]
+        first, odd = [], []
+        for f in forms:
+            data = np.frombuffer(f.encode(), np.uint8)
+            w, bounds = slice_words(data, np.array([0, len(data)]), line_dedup.ALNUM)
+            first.append(set(line_dedup.prefixes(w, bounds, np.zeros(0, np.uint64), np.zeros(0, np.int64))[0].tolist()))
+            odd.append(np.concatenate(line_dedup.parities(w, bounds)))
+        for a, b in itertools.combinations(range(len(forms)), 2):
+            if forms[a] != forms[b] and line_dedup.similar(forms[a], forms[b]):
+                longest = max(forms[a].count(" "), forms[b].count(" ")) + 1
+                pairs += 1
+                missed += not first[a] & first[b]
+                flips = sum(bin(int(v) & (2**64 - 1)).count("1") for v in odd[a] ^ odd[b])
+                assert flips <= 2 * line_dedup.edits_allowed(longest)
+    assert pairs > 400 and missed == 0
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
