@@ -76,3 +76,14 @@ def test_summary_lists_steps(spark):
     assert s.startswith("Investigation of: s\nSteps taken: 6\n")
     assert "[1] SCREENSHOT: Screenshot saved — 1280x900px" in s
     assert "Urgency texts: ['only']" in s
+
+
+def test_investigation_takes_the_whole_log_by_default(spark):
+    log = E.number_steps(_log_with_steps(spark, 14))
+    assert E.cap_steps(log).count() == log.count() > 10
+    stops = {r.site: r.stop_step for r in E.stop_steps(E.running_evidence(log)).collect()}
+    want = sum(1 for r in log.collect() if stops[r.site] is None or r.step <= stops[r.site])
+    assert E.investigation(log).count() == want
+    quiet = log.withColumn("shot_path", F.lit(None).cast("string"))
+    assert E.investigation(quiet).count() == quiet.count()
+    assert E.investigation(quiet, cap=10).agg(F.max("step")).first()[0] == 10

@@ -36,7 +36,6 @@ def _empty(kind: str = "string") -> Column:
     return F.array().cast(types[kind])
 
 
-DEFAULT_STEP_CAP = 10
 MIN_STEPS = 6
 
 
@@ -195,18 +194,19 @@ def stop_steps(running: DataFrame) -> DataFrame:
     return running.groupBy("site").agg(F.min(F.when(F.col("enough"), F.col("step"))).alias("stop_step"))
 
 
-def investigation(log: DataFrame, cap: int = DEFAULT_STEP_CAP, num_partitions: int | None = None) -> DataFrame:
-    """Steps actually taken: up to the stop step and at most ``cap`` steps."""
+def investigation(log: DataFrame, cap: int | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Steps actually taken: the whole log up to the stop step, and at most ``cap`` steps if it is given."""
     numbered = log if "step" in log.columns else number_steps(log, num_partitions)
-    # the state of a step depends on earlier steps only, so the cap may come first:
+    # the state of a step depends on earlier steps only, so a cap may come first:
     # at most ``cap`` rows of a site enter the scan and the join
-    early = numbered.filter(F.col("step") <= cap)
+    early = cap_steps(numbered, cap)
     stops = stop_steps(running_evidence(early, num_partitions))
-    return early.join(stops, "site").filter(F.col("step") <= F.coalesce("stop_step", F.lit(cap))).drop("stop_step")
+    return (early.join(stops, "site").filter(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step")))
+            .drop("stop_step"))
 
 
-def cap_steps(log: DataFrame, n: int = DEFAULT_STEP_CAP) -> DataFrame:
-    return log.filter(F.col("step") <= n)
+def cap_steps(log: DataFrame, n: int | None = None) -> DataFrame:
+    return log if n is None else log.filter(F.col("step") <= n)
 
 
 def last_scrape_text(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -287,7 +287,7 @@ def top_screenshots(log: DataFrame, k: int = 3, num_partitions: int | None = Non
 
 
 # ---------------------------------------------------------------------------
-# summary text (over the investigation log: at most ``cap`` steps per site)
+# summary text (over the investigation log)
 # ---------------------------------------------------------------------------
 def _py_repr_sorted(arr) -> Column:
     return py_list_repr(F.array_sort(F.array_distinct(arr)))
@@ -303,9 +303,9 @@ def _dict_list_repr(arr, keys) -> Column:
 def evidence_summary(inv: DataFrame, start_url: str = "site") -> DataFrame:
     """Multi-line evidence summary per site (the analyst's input text).
 
-    ``inv`` is a numbered, capped log: every per-site list is bounded by the
-    step cap, so collecting it per site is bounded too. Sets are printed
-    sorted (the audited tool prints them in arbitrary set order).
+    ``inv`` is a numbered log. A summary is one text per site and holds all of
+    its steps: pass a capped log where a site's log may not fit into one row,
+    or use the long-form tables. Sets are printed sorted (the audited tool prints them in arbitrary set order).
     """
     entry = F.struct("step", "tool", "summary", "visited", "shot_path", "prices", "preselected",
                      "hidden", *SIGNALS, "popup", "reject_missing")
