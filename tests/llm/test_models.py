@@ -260,3 +260,12 @@ def test_packed_ids(spark):
         assert at == len(own)
     assert sum(r.length for r in out) >= 0.97 * size * (len(filled) - 1)
     assert packing.pack(empty(spark), str(path)).count() == 0
+
+
+def test_inexact_notices_close_together_are_all_found():
+    s = license_scan.Scanner([], [("general public license", "gpl")])
+    norm = " the genral public license general public license or general publc licens "
+    found = [(norm[a:b], e) for _, a, b, e in s.spans(norm)]
+    assert [e for t, e in found if t == "genral public license"] == [1]
+    assert [e for t, e in found if t == "general public license"] == [0]
+    assert [e for t, e in found if t == "general publc licens"] == [2]

@@ -86,9 +86,14 @@ class Scanner:
                     mine.append([lo, hi])
         for i, mine in windows.items():
             for lo, hi in mine:
-                for m in self.patterns[i].finditer(norm, lo, hi):
-                    if m.end() > m.start():
+                # the best match comes first, so both sides of it are searched again
+                parts = [(lo, hi)]
+                while parts:
+                    a, b = parts.pop()
+                    m = self.patterns[i].search(norm, a, b)
+                    if m and m.end() > m.start():
                         out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        parts += [(a, m.start()), (m.end(), b)]
         return sorted(set(out), key=lambda s: (s[1], s[2], s[0]))
 
 
