@@ -9,9 +9,11 @@ sorted and read sequentially. On the last level the queue's output carries
 common-prefix values (up to a cap): neighbours induced by suffixes of ranks r <
 s share one symbol more than the least value among ranks r + 1 .. s.
 
-What is held in memory besides the queue's buffer are vectors over one batch;
-arrays over the string are memory-mapped files in a temporary folder that goes
-with the sorter (a lost executor's task starts over from its shuffled input).
+The large arrays over the string are memory-mapped files in a temporary folder
+that goes with the sorter (a lost executor's task starts over from its shuffled
+input), but a shard must fit in memory: typing, the LMS vectors, the bucket
+counts and a bucket of one symbol are whole arrays in memory, and the caller
+holds the shard's bytes.
 """
 
 from __future__ import annotations
