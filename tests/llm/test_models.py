@@ -269,3 +269,11 @@ def test_inexact_notices_close_together_are_all_found():
     assert [e for t, e in found if t == "genral public license"] == [1]
     assert [e for t, e in found if t == "general public license"] == [0]
     assert [e for t, e in found if t == "general publc licens"] == [2]
+
+
+def test_deep_paths_are_judged_to_their_last_segment(spark):
+    kinds = ["ads", "news"] * 40
+    pages = spark.createDataFrame([(i, f"http://h.net/2021/05/17/9/8/{k}/{i}") for i, k in enumerate(kinds)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(k == "ads")) for i, k in enumerate(kinds)], "page_id long, bad int")
+    got = {(r.path.split("/")[6], r.template, r.verdict) for r in url_filter.judge(pages, labels, rules=[]).collect()}
+    assert got == {("ads", "/*/*/*/*/*/ads/*", "block"), ("news", "/*/*/*/*/*/news/*", "allow")}

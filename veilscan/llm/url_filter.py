@@ -7,7 +7,7 @@ labelled rates do not differ significantly from their pooled rate are merged;
 a template is rejected when its bad rate, shrunk to its host's and that to the
 global one, reaches the threshold. All statistics are aggregates over (host,
 prefix, segment) with map-side combine, so a host with a third of all pages is
-no hot task; segments below the last level form one segment.
+no hot task; the levels go on until no path has a segment left.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
-LEVELS = 4
 #: A parent with more distinct segments than this is wide ...
 WIDE = 20
 #: ... and a segment of it with less than 1 / NARROW of its urls is variable.
@@ -53,19 +52,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return name, verdict
 
 
-def _segment(level: int) -> Column:
-    """The path's segment at a level, the last level holding all that is left; null beyond the end."""
-    if level < LEVELS - 1:
-        return F.get("segments", F.lit(level))
-    rest = F.array_join(F.expr(f"slice(segments, {LEVELS}, greatest(size(segments), 1))"), "/")
-    return F.when(F.size("segments") >= LEVELS, rest)
-
-
 def templates(urls: DataFrame, store: Store) -> DataFrame:
     """(host, path, n, bad, labelled, template) for distinct (host, path) with counts, before merging."""
     rows = urls.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        rows = store.save(rows.withColumn("segment", _segment(level)), f"level{level}")
+    rows = store.save(rows, "segments")
+    depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(depth):
+        rows = store.save(rows.withColumn("segment", F.get("segments", F.lit(level))), f"level{level}")
         nodes = rows.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
         wide = (nodes.groupBy("host", "template").agg(F.sum("n").alias("total"), F.count("*").alias("children"))
                 .filter(F.col("children") > WIDE).select("host", "template", "total"))
@@ -82,7 +75,8 @@ def templates(urls: DataFrame, store: Store) -> DataFrame:
 def merged(stats: DataFrame, store: Store) -> DataFrame:
     """(host, template, merged) from (host, template, bad, labelled): similar siblings share a wildcard."""
     rows = stats.withColumn("merged", F.col("template"))
-    for level in range(1, LEVELS + 1):
+    depth = stats.agg(F.max(F.size(F.split("template", "/")))).first()[0] or 0
+    for level in range(1, depth):
         parts = F.split("merged", "/")
         at = F.get(parts, F.lit(level))
         shape = F.array_join(F.transform(parts, lambda p, i: F.when(i == level, "*").otherwise(p)), "/")
