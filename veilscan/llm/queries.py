@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, langid, license_scan, line_dedup, minhash_dedup, packing, quality, sql,
-               suffix_dedup, url_filter)
+from . import (decontaminate, exact_dedup, langid, license_scan, line_dedup, minhash_dedup, packing, periodic, quality,
+               sql, suffix_dedup, url_filter)
 from .store import table
 
 QUERIES, SQL = {}, {}
@@ -77,3 +77,14 @@ def op2(spark, sf_dir):
 @query("op7_suffix_dedup", sql.SUFFIX_DEDUP)
 def op7(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic.with_planted_period(F.col("doc_id"), F.col("text")).alias("text"))
+    out = periodic.periodic_runs(planted)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+                      F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -19,6 +19,8 @@ CHUNK = 1 << 19
 _rng = np.random.default_rng(20260101)
 #: A random 64-bit value per byte, A-Z as a-z.
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same with a value of its own for every byte.
+CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -107,8 +109,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, A-Z as a-z, independent of the place."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hash of each word's bytes, independent of the place; A-Z as a-z unless ``values`` is ``CASED``."""
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
@@ -117,7 +119,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         power, inverse = _power_tables(b - a + 1)
         sums = np.empty(b - a + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_BYTE[data[a:b]] * power[:b - a], out=sums[1:])
+        np.cumsum(values[data[a:b]] * power[:b - a], out=sums[1:])
         s, e = starts[lo:hi] - a, ends[lo:hi] - a
         out[lo:hi] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
         lo = hi
