@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, langid, license_scan, line_dedup, minhash_dedup, packing, periodic, quality,
-               sql, suffix_dedup, url_filter)
+from . import (decontaminate, exact_dedup, kd_shards, langid, license_scan, line_dedup, minhash_dedup, packing,
+               periodic, quality, sql, suffix_dedup, url_filter)
 from .store import table
 
 QUERIES, SQL = {}, {}
@@ -88,3 +88,8 @@ def op13(spark, sf_dir):
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                       F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
                       F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_kd_shards")
+def op12(spark, sf_dir):
+    return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
