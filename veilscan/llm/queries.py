@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (decontaminate, exact_dedup, kd_shards, langid, license_scan, line_dedup, minhash_dedup, packing,
-               periodic, quality, sql, suffix_dedup, url_filter)
+               periodic, quality, sql, suffix_dedup, url_filter, whitening)
 from .store import table
 
 QUERIES, SQL = {}, {}
@@ -93,3 +93,9 @@ def op13(spark, sf_dir):
 @query("op12_kd_shards")
 def op12(spark, sf_dir):
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
