@@ -3,8 +3,10 @@
 Buckets of near copies can hold a third of all rows, so members are first held
 against one pivot per bucket (linear in the members). What the pivots link is
 contracted, buckets inside one component are done, and the rest meets other
-pivots. Only members of a bucket whose components still differ are then paired,
-under a cheap predicate inside the join, so no link is lost.
+pivots, as long as a bucket is large and pivots find links. Only members of a
+bucket whose components still differ are then paired, under a cheap predicate
+inside the join, so no link is lost; a bucket is dealt out in cells of ``CELL``
+by ``CELL`` members, so none of them is one task.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
+#: Members of a bucket that are paired under one key, and rounds of pivots at most.
+CELL, MOST_ROUNDS = 64, 8
+
 
 def components(store: Store, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the links (a, b).
@@ -77,7 +82,8 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
     open_ = members.select("key", "id").join(popular, "id").select("key", "id", "rank", F.col("id").alias("component"))
     labels = links = None
     cols = [c for c in payload.columns if c != "id"]
-    for r in range(pivot_rounds + 1):
+    r, pivots, progress = 0, True, True
+    while pivots:
         if r:
             named = (members.select("key", "id", F.col("id").alias("component")) if labels is None else
                      members.select("key", "id").join(labels, "id", "left")
@@ -87,9 +93,12 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
                      .filter("lo <> hi").select("key"))
             open_ = open_.join(mixed, "key", "left_semi")
         open_ = store.save(open_, "open")
-        if open_.isEmpty():
+        sizes = open_.groupBy("key").agg(F.count("*").alias("n"))
+        most = sizes.agg(F.max("n")).first()[0]
+        if not most:
             break
-        if r < pivot_rounds:
+        pivots = r < pivot_rounds or (most > CELL and progress and r < MOST_ROUNDS)
+        if pivots:
             pivot = (open_.groupBy("key").agg(F.max(F.struct("rank", "id", "component")).alias("p"))
                      .select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("pc")))
             pairs = (open_.join(pivot, "key").filter("component <> pc")
@@ -98,17 +107,22 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
             right = payload.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
             pairs = pairs.join(left, "a").join(right, "b").filter(near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
         else:
-            full = open_.join(payload, "id")
-            x = full.select("key", F.col("id").alias("a"), F.col("component").alias("ca"),
-                            *[F.col(c).alias(f"{c}_a") for c in cols])
-            y = full.select("key", F.col("id").alias("b"), F.col("component").alias("cb"),
-                            *[F.col(c).alias(f"{c}_b") for c in cols])
-            pairs = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                           & near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
+            parts = F.ceil(F.col("n") / CELL).cast("int")
+            full = (open_.join(payload, "id").join(sizes, "key").withColumn("parts", parts)
+                    .withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")))
+            x = full.select("key", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("hi"),
+                            F.col("id").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in cols])
+            y = full.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("lo"), F.col("own").alias("hi"),
+                            F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in cols])
+            pairs = (x.join(y, ["key", "lo", "hi"]).filter((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
+                     .filter((F.col("ca") != F.col("cb")) & near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
+                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         pairs = store.save(pairs.select("a", "b").distinct(), "pairs")
         found = store.save(confirm(pairs), "found")
         store.drop(pairs, open_)
-        if not found.isEmpty():
+        progress = not found.isEmpty()
+        r += 1
+        if progress:
             links = found if links is None else links.unionAll(found)
             labels = components(store, links)
     return labels
