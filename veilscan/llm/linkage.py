@@ -1,12 +1,12 @@
 """Connected groups of rows that share a bucket and pass a check, without emitting all pairs.
 
 Buckets of near copies can hold a third of all rows, so members are first held
-against one pivot per bucket (linear in the members). What the pivots link is
-contracted, buckets inside one component are done, and the rest meets other
-pivots, as long as a bucket is large and pivots find links. Only members of a
-bucket whose components still differ are then paired, under a cheap predicate
-inside the join, so no link is lost; a bucket is dealt out in cells of ``CELL``
-by ``CELL`` members, so none of them is one task.
+against one pivot per bucket (linear in the members). What the pivot links is
+contracted, buckets inside one component are done, and the rest meets up to
+``PIVOTS`` others of different components. Only members of a bucket whose
+components still differ are then paired, under a cheap predicate inside the
+join, so no link is lost; a bucket is dealt out in cells of ``CELL`` by ``CELL``
+members, so none of them is one task.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
-#: Members of a bucket that are paired under one key, and rounds of pivots at most.
-CELL, MOST_ROUNDS = 64, 8
+#: Members of a bucket that are paired under one key, and pivots of a bucket after the first round.
+CELL, PIVOTS = 64, 8
 
 
 def components(store: Store, links: DataFrame) -> DataFrame:
@@ -82,8 +82,7 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
     open_ = members.select("key", "id").join(popular, "id").select("key", "id", "rank", F.col("id").alias("component"))
     labels = links = None
     cols = [c for c in payload.columns if c != "id"]
-    r, pivots, progress = 0, True, True
-    while pivots:
+    for r in range(pivot_rounds + 1):
         if r:
             named = (members.select("key", "id", F.col("id").alias("component")) if labels is None else
                      members.select("key", "id").join(labels, "id", "left")
@@ -93,13 +92,11 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
                      .filter("lo <> hi").select("key"))
             open_ = open_.join(mixed, "key", "left_semi")
         open_ = store.save(open_, "open")
-        sizes = open_.groupBy("key").agg(F.count("*").alias("n"))
-        most = sizes.agg(F.max("n")).first()[0]
-        if not most:
+        if open_.isEmpty():
             break
-        pivots = r < pivot_rounds or (most > CELL and progress and r < MOST_ROUNDS)
-        if pivots:
-            pivot = (open_.groupBy("key").agg(F.max(F.struct("rank", "id", "component")).alias("p"))
+        if r < pivot_rounds:
+            slot = F.pmod(F.xxhash64("component"), F.lit(PIVOTS if r else 1))
+            pivot = (open_.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("rank", "id", "component")).alias("p"))
                      .select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("pc")))
             pairs = (open_.join(pivot, "key").filter("component <> pc")
                      .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
@@ -107,6 +104,7 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
             right = payload.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
             pairs = pairs.join(left, "a").join(right, "b").filter(near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
         else:
+            sizes = open_.groupBy("key").agg(F.count("*").alias("n"))
             parts = F.ceil(F.col("n") / CELL).cast("int")
             full = (open_.join(payload, "id").join(sizes, "key").withColumn("parts", parts)
                     .withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")))
@@ -120,9 +118,7 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
         pairs = store.save(pairs.select("a", "b").distinct(), "pairs")
         found = store.save(confirm(pairs), "found")
         store.drop(pairs, open_)
-        progress = not found.isEmpty()
-        r += 1
-        if progress:
+        if not found.isEmpty():
             links = found if links is None else links.unionAll(found)
             labels = components(store, links)
     return labels
