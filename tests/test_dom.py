@@ -1,4 +1,6 @@
 """Page features against an independent tree walker (stdlib html.parser)."""
+import random
+
 import pytest
 
 import walker
@@ -92,3 +94,49 @@ def test_crawler_error_is_kept(spark):
     pages = spark.createDataFrame([(1, "a", "<p>x</p>", "timeout"), (2, "b", "<p>y</p>", None)], "page_id long, url string, html string, why string")
     got = {r.page_id: (r.scrape_success, r.scrape_error) for r in dom.page_features(pages, error_col="why").collect()}
     assert got == {1: (False, "timeout"), 2: (True, None)}
+
+
+UNCLOSED_PAGES = [
+    "<div><small>tiny print here</div><p>rest of the page</p>",
+    "<ul><li>one<li style='font-size:9px'>two is small enough<li>three</ul><p>after</p>",
+    "<table><tr><td style='font-size: 8px'>cell one is tiny<td>cell two</table>tail",
+    "<p style='position:fixed'>first<p style='position:sticky'>second</div><div>third",
+    "</div></small><small>alone to the very end",
+    "<div style='position:fixed'><div style='position:fixed'>a<br>b</span>c</div>d<small>not closed small</div>e</small>f",
+    "<small><sup>inner most text<sub>inner again text</small>outer",
+    "<p>" * 300 + "<small>deep inside of it</small>" + "x",
+    "<ul>" + "<li style='position:fixed'>item" * 200 + "</ul>rest",
+    "<b><small style='font-size:10px'/>nothing<img style='font-size:10px'>more text here</b>",
+]
+
+
+def test_unclosed_elements(spark):
+    """Every element ends where its parent ends, as an independent walker of the page finds."""
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(UNCLOSED_PAGES)], "page_id long, url string, html string")
+    for r in dom.page_features(pages).collect():
+        got, want = r.asDict(recursive=True), walker.features(UNCLOSED_PAGES[r.page_id])
+        for k, v in want.items():
+            assert got[k] == v, (r.page_id, k, got[k], v)
+
+
+def test_random_markup(spark):
+    rnd = random.Random(7)
+    names = ["p", "div", "small", "li", "td", "span", "br"]
+    htmls = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randrange(1, 40)):
+            kind = rnd.random()
+            if kind < 0.45:
+                style = rnd.choice(["", "", " style='font-size:9px'", " style='position:fixed'"])
+                parts.append(f"<{rnd.choice(names)}{style}>")
+            elif kind < 0.75:
+                parts.append(f"</{rnd.choice(names)}>")
+            else:
+                parts.append(f"words number {rnd.randrange(99)} ")
+        htmls.append("".join(parts))
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    for r in dom.page_features(pages, fields=["small_print", "sticky_elements"]).collect():
+        want = walker.features(htmls[r.page_id])
+        assert r.small_print == want["small_print"], htmls[r.page_id]
+        assert r.sticky_elements == want["sticky_elements"], htmls[r.page_id]

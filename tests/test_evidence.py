@@ -87,3 +87,19 @@ def test_investigation_takes_the_whole_log_by_default(spark):
     quiet = log.withColumn("shot_path", F.lit(None).cast("string"))
     assert E.investigation(quiet).count() == quiet.count()
     assert E.investigation(quiet, cap=10).agg(F.max("step")).first()[0] == 10
+
+
+def test_summary_in_parts(spark):
+    """A hot site's lines fill many bounded parts, in order; no line is lost or in two parts."""
+    rows = [("hot" if i % 4 else f"s{i % 7}", i // 5, i % 3, "text %d " % i * (1 + i % 3)) for i in range(900)]
+    lines = spark.createDataFrame([(s, 10, n, str(k) + t, t) for s, n, k, t in rows], "site string, section int, n long, v string, text string")
+    parts = E.summary_parts(lines, limit=200, num_partitions=5).collect()
+    whole = {}
+    for r in sorted(parts, key=lambda r: (r.site, r.part)):
+        assert len(r.text) < 200 + 60 and r.n_lines == r.text.count("\n") + 1
+        whole.setdefault(r.site, []).append(r.text)
+    want = {}
+    for s, n, k, t in sorted(rows, key=lambda r: (r[0], r[1], str(r[2]) + r[3])):
+        want.setdefault(s, []).append(t)
+    assert {s: "\n".join(x) for s, x in whole.items()} == {s: "\n".join(x) for s, x in want.items()}
+    assert sum(r.site == "hot" for r in parts) > 20

@@ -227,28 +227,50 @@ def tokens_sql(cleaned: str) -> str:
     return f"regexp_extract_all({cleaned}, {S.q(TOKEN_RE)}, 0)"
 
 
-def _subtree_end_sql(toks: str, i: str, name: str) -> str:
-    """1-based index of the end tag closing the element opened at token ``i``.
-
-    Same-name start/end tags are counted walking forward; an element never
-    closed runs to the end of the page.
+def _element_ends_sql(toks: str, predicate) -> str:
+    """(i, j) of each start tag satisfying ``predicate(tag, name)``, in order: its token and the one that ends it.
+
+    One pass over the page's tags keeps the stack of open elements. An end tag
+    closes the nearest open element of its name together with whatever is open
+    inside; without a partner it changes nothing; what is never closed ends with
+    the page (j is one more than the number of tokens). Void and self-closed
+    elements are never open (j = i).
     """
-    def step(acc, tok):
-        def on_name(tn):
-            k = f"({acc}.k + 1)"
-            is_end = f"(startswith({tok}, '</') AND {tn} = {name})"
-            is_start = (f"(startswith({tok}, '<') AND NOT startswith({tok}, '</') AND {tn} = {name} "
-                        f"AND NOT endswith({tok}, '/>'))")
-            return (f"CASE WHEN {is_start} THEN named_struct('d', {acc}.d + 1, 'j', 0, 'k', {k}) "
-                    f"WHEN {is_end} AND {acc}.d = 0 THEN named_struct('d', {acc}.d, 'j', {k}, 'k', {k}) "
-                    f"WHEN {is_end} THEN named_struct('d', {acc}.d - 1, 'j', 0, 'k', {k}) "
-                    f"ELSE named_struct('d', {acc}.d, 'j', 0, 'k', {k}) END")
-        return f"CASE WHEN {acc}.j > 0 THEN {acc} ELSE {S.bind(tag_name_sql(tok), on_name)} END"
-
-    rest = f"slice({toks}, {i} + 1, greatest(size({toks}) - {i}, 1))"
-    found = f"aggregate({rest}, named_struct('d', 0, 'j', 0, 'k', {i}), {S.lam(step, 2, 'a')}).j"
-    return S.bind(found, lambda f: (f"CASE WHEN {i} >= size({toks}) THEN size({toks}) + 1 "
-                                    f"WHEN {f} > 0 THEN {f} ELSE size({toks}) + 1 END"))
+    void_list = ", ".join(S.q(v) for v in VOID_TAGS)
+
+    def tag_of(t, i):
+        def with_name(name):
+            end = f"startswith({t}, '</')"
+            return (f"named_struct('i', {i} + 1, 'n', {name}, 'e', {end}, 'v', {name} IN ({void_list}) OR endswith({t}, '/>'), "
+                    f"'c', NOT {end} AND coalesce({predicate(t, name)}, false))")
+        return f"CASE WHEN {t} rlike {S.q('^</?[a-zA-Z]')} THEN {S.bind(tag_name_sql(t), with_name)} END"
+
+    tags = f"filter(transform({toks}, {S.lam(tag_of, 2)}), {S.lam(lambda x: f'{x} IS NOT NULL')})"
+    ends_type = "array<struct<i:int,j:int>>"
+    nothing = f"named_struct('s', cast(array() as array<struct<i:int,n:string,c:boolean>>), 'o', cast(array() as {ends_type}))"
+
+    def ended(closed, at):
+        shape = S.lam(lambda x: f"named_struct('i', {x}.i, 'j', {at})")
+        return f"transform(filter({closed}, {S.lam(lambda x: f'{x}.c')}), {shape})"
+
+    def step(acc, x):
+        pushed = f"concat({acc}.s, array(named_struct('i', {x}.i, 'n', {x}.n, 'c', {x}.c)))"
+        names = f"reverse(transform({acc}.s, {S.lam(lambda e: f'{e}.n')}))"
+
+        def close(k):  # k: how many elements the end tag closes
+            left = f"size({acc}.s) - {k}"
+            return (f"CASE WHEN {k} = 0 THEN {acc} ELSE named_struct('s', slice({acc}.s, 1, cast({left} AS int)), "
+                    f"'o', concat({acc}.o, {ended(f'slice({acc}.s, cast({left} + 1 AS int), cast({k} AS int))', f'{x}.i')})) END")
+
+        return (f"CASE WHEN {x}.e THEN {S.bind(f'array_position({names}, {x}.n)', close)} "
+                f"WHEN {x}.v THEN CASE WHEN {x}.c THEN named_struct('s', {acc}.s, 'o', concat({acc}.o, "
+                f"array(named_struct('i', {x}.i, 'j', {x}.i)))) ELSE {acc} END "
+                f"ELSE named_struct('s', {pushed}, 'o', {acc}.o) END")
+
+    def finish(acc):
+        return f"array_sort(concat({acc}.o, {ended(f'{acc}.s', f'size({toks}) + 1')}))"
+
+    return f"aggregate({tags}, {nothing}, {S.lam(step, 2, 'a')}, {S.lam(finish)})"
 
 
 def element_texts_sql(toks: str, m: str, predicate) -> str:
@@ -256,26 +278,14 @@ def element_texts_sql(toks: str, m: str, predicate) -> str:
 
     Text is ``get_text(strip=True)``; void and self-closed elements give ``''``.
     """
-    idx = f"transform({toks}, {S.lam(lambda t, i: f'named_struct(' + chr(39) + 'i' + chr(39) + f', {i} + 1, ' + chr(39) + 't' + chr(39) + f', {t})', 2)})"
-    starts = f"filter({idx}, {S.lam(lambda x: f'{x}.t rlike ' + S.q('^<[a-zA-Z]'))})"
-    chosen = f"filter({starts}, {S.lam(lambda x: predicate(f'{x}.t', tag_name_sql(f'{x}.t')))})"
-    void_list = ", ".join(S.q(v) for v in VOID_TAGS)
+    is_text = S.lam(lambda t: f"NOT ({t} rlike " + S.q(r"^</?[a-zA-Z]") + ")")
+    piece = S.lam(lambda t: strip_sql(S.bind(t, lambda u: unescape_sql(u, m))))
 
     def text_of(x):
-        def with_name(name):
-            void = f"({name} IN ({void_list}) OR endswith({x}.t, '/>'))"
-
-            def with_end(end):
-                inner = f"slice({toks}, {x}.i + 1, greatest({end} - {x}.i - 1, 0))"
-                is_text = S.lam(lambda t: f"NOT ({t} rlike " + S.q(r"^</?[a-zA-Z]") + ")")
-                piece = S.lam(lambda t: strip_sql(S.bind(t, lambda u: unescape_sql(u, m))))
-                return f"array_join(transform(filter({inner}, {is_text}), {piece}), '')"
-
-            return f"CASE WHEN {void} THEN '' ELSE {S.bind(_subtree_end_sql(toks, f'{x}.i', name), with_end)} END"
-
-        return S.bind(tag_name_sql(f"{x}.t"), with_name)
+        inner = f"slice({toks}, {x}.i + 1, greatest({x}.j - {x}.i - 1, 0))"
+        return f"array_join(transform(filter({inner}, {is_text}), {piece}), '')"
 
-    return f"transform({chosen}, {S.lam(text_of)})"
+    return f"transform({_element_ends_sql(toks, predicate)}, {S.lam(text_of)})"
 
 
 def _style_sql(g) -> str:

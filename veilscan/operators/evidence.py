@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, join_nonempty, py_list_repr
+from ..sources.scratch import written
 from .scan import Agg, ordered_scan
 
 SIGNALS = ["urgency_texts", "subscription_keywords", "consent_accept", "consent_reject",
@@ -162,7 +163,7 @@ def running_evidence(log: DataFrame, num_partitions: int | None = None) -> DataF
     enough = a screenshot so far, a visited page so far, step >= 6 and any of
     urgency, subscription, hints, preselected input, popup or reject-missing.
     An unnumbered log (no ``step``) is numbered in the same scan, ordered by
-    (ts, seq). Only the columns the state needs enter the scan.
+    (ts, seq). Only the columns the state needs are written and scanned.
     """
     numbered = "step" in log.columns
     order = ["step"] if numbered else ["ts", "seq"]
@@ -170,6 +171,8 @@ def running_evidence(log: DataFrame, num_partitions: int | None = None) -> DataF
     slim = log.select("site", *order, *([] if numbered else []), "tool", "visited",
                       F.col("shot_path").isNotNull().cast("long").alias("_shot_n"),
                       _signal_flag().alias("_sig"), "popup", "reject_missing", pos.alias("_pos"))
+    # read three times below, computed once
+    slim = written(slim, "evidence")
     first = (slim.filter(F.col("visited").isNotNull()).groupBy("site", "visited")
              .agg(F.min("_pos").alias("_first")))
     # rows without a URL visit nothing: they bypass the join, whose key would be hot
@@ -304,8 +307,8 @@ def evidence_summary(inv: DataFrame, start_url: str = "site") -> DataFrame:
     """Multi-line evidence summary per site (the analyst's input text).
 
     ``inv`` is a numbered log. A summary is one text per site and holds all of
-    its steps: pass a capped log where a site's log may not fit into one row,
-    or use the long-form tables. Sets are printed sorted (the audited tool prints them in arbitrary set order).
+    its steps: where a site's log may not fit into one row, use ``summary_lines``
+    and ``summary_parts``. The labels are fixed values. Sets are printed sorted (the audited tool prints them in arbitrary set order).
     """
     entry = F.struct("step", "tool", "summary", "visited", "shot_path", "prices", "preselected",
                      "hidden", *SIGNALS, "popup", "reject_missing")
@@ -345,6 +348,56 @@ def evidence_summary(inv: DataFrame, start_url: str = "site") -> DataFrame:
                       lines.alias("evidence_summary"))
 
 
+#: The label of each section of a summary, in order.
+SUMMARY_SECTIONS = {"urgency": "Urgency text: ", "subscription": "Subscription keyword: ", "prices": "Price found: ",
+                    "accept": "Consent accept button: ", "reject": "Consent reject button: ", "hints": "Dark pattern hint: "}
+
+
+def summary_lines(inv: DataFrame) -> DataFrame:
+    """The evidence of every site as lines: (site, section, n, v, text), in the order of the middle three.
+
+    Section 0 counts steps and screenshots and names the flags, 1 has the pages
+    in the order of their first visit, 2 to 7 the distinct signals by category
+    and value, 8 and 9 the preselected and hidden inputs, 10 the steps. Each
+    line is a row, so no site is gathered in one place. ``inv`` is a numbered log.
+    """
+    def lines(df, section, n, v, text):
+        return df.select("site", F.lit(section).alias("section"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.cast("long").alias("n"),
+                         v.alias("v"), text.alias("text"))
+
+    head = inv.groupBy("site").agg(
+        F.count("*").alias("steps"), F.count("shot_path").alias("shots"), F.bool_or("reject_missing").alias("missing"), F.bool_or("popup").alias("popup"))
+    yes = {c: F.when(F.col(c), "True").otherwise("False") for c in ("missing", "popup")}
+    counted = [F.concat(F.lit("Investigation of: "), F.col("site")), F.concat(F.lit("Steps taken: "), F.col("steps").cast("string")),
+               F.concat(F.lit("Screenshots taken: "), F.col("shots").cast("string")),
+               F.concat(F.lit("Reject button missing: "), yes["missing"]), F.concat(F.lit("Popup detected: "), yes["popup"])]
+    out = [lines(head, 0, i, F.lit(""), text) for i, text in enumerate(counted, 1)]
+    out.append(lines(first_visits(inv), 1, F.col("first_step"), F.col("url"), F.concat(F.lit("Visited: "), F.col("url"))))
+    signals = distinct_signals(inv)
+    for section, (category, label) in enumerate(SUMMARY_SECTIONS.items(), 2):
+        out.append(lines(signals.filter(F.col("category") == category), section, 0, F.col("value"), F.concat(F.lit(label), F.col("value"))))
+    for section, (column, label, keys) in enumerate((("preselected", "Preselected: ", ["name", "type"]), ("hidden", "Hidden input: ", ["name"])), 8):
+        each = inv.select("site", F.explode(column).alias("e")).select("site", F.concat_ws(" ", *[F.col(f"e.{k}") for k in keys]).alias("v")).distinct()
+        out.append(lines(each, section, 0, F.col("v"), F.concat(F.lit(label), F.col("v"))))
+    step = F.concat(F.lit("["), F.col("step").cast("string"), F.lit("] "), F.upper("tool"), F.lit(": "), F.col("summary"))
+    out.append(lines(inv, 10, F.col("step"), F.lit(""), step))
+    return build_log(*out)
+
+
+def summary_parts(lines: DataFrame, limit: int = 4000, num_partitions: int | None = None) -> DataFrame:
+    """(site, part, n_lines, text): a site's lines joined to numbered texts.
+
+    A line belongs to the part of ``limit`` characters in which it starts, so a
+    part is bounded by ``limit`` and one line, whatever the site's size; where
+    it starts is a running sum of the ordered scan.
+    """
+    sized = lines.withColumn("size", (F.length("text") + 1).cast("long"))
+    placed = ordered_scan(sized, "site", ["section", "n", "v"], [Agg("line", "count"), Agg("before", "sum", "size", frame="before")], num_partitions)
+    part = F.floor(F.coalesce("before", F.lit(0)) / limit)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return placed.groupBy("site", part.alias("part")).agg(F.count("*").alias("n_lines"), text.alias("text"))
+
+
 def run_stats(step_count, screenshot_count, pattern_count) -> Column:
     """``"N steps · N screenshots · N pattern(s) found"``."""
     n = col(pattern_count)

@@ -4,11 +4,12 @@
 task; a site holding a third of all rows would make that task hold a third of
 the data. ``ordered_scan`` computes the same running values in four steps:
 
-1. chunk boundaries: a seeded sample of the (key, order) columns only, sorted,
-   cut into ``n`` ranges (about 20 sampled rows per chunk reach the driver);
+1. the input is written once to the shared folder, so that its sources are read
+   once; chunk boundaries come from a seeded sample of that table's (key, order)
+   columns, cut into ``n`` ranges (about 20 sampled rows per chunk reach the driver);
 2. each row's chunk: a binary search of its own (key, order) values over the
-   boundaries, so the chunk id is a pure function of the row, the same in
-   every pass, and a hot key simply spans many chunks;
+   boundaries (one broadcast row), so the chunk id is a pure function of the row,
+   the same in every pass, and a hot key simply spans many chunks;
 3. Spark's own window functions over (chunk, key) for the local values;
 4. per (chunk, key) totals from a column-pruned aggregate; for every key the
    combined totals of its earlier chunks. Only the first key of a chunk can
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shuffle_partitions
+from ..sources.scratch import written
 
 OPS = ("count", "sum", "max", "min", "any", "last")
 
@@ -68,7 +70,7 @@ def _running(df: DataFrame, window, aggs: list[Agg]) -> DataFrame:
 
 
 def window_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg]) -> DataFrame:
-    """Reference implementation with a key-partitioned window (small inputs, tests)."""
+    """The same values by a key-partitioned window: what tests compare with."""
     return _running(df, Window.partitionBy(key).orderBy(*order), aggs)
 
 
@@ -95,30 +97,16 @@ def _norm(df: DataFrame, c: str):
     return None
 
 
-def _lit_sql(v, kind: str) -> str:
-    from ..functions.sqlgen import q
-    if kind == "s":
-        return q(v)
-    if kind == "n":
-        return f"CAST({int(v)} AS BIGINT)"
-    if kind.startswith("decimal"):
-        return f"CAST('{v}' AS {kind})"
-    return "CAST('-Infinity' AS DOUBLE)" if v == float("-inf") else f"CAST({float(v)!r} AS DOUBLE)"
-
-
 def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
                  num_partitions: int | None = None) -> DataFrame:
     """Running per-key aggregates in ``order`` (must be a total order within a key).
 
-    Rows are cut into chunks that are contiguous ranges of (key, order): the
-    boundaries are read from a seeded sample of the key/order columns only,
-    and each row's chunk is a binary search of its values over them, so the
-    chunk id is a pure function of the row and every reader agrees on it.
-    Running values inside a chunk are window functions over (chunk, key);
-    per-chunk totals (a column-pruned aggregate) give every key the carry of
-    its earlier chunks. At most one key per chunk continues from earlier
-    chunks, so the carry table has fewer rows than chunks and is broadcast.
-    The call runs two small jobs (a count and the sample); nothing is written.
+    The input is written once; everything else reads that table. Running values
+    inside a chunk are window functions over (chunk, key); per-chunk totals (a
+    column-pruned aggregate) give every key the carry of its earlier chunks. At
+    most one key per chunk continues from earlier chunks, so the carry table has
+    fewer rows than chunks and is broadcast. The call runs the jobs that write
+    and sample the table.
     """
     for a in aggs:
         if a.op not in OPS:
@@ -129,37 +117,26 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], aggs: list[Agg],
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
     names = [f"c{i}" for i in range(len(norms))]
-    # 1. boundaries from a bounded, seeded sample (about 20 rows per chunk)
-    total = df.count()
-    fraction = min(1.0, 20.0 * n / max(total, 1))
-    sample = (df.select(*[e.alias(nm) for nm, (e, _) in zip(names, norms)])
-              .sample(withReplacement=False, fraction=fraction, seed=20241202)
-              .orderBy(*names).collect())
-    bounds, last = [], None
-    for j in range(1, n):
-        if not sample:
-            break
-        b = tuple(sample[min(len(sample) - 1, j * len(sample) // n)])
-        if b != last:
-            bounds.append(b)
-            last = b
+    value = F.struct(*[e.alias(nm) for nm, (e, _) in zip(names, norms)])
+    df = written(df, "scan")
+    # 1. boundaries from a bounded, seeded sample (about 20 rows per chunk); the count reads file footers
+    fraction = min(1.0, 20.0 * n / max(df.count(), 1))
+    sample = df.select(value.alias("v")).sample(withReplacement=False, fraction=fraction, seed=20241202)
+    drawn = [r["v"] for r in sample.orderBy("v").collect()]
+    cuts = list(dict.fromkeys(drawn[min(len(drawn) - 1, j * len(drawn) // n)] for j in range(1, n))) if drawn else []
     # 2. chunk id: a deterministic function of each row's own values
-    arr = "array(" + ", ".join(
-        "named_struct(" + ", ".join(f"'{nm}', {_lit_sql(v, kind)}" for nm, v, (_, kind) in zip(names, b, norms)) + ")"
-        for b in bounds) + ")" if bounds else None
-    m = len(bounds)
-    depth = max(1, m.bit_length() + 1)
-    vstruct = F.struct(*[e.alias(nm) for nm, (e, _) in zip(names, norms)])
-    if arr is None:
-        chunk = F.lit(0)
-    else:
+    if cuts:
+        kind = T.StructType([T.StructField("_b", T.ArrayType(sample.schema["v"].dataType)), T.StructField("_all", T.IntegerType())])
+        bounds = F.broadcast(spark.createDataFrame([(cuts, 0)], kind))
         mid = "CAST((acc.lo + acc.hi) div 2 AS INT)"
-        search = (f"aggregate(sequence(1, {depth}), named_struct('lo', 0, 'hi', {m}), (acc, i) -> "
+        search = (f"aggregate(sequence(1, {len(cuts).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(cuts)}), (acc, i) -> "
                   f"CASE WHEN acc.lo < acc.hi THEN (CASE WHEN element_at(_b, {mid} + 1) <= _cv "
                   f"THEN named_struct('lo', {mid} + 1, 'hi', acc.hi) "
                   f"ELSE named_struct('lo', acc.lo, 'hi', {mid}) END) ELSE acc END).lo")
-        chunk = F.expr(f"transform(array({arr}), _b -> {search})[0]")
-    chunked = df.withColumn("_cv", vstruct).withColumn("_chunk", chunk).drop("_cv")
+        with_cuts = df.withColumn("_all", F.hash(key).bitwiseAND(0)).join(bounds, "_all").withColumn("_cv", value)
+        chunked = with_cuts.withColumn("_chunk", F.expr(search)).drop("_cv", "_b", "_all")
+    else:
+        chunked = df.withColumn("_chunk", F.lit(0))
     # 3. local running values per (chunk, key)
     local = _running(chunked, Window.partitionBy("_chunk", key).orderBy(*order), aggs)
     # 4. totals per (chunk, key) -> carry of the earlier chunks of each key

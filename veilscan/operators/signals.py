@@ -3,8 +3,8 @@
 The lexicon is a dimension of fixed, small size. ``lexicon_scan`` inlines it
 as literal arrays, so the scan is one row-local projection (lower-case text
 bound once per row, one ``contains`` per phrase). ``lexicon_hits`` is the same
-match as long rows; with a user lexicon table it is a broadcast nested-loop
-join against that table (size-checked before broadcasting).
+match as long rows; a lexicon table of any size is joined over a gram index that
+holds each phrase under its rarest gram.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import PY_WHITESPACE, bind, col
 from ..sources import dims
 
-#: Characters of a phrase that texts and lexicon tables are joined on.
+#: Characters of the grams that texts and lexicon tables are joined on.
 GRAM = 5
 SIGNALS_TYPE = ("struct<urgency_texts:array<string>,subscription_keywords:array<string>,"
                 "consent_accept:array<string>,consent_reject:array<string>,"
@@ -93,13 +93,36 @@ def lexicon_scan(df: DataFrame, text_col: str = "text", lexicon=None,
                                      for c in categories_of(_lexicon_rows(lexicon)).values()])
 
 
+def _grams(chars, sizes) -> Column:
+    """Distinct strings of the given numbers of characters in an array of characters (shorter ones at its end)."""
+    def of(n):
+        return F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, n), ""))
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
+
+
+def gram_index(patterns: DataFrame) -> DataFrame:
+    """(pattern, gram): each phrase under the one of its ``GRAM``-character strings that fewest phrases hold.
+
+    A shorter phrase is its own gram.
+    """
+    n = F.length("pattern")
+    grams = F.when(n <= GRAM, F.array("pattern")).otherwise(F.array_distinct(
+        F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(F.col("pattern"), i, GRAM))))
+    held = patterns.select("pattern", F.explode(grams).alias("gram"))
+    common = held.groupBy("gram").agg(F.count("*").alias("n"))
+    return (held.join(common, "gram").groupBy("pattern")
+            .agg(F.min(F.struct("n", "gram")).alias("best")).select("pattern", F.col("best.gram").alias("gram")))
+
+
 def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon=None) -> DataFrame:
     """Long rows (key, category, lang, ord, pattern): one per phrase found in a text.
 
     Default lexicon: literal array of structs filtered per row, then exploded
-    (no join, no shuffle). A lexicon DataFrame of any size: every phrase is
-    joined on its first ``GRAM`` characters (a shorter one on its first) with the
-    distinct grams of each text, and the candidates' texts are then searched.
+    (no join, no shuffle). A lexicon DataFrame of any size: the distinct grams of
+    each text meet the phrases entered under them (``gram_index``); only (key,
+    gram) and (key, phrase) rows are exchanged until the candidates are known.
+    Texts are then joined back once and searched, so the work grows with the
+    text and its candidates.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if lexicon is None or isinstance(lexicon, (list, tuple)):
@@ -111,13 +134,18 @@ def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon
                     lambda t: F.filter(lex, lambda s: t.contains(s["pattern"])))
         return df.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
     lex = lexicon.select("category", "lang", "ord", F.lower("pattern").alias("pattern")).filter("pattern <> ''")
-    lex = lex.withColumn("_gram", F.expr(f"substring(pattern, 1, IF(length(pattern) >= {GRAM}, {GRAM}, 1))"))
+    patterns = lex.select("pattern").distinct()
+    # phrases of fewer than GRAM characters need grams of their own length
+    sizes = [r[0] for r in patterns.select(F.least(F.length("pattern"), F.lit(GRAM))).distinct().collect()]
     texts = df.select(*keys, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    chars = texts.withColumn("_cs", F.split("_lt", ""))
-    pieces = F.transform("_cs", lambda c, i: F.array_join(F.slice("_cs", i + 1, GRAM), ""))
-    grams = F.array_distinct(F.concat("_cs", pieces))
-    return (chars.select(*keys, "_lt", F.explode(grams).alias("_gram")).join(lex, "_gram")
-            .filter(F.col("_lt").contains(F.col("pattern"))).select(*keys, "category", "lang", "ord", "pattern"))
+    grams = texts.select(*keys, F.explode(bind(F.split("_lt", ""), lambda c: _grams(c, sizes or [GRAM]))).alias("gram"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    met = (grams.join(gram_index(patterns), "gram").select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "pattern").distinct())
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    for c in same[1:]:
+        same[0] = same[0] & c
+    found = texts.join(met, same[0]).filter(F.col("_lt").contains(F.col("pattern"))).select(*keys, "pattern")
+    return found.join(lex, "pattern").select(*keys, "category", "lang", "ord", "pattern")
 
 
 def lexicon_hit_counts(df: DataFrame, key: str, text_col: str = "text", lexicon=None) -> DataFrame:

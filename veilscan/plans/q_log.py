@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators.findings import classify
 from ..session import ensure_checkpoint_dir
+from ..sources.scratch import written
 from ..sources.sinks import write_log
 from ..sources.tables import existing_shots, screenshot_files
 from . import fixtures as G
@@ -76,6 +77,9 @@ SQL_RUN_ENOUGH = f"""(SELECT *, (shots_so_far > 0 AND visited_so_far > 0 AND ste
 SQL_INV = f"""(SELECT r.* FROM {SQL_RUN_ENOUGH} r JOIN (SELECT site, min(CASE WHEN enough THEN step END) AS stop_step
    FROM {SQL_RUN_ENOUGH} GROUP BY site) s USING (site) WHERE r.step <= least(coalesce(s.stop_step, 10), 10))"""
 
+SQL_INV_ALL = f"""(SELECT r.* FROM {SQL_RUN_ENOUGH} r JOIN (SELECT site, min(CASE WHEN enough THEN step END) AS stop_step
+   FROM {SQL_RUN_ENOUGH} GROUP BY site) s USING (site) WHERE r.step <= coalesce(s.stop_step, r.step))"""
+
 
 def _log(spark, d):
     return G.g3_log(spark, d)
@@ -261,48 +265,35 @@ def q_jn_flow_pages(spark, d):
 
 
 # --- summary, classification, stats ----------------------------------------------------------
-def _sql_list_repr(expr):
-    return f"'[' || array_to_string(list_transform({expr}, lambda x: '{_R}' || x || '{_R}'), ', ') || ']'"
-
-
-def _sql_sorted_set(col):
-    return _sql_list_repr(f"list_sort(list_distinct(flatten(list({col}))))")
-
-
-SQL_SUMMARY_TEXT = f"""SELECT i.site, CAST(count(*) AS BIGINT) AS step_count, CAST(count(shot_path) AS BIGINT) AS screenshot_count,
-  concat_ws(chr(10),
-    'Investigation of: ' || i.site,
-    'Steps taken: ' || count(*),
-    'Pages visited: ' || any_value(vl.vis),
-    'Screenshots taken: ' || count(shot_path),
-    '',
-    '=== Accumulated signals ===',
-    'Urgency texts: ' || {_sql_sorted_set('urgency_texts')},
-    'Subscription keywords: ' || {_sql_sorted_set('subscription_keywords')},
-    'Prices found: ' || {_sql_sorted_set('prices')},
-    'Preselected checkboxes: [' || coalesce(string_agg(CASE WHEN n_pre > 0 THEN '{{{_R}name{_R}: {_R}newsletter{_R}, {_R}type{_R}: {_R}checkbox{_R}}}' END, ', ' ORDER BY step), '') || ']',
-    'Hidden inputs: [' || coalesce(string_agg(CASE WHEN n_hid > 0 THEN '{{{_R}name{_R}: {_R}token{_R}}}' END, ', ' ORDER BY step), '') || ']',
-    'Consent accept buttons: ' || {_sql_sorted_set('consent_accept')},
-    'Consent reject buttons: ' || {_sql_sorted_set('consent_reject')},
-    'Reject button missing: ' || CASE WHEN bool_or(reject_missing) THEN 'True' ELSE 'False' END,
-    'Popup detected: ' || CASE WHEN bool_or(popup) THEN 'True' ELSE 'False' END,
-    'Dark pattern hints: ' || {_sql_sorted_set('dark_pattern_hints')},
-    '',
-    '=== Investigation steps ===',
-    string_agg('[' || step || '] ' || upper(tool) || ': ' || summary, chr(10) ORDER BY step)) AS evidence_summary
-  FROM {SQL_INV} i JOIN (SELECT site, '[' || coalesce(string_agg('{_R}' || visited || '{_R}', ', ' ORDER BY fs), '') || ']' AS vis
-    FROM (SELECT site, visited, min(step) AS fs FROM {SQL_INV} WHERE visited IS NOT NULL GROUP BY ALL) GROUP BY site
-    UNION ALL SELECT DISTINCT site, '[]' FROM {SQL_INV} i2 WHERE NOT EXISTS (SELECT 1 FROM {SQL_INV} i3
-      WHERE i3.site = i2.site AND i3.visited IS NOT NULL)) vl USING (site)
-  GROUP BY i.site"""
-
-
-@query("agg_summary_text", SQL_SUMMARY_TEXT)
+_SQL_LINES = f"""WITH inv AS MATERIALIZED (SELECT * FROM {SQL_INV_ALL}),
+  h AS (SELECT site, count(*) AS steps, count(shot_path) AS shots, bool_or(reject_missing) AS missing, bool_or(popup) AS popup FROM inv GROUP BY site),
+  l AS (SELECT site, 0 AS section, 1 AS n, '' AS v, 'Investigation of: ' || site AS text FROM h
+    UNION ALL SELECT site, 0, 2, '', 'Steps taken: ' || steps FROM h
+    UNION ALL SELECT site, 0, 3, '', 'Screenshots taken: ' || shots FROM h
+    UNION ALL SELECT site, 0, 4, '', 'Reject button missing: ' || CASE WHEN missing THEN 'True' ELSE 'False' END FROM h
+    UNION ALL SELECT site, 0, 5, '', 'Popup detected: ' || CASE WHEN popup THEN 'True' ELSE 'False' END FROM h
+    UNION ALL SELECT site, 1, min(step), visited, 'Visited: ' || visited FROM inv WHERE visited IS NOT NULL GROUP BY site, visited
+    UNION ALL {" UNION ALL ".join(f"SELECT DISTINCT site, {i}, 0, x, '{label}' || x FROM (SELECT site, unnest({_ACC_COLS[c]}) AS x FROM inv)"
+                                  for i, (c, label) in enumerate(E.SUMMARY_SECTIONS.items(), 2))}
+    UNION ALL SELECT DISTINCT site, 8, 0, 'newsletter checkbox', 'Preselected: newsletter checkbox' FROM inv WHERE n_pre > 0
+    UNION ALL SELECT DISTINCT site, 9, 0, 'token', 'Hidden input: token' FROM inv WHERE n_hid > 0
+    UNION ALL SELECT site, 10, step, '', '[' || step || '] ' || upper(tool) || ': ' || summary FROM inv),
+  p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY site ORDER BY section, n, v
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000 AS part FROM l)"""
+
+SQL_SUMMARY_PARTS = f"""{_SQL_LINES} SELECT site, CAST(part AS BIGINT) AS part, count(*) AS n_lines,
+  string_agg(text, chr(10) ORDER BY section, n, v) AS text FROM p GROUP BY site, part"""
+
+
+def _summary_parts(spark, d):
+    inv = written(E.investigation(_log(spark, d)), "investigation")
+    return inv, E.summary_parts(E.summary_lines(inv))
+
+
+@query("agg_summary_text", SQL_SUMMARY_PARTS)
 def q_agg_summary_text(spark, d):
-    inv = E.investigation(_log(spark, d), cap=10)
-    s = E.evidence_summary(inv)
-    return s.select("site", L("step_count").alias("step_count"), L("screenshot_count").alias("screenshot_count"),
-                    "evidence_summary")
+    """The whole log of every site up to its stop step, as numbered texts of bounded size."""
+    return _summary_parts(spark, d)[1].select("site", L("part").alias("part"), L("n_lines").alias("n_lines"), "text")
 
 
 def _site_findings(spark, d):
@@ -357,11 +348,11 @@ def q_fnd_classify(spark, d):
 @query("agg_completion_counts", lambda: f"""SELECT s.site, CAST(s.step_count AS BIGINT) AS step_count,
   s.step_count || ' steps · ' || s.shots || ' screenshots · ' || coalesce(c.n, 0) || ' pattern' ||
   CASE WHEN coalesce(c.n, 0) <> 1 THEN 's' ELSE '' END || ' found' AS stats
-  FROM (SELECT site, count(*) AS step_count, count(shot_path) AS shots FROM {SQL_INV} GROUP BY site) s
+  FROM (SELECT site, count(*) AS step_count, count(shot_path) AS shots FROM {SQL_LOG} GROUP BY site) s
   LEFT JOIN (SELECT site, count(*) AS n FROM ({_SQL_CLASSIFY}) GROUP BY site) c USING (site)""")
 def q_agg_completion_counts(spark, d):
-    inv = E.investigation(_log(spark, d), cap=10)
-    s = inv.groupBy("site").agg(F.count(F.lit(1)).alias("step_count"), F.count("shot_path").alias("shots"))
+    """Steps, screenshots and findings of every site's whole log."""
+    s = _raw_log(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("step_count"), F.count("shot_path").alias("shots"))
     n = _site_findings(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     j = s.join(n, "site", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return j.select("site", L("step_count").alias("step_count"),
@@ -370,18 +361,19 @@ def q_agg_completion_counts(spark, d):
 
 def _sql_prompt():
     from .prompts import template
-    fixed = len(template()) - len("{evidence_summary}") - len("{screenshot_count}")
-    return f"""SELECT site, CAST({fixed} + length(evidence_summary) + length(CAST(screenshot_count AS VARCHAR)) AS BIGINT)
-  AS prompt_chars, starts_with(evidence_summary, 'Investigation of: ') AS has_summary FROM ({SQL_SUMMARY_TEXT})"""
+    fixed = template().replace("'", "''")
+    filled = f"replace(replace('{fixed}', '{{evidence_summary}}', t.text), '{{screenshot_count}}', CAST(h.shots AS VARCHAR))"
+    return f"""{_SQL_LINES} SELECT t.site, CAST(t.part AS BIGINT) AS part, CAST(length({filled}) AS BIGINT) AS prompt_chars, md5({filled}) AS prompt_md5
+  FROM (SELECT site, part, string_agg(text, chr(10) ORDER BY section, n, v) AS text FROM p GROUP BY site, part) t JOIN h USING (site)"""
 
 
 @query("rec_prompt", _sql_prompt)
 def q_rec_prompt(spark, d):
-    """Analyst prompt per site from its investigation summary (length and content checked)."""
-    inv = E.investigation(_log(spark, d), cap=10)
-    p = analyst_prompts(E.evidence_summary(inv))
-    return p.select("site", L(F.length("prompt")).alias("prompt_chars"),
-                    F.col("prompt").contains("Investigation of: ").alias("has_summary"))
+    """Analyst prompt per part of each site's investigation summary, whole log, compared by digest."""
+    inv, parts = _summary_parts(spark, d)
+    shots = inv.groupBy("site").agg(F.count("shot_path").alias("screenshot_count"))
+    p = analyst_prompts(parts.join(shots, "site"), "text")
+    return p.select("site", L("part").alias("part"), L(F.length("prompt")).alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
 # --- screenshot files ---------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from ..functions import html as H
 from ..operators import dom
 from ..sources.tables import read_table
 from ..sources.sinks import report_key
+from ..sources.tables import read_table
 from . import fixtures as G
 from .registry import SQL_WS, J, L, query, sql_clean, sql_unescape, sql_visible
 
@@ -229,3 +230,21 @@ def q_jn_subtree(spark, d):
     pred = lambda tag, name: f"({name} IN ('div', 'p') AND {tag} rlike 'style=')"
     return dom.subtree_texts(G.g2_form_pages(spark, d), pred).select("page_id", L("ord").alias("ord"), "text")
 
+
+
+def _unclosed_pages(spark, d):
+    """Pages of parts whose small print, list items and table cells are never closed."""
+    part = read_table(spark, d, "part")
+    html = F.concat(
+        F.lit("<body><div><p>"), F.col("p_name"), F.lit("<small>Made by "), F.col("p_brand"), F.lit(" for us</div><ul><li>"), F.col("p_type"),
+        F.lit("<li style='font-size:9px'>Packed as "), F.col("p_partkey").cast("string"), F.lit("<li>plain</ul><table><tr><td style='position:fixed'>Size "),
+        F.col("p_partkey").cast("string"), F.lit("<td>other</table><p>rest"))
+    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+@query("dom_unclosed", """SELECT p_partkey AS page_id, 'Made by ' || p_brand || ' for us|Packed as ' || p_partkey || 'plain' AS small_print,
+  'Size ' || p_partkey || 'other' AS sticky FROM part""")
+def q_dom_unclosed(spark, d):
+    """Elements that are never closed end with their parent."""
+    return _unclosed_pages(spark, d).select("page_id", F.array_join(H.small_print("html"), "|").alias("small_print"),
+                                            J(H.sticky_elements("html")).alias("sticky"))
