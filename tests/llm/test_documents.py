@@ -325,7 +325,7 @@ def test_induced_sort(seed):
 def assert_regions_cover(monkeypatch):
     """Every start is in one region, also where a long text is cut."""
     text = " ".join(words(random.Random(9), 700))
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([5]), "text": pa.array([text])})
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([5]), "th": pa.array([9]), "text": pa.array([text])})
     for starts in (1000, 1 << 22):
         with monkeypatch.context() as m:
             m.setattr(suffix_dedup, "STARTS", starts)
@@ -373,5 +373,15 @@ def test_repeats_removed(spark, split, monkeypatch):
         assert bytes(r.kept) == left and r.kept_sha256 == hashlib.sha256(left).hexdigest()
 
 
+def test_repeated_ids_keep_their_own_bytes(spark):
+    long = " ".join(words(random.Random(1), 90))
+    rows = [(1, long), (1, "short"), (2, long[50:] + "end"), (3, "x" + long[:150]), (4, long[:250]), (4, long[:250]), (None, long)]
+    got = sorted((r.doc_id, bytes(r.kept).decode(), r.n_bytes) for r in
+                 suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    gone = brute_removed([t.encode() for i, t in rows if i])
+    want = sorted((i, np.frombuffer(t.encode(), np.uint8)[~g].tobytes().decode(), len(t)) for (i, t), g in zip(rows, gone))
+    assert got == want and (1, "short", 5) in got
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0

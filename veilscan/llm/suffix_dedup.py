@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import Bitmap
 from .induced_sort import BATCH, BUFFER, Scratch, suffixes_with_prefixes
 from .store import Store
 from .textbytes import CHUNK, mix, text_buffer
@@ -106,17 +107,17 @@ def regions(data: np.ndarray) -> tuple[np.ndarray, ...]:
 def _region_rows(batches):
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        ids = batch.column("doc_id").to_pylist()
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
         out, held = [], 0
         for i, doc_id in enumerate(ids):
             for at in range(int(offsets[i]), int(offsets[i + 1]), STARTS):
                 first, count, key, digest, inner = regions(data[at:min(at + STARTS + MATCH - 1, offsets[i + 1])])
                 if len(first):
-                    out.append((np.full(len(first), doc_id, np.int64), first + (at - offsets[i]), count,
+                    out.append((np.full(len(first), doc_id, np.int64), np.full(len(first), texts[i], np.int64), first + (at - offsets[i]), count,
                                 key.view(np.int64), digest.view(np.int64), inner))
                     held += len(first)
             if held > 1 << 15 or (out and i == len(ids) - 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "first", "n", "key", "digest", "inner"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "th", "first", "n", "key", "digest", "inner"])
                 out, held = [], 0
 
 
@@ -211,7 +212,7 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sort_shard(batches):
-    """One task's partition is one shard."""
+    """A task's partition, a few shards, is sorted together and must fit in memory."""
     meta, bodies = [], []
     for batch in batches:
         meta.append(np.stack([np.asarray(batch.column(c)) for c in ("key", "digest", "first", "n")], axis=1))
@@ -228,24 +229,37 @@ def _sort_shard(batches):
 
 
 def repeated_intervals(texts: DataFrame, store: Store) -> DataFrame:
-    """(doc_id, first, n): runs of starts whose 200 bytes also start elsewhere; runs may overlap or touch."""
-    rows = store.save(texts.mapInArrow(_region_rows, "doc_id long, first long, n long, key long, digest long, inner boolean"), "regions")
+    """(doc_id, th, first, n): runs of starts whose 200 bytes also start elsewhere; runs may overlap or touch.
+
+    ``texts`` has doc_id, text and th, the text's hash: rows of one id are told apart by it.
+    """
+    rows = store.save(texts.mapInArrow(_region_rows, "doc_id long, th long, first long, n long, key long, digest long, inner boolean"), "regions")
     keys = rows.groupBy("key").agg(F.count("*").alias("k"), F.max("inner").alias("inner")).filter((F.col("k") > 1) | F.col("inner"))
-    shared = store.save(rows.join(keys.select("key"), "key", "left_semi"), "shared")
-    store.drop(rows)
-    equal = store.save(shared.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.max("inner").alias("inner"), F.min(F.struct("doc_id", "first", "n")).alias("one")), "equal")
-    whole = (shared.join(equal.filter("copies > 1").select("key", "digest"), ["key", "digest"], "left_semi").select("doc_id", "first", "n"))
+    keys = store.save(keys.select("key"), "keys")
+    # most regions stand alone: only those whose key may be repeated are shuffled
+    repeated = Bitmap(store, keys, "key")
+    shared = store.save(repeated.mark(rows, F.col("key"), "hit").filter("hit").drop("hit").join(keys, "key", "left_semi"), "shared")
+    store.drop(rows, keys, repeated.pieces)
+    equal = store.save(shared.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.max("inner").alias("inner"), F.min(F.struct("doc_id", "th", "first", "n")).alias("one")), "equal")
+    whole = (shared.join(equal.filter("copies > 1").select("key", "digest"), ["key", "digest"], "left_semi").select("doc_id", "th", "first", "n"))
     mixed = (equal.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner"))
              .filter((F.col("kinds") > 1) | F.col("inner")).select("key", (F.col("kinds") > SPLIT).alias("split")))
     sent = store.save(equal.join(mixed, "key").select("key", "digest", "copies", "one.*", "split"), "sent")
-    wanted = sent.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("key", "digest", "first", "n", "split")).alias("wanted"))
-    pieces = store.save(texts.join(wanted, texts.doc_id == wanted.id).select("text", "wanted").mapInArrow(_pieces, PIECE), "pieces")
+    wanted = (sent.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("of"))
+              .agg(F.collect_list(F.struct("key", "digest", "first", "n", "split")).alias("wanted")))
+    holders = Bitmap(store, sent, "doc_id")
+    held = holders.mark(texts, F.col("doc_id"), "hit").filter("hit")
+    pieces = store.save(held.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("of")))
+                        .select("text", "wanted").mapInArrow(_pieces, PIECE), "pieces")
     size = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     marks = store.save(pieces.repartition(shards, "shard").mapInArrow(_sort_shard, "key long, digest long, first long, n long"), "marks")
-    found = (marks.join(sent.filter("copies = 1").select("key", "digest", "doc_id", F.col("first").alias("at")), ["key", "digest"])
-             .select("doc_id", (F.col("at") + F.col("first")).alias("first"), "n"))
-    return store.save(whole.unionAll(found), "intervals")
+    store.drop(pieces, holders.pieces)
+    found = (marks.join(sent.filter("copies = 1").select("key", "digest", "doc_id", "th", F.col("first").alias("at")), ["key", "digest"])
+             .select("doc_id", "th", (F.col("at") + F.col("first")).alias("first"), "n"))
+    intervals = store.save(whole.unionAll(found), "intervals")
+    store.drop(shared, equal, sent, marks)
+    return intervals
 
 
 def _cut(batches):
@@ -272,13 +286,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Texts are their UTF-8 bytes, whole; null is empty. A byte goes if a
     200-byte string that covers it also starts anywhere else, in the same
-    document too; matches do not cross documents. Ids are to be unique; rows
-    with a null id are left out. Texts under 200 bytes keep all. An empty table
+    document too; matches do not cross documents. Rows of one id are documents of
+    their own, told apart by their texts; rows equal in both repeat each other.
+    Rows with a null id are left out. Texts under 200 bytes keep all. An empty table
     gives no rows; columns other than doc_id and text are not read.
     """
     store = Store(docs.sparkSession, "suffix")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    spans = (repeated_intervals(texts, store).groupBy(F.col("doc_id").alias("id"))
-             .agg(F.collect_list(F.struct("first", "n")).alias("spans")))
-    return (texts.join(spans, texts.doc_id == spans.id, "left").select("doc_id", "text", "spans")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+             .withColumn("th", F.xxhash64("text")))
+    intervals = repeated_intervals(texts, store)
+    spans = (intervals.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("of"))
+             .agg(F.collect_set(F.struct("first", "n")).alias("spans")))
+    # texts that hold no interval are not shuffled
+    marked = Bitmap(store, intervals, "doc_id").mark(texts, F.col("doc_id"), "hit")
+    hits = (marked.filter("hit").join(spans, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("of")), "left")
+            .select("doc_id", "text", "spans"))
+    clean = marked.filter("NOT hit").select("doc_id", "text", F.lit(None).cast(hits.schema["spans"].dataType).alias("spans"))
+    return (clean.unionAll(hits)
             .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
