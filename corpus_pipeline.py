@@ -30,7 +30,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs, carry=["lang", "source", "n_chars"])
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.filter("n_removed = 0 OR trim(text) <> ''").withColumn("n_chars", length.cast("long")).select(COLUMNS)
+    word = F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")
+    return out.filter((F.col("n_removed") == 0) | word).withColumn("n_chars", length.cast("long")).select(COLUMNS)
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -210,9 +210,9 @@ def line_variants(rnd, n):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("width,least", [(16, 0.9), (20, 0.8)])
+@pytest.mark.parametrize("width,least", [(14, 0.9), (17, 0.8)])
 def test_most_similar_lines_meet(spark, width, least):
-    """Recall against all pairs, without blocks, at the block widths of some 250,000 and 4 million lines."""
+    """Recall against all pairs, without blocks, at the block widths of some 500,000 and 4 million lines."""
     rnd = random.Random(8)
     lines = [x for n in range(10, 100) for x in line_variants(rnd, n)]
     docs = frame(spark, lines)

@@ -114,14 +114,15 @@ def has_letter(text: Column) -> Column:
 
 def fit(docs: DataFrame) -> Model:
     """Fit on (text, lang); rows without a language or without a letter teach nothing."""
-    usable = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    usable = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang")
     lowered = usable.select(F.lower("text").alias("text"))
     df = dict(lowered.mapInArrow(_frequencies, "bin long, df long").groupBy("bin").agg(F.sum("df").alias("df")).collect())
     if not df.get(-1):
         return Model(None, None, [], None)
     idf = np.array([np.log((1 + df[-1]) / (1 + df.get(b, 0))) + 1 for b in range(DIMS)], np.float32)
     # the sample is drawn by the text's hash, equal texts once
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    # (one row per language, always less than the model, which has some centroids of each: broadcast)
+    counts = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("n")))
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
     picked = (usable.join(counts, "lang").filter(share * F.col("n") < SAMPLE)
               .groupBy("lang", F.xxhash64("text").alias("h")).agg(F.lower(F.first("text")).alias("text")))
@@ -141,7 +142,7 @@ def _predict(model: Model):
             score = np.clip(sims[np.arange(len(best)), best], 0, 1).astype(np.float64)
             letters = np.asarray(rows.column("letters"))
             yield pa.RecordBatch.from_pydict({
-                **{c: rows.column(c) for c in rows.schema.names if c not in ("text", "letters")},
+                "carried": rows.column("carried"),
                 "lang_pred": pa.array([model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)]),
                 "score": pa.array(np.where(letters, score, 0.0)),
                 "rejected": pa.array(~letters | (score < model.floors[best]))})
@@ -154,13 +155,17 @@ def predict(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     Only the text is looked at. A null text, one without a letter, or any text
     where the model learned no language gives ``und``, 0 and rejected. A text of
     any length is used whole; ties go to the first language of the alphabet.
+    Repeated rows and ids are judged row by row; an empty table gives no rows.
+    Columns of any name but the three new ones can be carried.
     """
-    texts = docs.select(*carry, F.lower(F.coalesce("text", F.lit(""))).alias("text"), has_letter(F.col("text")).alias("letters"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    texts = docs.select(carried.alias("carried"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), has_letter(F.col("text")).alias("letters"))
     if not model.langs:
-        return texts.select(*carry, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in carry) + "lang_pred string, score double, rejected boolean"
-    return texts.mapInArrow(_predict(model), schema)
+        out = texts.select("carried", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    else:
+        kind = texts.schema["carried"].dataType.simpleString()
+        out = texts.mapInArrow(_predict(model), f"carried {kind}, lang_pred string, score double, rejected boolean")
+    return out.select(*[F.col("carried")[c].alias(c) for c in carry], "lang_pred", "score", "rejected")
 
 
 def identify(docs: DataFrame, train: Column, carry: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .store import Store
 
 #: Members of a bucket that are paired under one key, and pivots of a bucket after the first round.
-CELL, PIVOTS = 64, 8
+CELL, PIVOTS = 64, 4
 
 
 def components(store: Store, links: DataFrame) -> DataFrame:

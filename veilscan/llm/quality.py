@@ -23,6 +23,8 @@ from .textbytes import NOT_BLANK, text_slices, word_bounds, word_hashes
 #: Bound of the labelled sample the regression is fitted on, in documents.
 SAMPLE = 20_000
 KEEP = 0.5
+#: Sites (host, path) that are broadcast at most.
+SITES = 100_000
 FEATURES = 12
 
 
@@ -165,7 +167,8 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
     judged, rows that repeat an id too. A null or empty text is judged by its
     (zero) features, a null source or language is a site of its own. Without
     labels of both kinds p_text is 0.5 and all is kept. An empty table gives no
-    rows; columns not in ``carry`` do not come back.
+    rows; columns not in ``carry`` do not come back, columns of any name but the
+    five new ones can be carried. Sites are broadcast up to ``SITES`` of them.
     """
     store = Store(docs.sparkSession, "quality")
     model = fit(docs, labels)
@@ -178,11 +181,11 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
                 .select("host", "path", F.coalesce(F.col("good").cast("double"), "p_text").alias("p")))
     sites, mean = site_posteriors(evidence)
     sites = store.save(sites, "sites")
-    rows = docs.select(*dict.fromkeys([*carry, "text"]), host.alias("_host"), path.alias("_path"))
-    judged = with_text_probability(rows, model)
-    if "text" not in carry:
-        judged = judged.drop("text")
-    judged = judged.join(sites, (F.col("_host") == sites.host) & (F.col("_path") == sites.path))
+    if sites.count() <= SITES:
+        sites = F.broadcast(sites)
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    judged = with_text_probability(docs.select(carried.alias("carried"), "text", host.alias("host"), path.alias("path")), model).drop("text")
+    judged = judged.join(sites, ["host", "path"])
     odds = _log_odds(F.col("p_text")) + _log_odds(F.col("path_posterior")) - _log_odds(F.lit(mean))
     p = F.lit(1.0) / (1 + F.exp(-odds))
-    return judged.select(*carry, "p_text", "host_posterior", "path_posterior", p.alias("p_good"), (p >= KEEP - 1e-9).alias("kept"))
+    return judged.select(*[F.col("carried")[c].alias(c) for c in carry], "p_text", "host_posterior", "path_posterior", p.alias("p_good"), (p >= KEEP - 1e-9).alias("kept"))
