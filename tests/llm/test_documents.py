@@ -134,14 +134,13 @@ def line_links(names, sig, width):
                 break
 
 
-def signatures(docs, names, width):
-    """SimHash of each form, by the operator's own words and weights."""
-    _, hashes, weights = line_dedup.word_weights(docs.filter("doc_id IS NOT NULL"), Store(docs.sparkSession, "t"))
+def signatures(names, width):
+    """SimHash of each form, by the operator's own features."""
     out = {}
     for f in names:
         data = np.frombuffer(f.encode(), np.uint8)
         _, words, bounds, _, _, starts, ends = line_dedup._lines_of(data, np.array([0, len(data)]))
-        features, kind, cuts = line_dedup.line_features(data, starts, ends, words, bounds, hashes, weights)
+        features, kind, cuts = line_dedup.line_features(data, starts, ends, words, bounds)
         out[f] = line_dedup.simhash(features, cuts, kind, -(-line_dedup.BLOCKS * width // 64))[0]
     return out
 
@@ -182,8 +181,8 @@ def test_repeated_lines(spark, seed):
     texts = line_corpus(seed) + ODD[:-1]
     docs = frame(spark, texts)
     names = sorted({f for t in texts for _, f in forms_of(t)})
-    width = line_dedup.block_bits(sum(1 for t in texts for _ in forms_of(t)))
-    links = list(line_links(names, signatures(docs, names, width), width))
+    width = line_dedup.block_bits(sum((t or "").count("\n") + 1 for t in texts if t is not None))
+    links = list(line_links(names, signatures(names, width), width))
     want = lines_to_drop(texts, links)
     assert len(links) > 40 and len(want) > 40
     got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(docs, Store(spark, "t")).collect()}
@@ -211,13 +210,12 @@ def line_variants(rnd, n):
 
 
 @pytest.mark.parametrize("width,least", [(14, 0.9), (17, 0.8)])
-def test_most_similar_lines_meet(spark, width, least):
+def test_most_similar_lines_meet(width, least):
     """Recall against all pairs, without blocks, at the block widths of some 500,000 and 4 million lines."""
     rnd = random.Random(8)
     lines = [x for n in range(10, 100) for x in line_variants(rnd, n)]
-    docs = frame(spark, lines)
     names = sorted({f for t in lines for _, f in forms_of(t)})
-    sig = signatures(docs, names, width)
+    sig = signatures(names, width)
     near = [(a, b) for a, b in itertools.combinations(names, 2) if abs(a.count(" ") - b.count(" ")) < 12 and similar_lines(a, b)]
     met = set(line_links(names, sig, width))
     assert len(near) > 300 and sum(p in met for p in near) >= least * len(near)
@@ -251,7 +249,7 @@ def test_crowded_buckets(spark, monkeypatch):
     docs = frame(spark, texts)
     names = sorted({f for t in texts for _, f in forms_of(t)})
     width = line_dedup.block_bits(len(texts))
-    want = lines_to_drop(texts, list(line_links(names, signatures(docs, names, width), width)))
+    want = lines_to_drop(texts, list(line_links(names, signatures(names, width), width)))
     got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(docs, Store(spark, "t")).collect()}
     assert got >= want and len(want) > 80
     links = [(a, b) for a, b in itertools.combinations(names, 2) if similar_lines(a, b)]
