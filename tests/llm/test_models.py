@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -277,3 +278,24 @@ def test_deep_paths_are_judged_to_their_last_segment(spark):
     labels = spark.createDataFrame([(i, int(k == "ads")) for i, k in enumerate(kinds)], "page_id long, bad int")
     got = {(r.path.split("/")[6], r.template, r.verdict) for r in url_filter.judge(pages, labels, rules=[]).collect()}
     assert got == {("ads", "/*/*/*/*/*/ads/*", "block"), ("news", "/*/*/*/*/*/news/*", "allow")}
+
+
+def test_one_deep_url_costs_a_few_tables(spark, monkeypatch):
+    """A path of 40 segments among shallow ones: finished in a handful of rounds."""
+    saved = []
+    save = Store.save
+    monkeypatch.setattr(Store, "save", lambda self, df, name, *a: saved.append(name) or save(self, df, name, *a))
+    deep = "/".join(f"s{i}" for i in range(40))
+    pages = spark.createDataFrame([(0, f"http://h.net/{deep}")] + [(i, f"http://h.net/a/{i}") for i in range(1, 20)], "page_id long, url string")
+    got = {r.page_id: r.template for r in url_filter.judge(pages, spark.createDataFrame([], "page_id long, bad int"), rules=[]).collect()}
+    assert got[0] == "/*" * 40 and got[3] == "/*/*" and len(saved) < 15
+
+
+def test_a_long_text_of_inexact_notices_is_quick():
+    s = license_scan.Scanner(*map(list, (license_scan.BASE, license_scan.NOTICES)))
+    norm = " " + "all rihgts reserved and so on " * 3300
+    began = time.time()
+    spans = s.spans(norm)
+    assert time.time() - began < 5
+    places = {a for i, a, b, e in spans if norm[a:b] == "all rihgts reserved"}
+    assert len(places) == 3300

@@ -68,7 +68,7 @@ class Scanner:
 
     def spans(self, norm: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in the normal text; of overlapping spans of one notice the best stays."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         out = []
         for end, (size, uses) in self.automaton.iter(norm):
             for i, at in uses:
@@ -76,27 +76,32 @@ class Scanner:
                 start = end + 1 - size - at
                 if k == 0:
                     out.append((i, start + 1, start + len(phrase) - 1, 0))
-                    continue
-                lo, hi = max(0, start - k - 1), min(len(norm), start + len(phrase) - 2 + k + 1)
-                mine = windows.setdefault(i, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], hi)
-                    mine[-1][0] = min(mine[-1][0], lo)
                 else:
-                    mine.append([lo, hi])
+                    # a window holds one whole place at most, so each candidate is one search of bounded size
+                    windows.setdefault(i, set()).add((max(0, start - k - 1), min(len(norm), start + len(phrase) - 2 + k + 1)))
         for i, mine in windows.items():
-            for lo, hi in mine:
-                # the best match comes first, so both sides of it are searched again
-                parts = [(lo, hi)]
-                while parts:
-                    a, b = parts.pop()
-                    m = self.patterns[i].search(norm, a, b)
-                    if m and m.end() > m.start():
-                        out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        parts += [(a, m.start()), (m.end(), b)]
+            found = {(m.start(), m.end(), sum(m.fuzzy_counts)) for m in (self.patterns[i].search(norm, a, b) for a, b in mine) if m and m.end() > m.start()}
+            out += [(i, *span) for span in best_apart(found)]
         return sorted(set(out), key=lambda s: (s[1], s[2], s[0]))
 
 
+def best_apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start, end, edits) that do not overlap, chosen by fewest edits, then start and end."""
+    kept: list[tuple[int, int, int]] = []
+    cluster: list[tuple[int, int, int]] = []
+    reach = -1
+    for span in [*sorted(spans), (1 << 62, 0, 0)]:
+        if span[0] >= reach:
+            own: list[tuple[int, int, int]] = []
+            for s in sorted(cluster, key=lambda x: (x[2], x[0], x[1])):
+                if all(s[1] <= t[0] or t[1] <= s[0] for t in own):
+                    own.append(s)
+            kept, cluster = kept + own, []
+        cluster.append(span)
+        reach = max(reach, span[1])
+    return kept
+
+
 @lru_cache(8)
 def scanner(base: tuple, notices: tuple) -> Scanner:
     return Scanner(list(base), list(notices))
@@ -137,8 +142,10 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES, id_col: str = "doc_id", te
 
     A null or wordless text has no words and no spans; the whole of a text of
     any length is searched; overlapping spans of different notices and repeated
-    places of one notice are all given. An empty table gives no rows; other
-    columns are not read.
+    places of one notice are all given, of overlapping places of one notice the
+    one with fewest edits. Every row is judged by itself: repeated rows and ids
+    and null ids are all returned. An empty table gives no rows; other columns
+    are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_scan(tuple(base), tuple(notices)), f"doc_id long, n_words long, spans {SPANS}")

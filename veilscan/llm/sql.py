@@ -49,8 +49,12 @@ FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+#: Segments that the SQL of the template tree follows; the operator follows all.
+LEVELS = 12
+
+
 def url_filter() -> str:
-    """The template tree of `url_filter`, level by level as common table expressions (4 levels)."""
+    """The template tree of `url_filter`, level by level as common table expressions: all paths of up to ``LEVELS`` segments."""
     ctes = [r"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1),
                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                              regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
@@ -60,8 +64,8 @@ lab AS (SELECT page_id, sum((quality = 0)::INT) AS bad, count(quality) AS labell
 r0 AS (SELECT host, path, count(*) AS n, sum(coalesce(bad, 0)) AS bad, sum(coalesce(labelled, 0)) AS labelled,
               list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS t
        FROM u LEFT JOIN lab USING (page_id) GROUP BY host, path)"""]
-    for i in range(4):
-        seg = f"segs[{i + 1}]" if i < 3 else "CASE WHEN len(segs) >= 4 THEN array_to_string(segs[4:], '/') END"
+    for i in range(LEVELS):
+        seg = f"segs[{i + 1}]"
         ctes.append(rf"""s{i} AS (SELECT *, {seg} AS seg FROM r{i}),
 k{i} AS (SELECT host, t, seg, sum(n) AS c FROM s{i} WHERE seg IS NOT NULL GROUP BY ALL),
 v{i} AS (SELECT host, t, seg FROM (SELECT *, sum(c) OVER w AS total, count(*) OVER w AS kids FROM k{i} WINDOW w AS (PARTITION BY host, t))
@@ -69,9 +73,9 @@ v{i} AS (SELECT host, t, seg FROM (SELECT *, sum(c) OVER w AS total, count(*) OV
 r{i + 1} AS (SELECT s.host, s.path, s.n, s.bad, s.labelled, s.segs,
              s.t || CASE WHEN s.seg IS NULL THEN '' WHEN v.seg IS NOT NULL OR regexp_matches(s.seg, '^[0-9]+(\.[a-z0-9]+)?$') THEN '/*' ELSE '/' || s.seg END AS t
              FROM s{i} s LEFT JOIN v{i} v ON v.host = s.host AND v.t = s.t AND v.seg = s.seg)""")
-    ctes.append("""stats AS (SELECT host, t, sum(bad) AS bad, sum(labelled) AS labelled FROM r4 GROUP BY ALL),
+    ctes.append(f"""stats AS (SELECT host, t, sum(bad) AS bad, sum(labelled) AS labelled FROM r{LEVELS} GROUP BY ALL),
 m0 AS (SELECT *, t AS m FROM stats)""")
-    for i in range(1, 5):
+    for i in range(1, LEVELS + 1):
         ctes.append(f"""h{i} AS (SELECT *, CASE WHEN len(string_split(m, '/')) > {i} AND string_split(m, '/')[{i + 1}] <> '*'
   THEN array_to_string(list_transform(string_split(m, '/'), lambda p, k: CASE WHEN k = {i + 1} THEN '*' ELSE p END), '/') ELSE m END AS shape FROM m{i - 1}),
 o{i} AS (SELECT host, shape, m, sum(bad)::DOUBLE AS b, sum(labelled)::DOUBLE AS k FROM h{i} GROUP BY ALL),
@@ -79,18 +83,19 @@ p{i} AS (SELECT host, shape, sum(b) AS pb, sum(k) AS pk FROM o{i} GROUP BY ALL),
 a{i} AS (SELECT host, m, shape FROM o{i} JOIN p{i} USING (host, shape)
          WHERE (b * pk - k * pb) * (b * pk - k * pb) <= 3.84::DOUBLE * k * pb * (pk - pb)),
 m{i} AS (SELECT h.host, h.t, h.bad, h.labelled, coalesce(a.shape, h.m) AS m FROM h{i} h LEFT JOIN a{i} a ON a.host = h.host AND a.m = h.m)""")
+    ctes.append(f"mlast AS (SELECT * FROM m{LEVELS}),\nrlast AS (SELECT * FROM r{LEVELS})")
     ctes.append("""g AS (SELECT sum(bad) AS b, sum(labelled) AS k FROM stats),
 hs AS (SELECT host, sum(bad) AS hb, sum(labelled) AS hk FROM stats GROUP BY 1),
 j AS (SELECT host, m, (x.b + 20.0::DOUBLE * (hb + 20.0::DOUBLE * CASE WHEN g.k > 0 THEN g.b::DOUBLE / g.k ELSE 0 END) / (hk + 20.0::DOUBLE)) / (x.k + 20.0::DOUBLE) AS rate
-      FROM (SELECT host, m, sum(bad) AS b, sum(labelled) AS k FROM m4 GROUP BY ALL) x JOIN hs USING (host), g),
+      FROM (SELECT host, m, sum(bad) AS b, sum(labelled) AS k FROM mlast GROUP BY ALL) x JOIN hs USING (host), g),
 rules(kind, rule, dom, pre) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
   ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
 fit AS (SELECT DISTINCT ON (host, path) host, path, kind, rule FROM (SELECT DISTINCT host, path FROM u) JOIN rules
         ON (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, pre) ORDER BY host, path, len(rule) DESC, rule)""")
-    return "WITH " + ",\n".join(ctes) + """
+    return "WITH " + ",\n".join(c.replace(" AS (SELECT", " AS MATERIALIZED (SELECT") for c in ctes) + """
 SELECT page_id, u.host, u.path, rule, coalesce(kind, CASE WHEN rate >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-       m4.m AS template, round(rate, 6) AS bad_rate
-FROM u JOIN r4 USING (host, path) JOIN m4 ON m4.host = r4.host AND m4.t = r4.t JOIN j ON j.host = m4.host AND j.m = m4.m
+       mlast.m AS template, round(rate, 6) AS bad_rate
+FROM u JOIN rlast USING (host, path) JOIN mlast ON mlast.host = rlast.host AND mlast.t = rlast.t JOIN j ON j.host = mlast.host AND j.m = mlast.m
 LEFT JOIN fit ON fit.host = u.host AND fit.path = u.path
 """
 

@@ -7,7 +7,9 @@ labelled rates do not differ significantly from their pooled rate are merged;
 a template is rejected when its bad rate, shrunk to its host's and that to the
 global one, reaches the threshold. All statistics are aggregates over (host,
 prefix, segment) with map-side combine, so a host with a third of all pages is
-no hot task; the levels go on until no path has a segment left.
+no hot task. The levels go on until no path has a segment left; paths under a
+node of few urls, and templates that are alone, are finished in one expression,
+so a deep path does not cost a round per segment.
 """
 
 from __future__ import annotations
@@ -55,27 +57,43 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def templates(urls: DataFrame, store: Store) -> DataFrame:
     """(host, path, n, bad, labelled, template) for distinct (host, path) with counts, before merging."""
     rows = urls.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    rows = store.save(rows, "segments")
-    depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(depth):
-        rows = store.save(rows.withColumn("segment", F.get("segments", F.lit(level))), f"level{level}")
-        nodes = rows.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
+    rows, done, level = store.save(rows, "level0"), None, 0
+    while True:
+        # under a node of few urls no segment can be rare, so its paths are finished at once
+        few = rows.groupBy("host", "template").agg(F.sum("n").alias("total")).filter(F.col("total") <= NARROW).select("host", "template", F.lit(True).alias("few"))
+        rest = F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0)))
+        tail = F.array_join(F.transform(rest, lambda s: F.when(s.rlike(ID_LIKE), "/*").otherwise(F.concat(F.lit("/"), s))), "")
+        split = rows.join(few, ["host", "template"], "left").withColumn("few", F.coalesce("few", F.lit(False)) | (F.size("segments") <= level))
+        split = store.save(split, f"split{level}")
+        ended = split.filter("few").withColumn("template", F.concat("template", tail)).drop("segments", "few")
+        done = ended if done is None else done.unionAll(ended)
+        store.drop(rows)
+        rows = split.filter("NOT few").drop("few")
+        if rows.isEmpty():
+            return store.save(done, "templates")
+        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        nodes = rows.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
         wide = (nodes.groupBy("host", "template").agg(F.sum("n").alias("total"), F.count("*").alias("children"))
                 .filter(F.col("children") > WIDE).select("host", "template", "total"))
         rare = (nodes.join(wide, ["host", "template"]).filter(F.col("n") * NARROW < F.col("total"))
                 .select("host", "template", "segment", F.lit(True).alias("rare")))
-        shown = (F.when(F.col("segment").isNull(), "")
-                 .when(F.coalesce("rare", F.lit(False)) | F.col("segment").rlike(ID_LIKE), "/*")
+        shown = (F.when(F.coalesce("rare", F.lit(False)) | F.col("segment").rlike(ID_LIKE), "/*")
                  .otherwise(F.concat(F.lit("/"), "segment")))
         rows = (rows.join(rare, ["host", "template", "segment"], "left")
                 .withColumn("template", F.concat("template", shown)).drop("segment", "rare"))
-    return store.save(rows.drop("segments"), "templates")
+        level += 1
+        rows = store.save(rows, f"level{level}")
 
 
 def merged(stats: DataFrame, store: Store) -> DataFrame:
     """(host, template, merged) from (host, template, bad, labelled): similar siblings share a wildcard."""
-    rows = stats.withColumn("merged", F.col("template"))
-    depth = stats.agg(F.max(F.size(F.split("template", "/")))).first()[0] or 0
+    # templates of one host merge only with those of as many segments; one alone merges with itself on every level
+    size = F.size(F.split("template", "/"))
+    alone = stats.groupBy("host", size.alias("size")).agg(F.count("*").alias("k")).filter("k = 1").select("host", "size", F.lit(True).alias("alone"))
+    rows = store.save(stats.withColumn("size", size).join(alone, ["host", "size"], "left").withColumn("alone", F.coalesce("alone", F.lit(False))), "merge0")
+    done = rows.filter("alone").withColumn("merged", F.regexp_replace("template", "/[^/]+", "/*")).select("host", "template", "merged")
+    rows = rows.filter("NOT alone").drop("alone").withColumn("merged", F.col("template"))
+    depth = rows.agg(F.max("size")).first()[0] or 0
     for level in range(1, depth):
         parts = F.split("merged", "/")
         at = F.get(parts, F.lit(level))
@@ -90,7 +108,11 @@ def merged(stats: DataFrame, store: Store) -> DataFrame:
                  .select("host", "merged", F.col("shape").alias("to")))
         rows = (rows.join(alike, ["host", "merged"], "left")
                 .withColumn("merged", F.coalesce("to", "merged")).drop("to", "shape"))
-    return rows.select("host", "template", "merged")
+        if level < depth - 1:
+            # what has no further segment is set aside
+            done = done.unionAll(rows.filter(F.col("size") <= level + 1).select("host", "template", "merged"))
+            rows = rows.filter(F.col("size") > level + 1)
+    return done.unionAll(rows.select("host", "template", "merged"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -121,8 +143,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
     rate = ((F.col("b") + STRENGTH * (F.col("hb") + STRENGTH * F.lit(prior)) / (F.col("hk") + STRENGTH))
             / (F.col("k") + STRENGTH))
     judged = pure.join(hosts, "host").select("host", "merged", rate.alias("bad_rate"))
-    of_path = (paths.select("host", "path", "template").join(tree, ["host", "template"])
-               .join(judged, ["host", "merged"]).select("host", "path", F.col("merged").alias("template"), "bad_rate"))
+    # the rate goes to the few templates first, then to their paths
+    rated = tree.join(judged, ["host", "merged"])
+    of_path = (paths.select("host", "path", "template").join(rated, ["host", "template"])
+               .select("host", "path", F.col("merged").alias("template"), "bad_rate"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_rate") >= REJECT, "block").otherwise("allow")
     return urls.join(of_path, ["host", "path"]).select(
