@@ -40,3 +40,16 @@ def test_write_log_appends(spark):
     back = spark.read.parquet(path)
     assert back.count() == 4
     assert sorted(str(r.day) for r in back.select("day").distinct().collect()) == ["2024-01-01", "2024-01-02"]
+
+
+def test_one_file_per_report_key(spark):
+    df = spark.createDataFrame([(f"site{i}", REPORT) for i in range(12)], "site string, raw string").repartition(5)
+    rep = FN.parse_reports(df).withColumn("url", F.concat(F.lit("https://"), "site", F.lit(".example"))) \
+        .withColumn("report_ts", F.lit(dt.datetime(2024, 5, 6, 7, 8, 9)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports_{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.write_report_files(rep, path)
+    back = {r.report_key: json.loads(r.value)["url"] for r in sinks.read_report_files(spark, path).collect()}
+    assert back == {f"https___site{i}_example_20240506_070809": f"https://site{i}.example" for i in range(12)}
+    files = spark.read.text(path).select(F.input_file_name().alias("f")).distinct().count()
+    assert files == 12

@@ -54,3 +54,54 @@ def score_texts(df: DataFrame, key: str, text_col: str = "text", scorer=None,
 
     return df.select(key, F.col(text_col).alias(text_col)).mapInPandas(
         run, f"{key} {key_type}, {raw_col} string")
+
+
+def is_object(reply) -> bool:
+    """Whether a reply is one JSON object."""
+    try:
+        return isinstance(json.loads(reply), dict)
+    except (TypeError, ValueError):
+        return False
+
+
+def score_in_turn(df: DataFrame, key: str, scorers: list, text_col: str = "text", valid=is_object) -> DataFrame:
+    """(key, raw, backend, error): replies of several scorers (name, function), the next one only for rows still without a valid reply.
+
+    A scorer that raises on a batch is asked row by row, so a failure stays with
+    its row and never ends the job. ``error`` lists what each scorer before the
+    one named by ``backend`` did wrong; without any valid reply raw and backend
+    are null.
+    """
+    key_type = df.schema[key].dataType.simpleString()
+
+    def one(fn, text):
+        try:
+            return fn(text).iloc[0], None
+        except Exception as e:  # any failure of a user's scorer is the row's own
+            return None, str(e) or type(e).__name__
+
+    def ask(fn, texts):
+        try:
+            return [(r, None) for r in fn(texts)]
+        except Exception:
+            return [one(fn, texts.iloc[i:i + 1]) for i in range(len(texts))]
+
+    def run(batches):
+        for pdf in batches:
+            n = len(pdf)
+            raw, backend, errors, open_ = [None] * n, [None] * n, [[] for _ in range(n)], list(range(n))
+            for name, fn in scorers:
+                if not open_:
+                    break
+                still = []
+                for i, (reply, error) in zip(open_, ask(fn, pdf["text"].iloc[open_])):
+                    if error is None and valid(reply):
+                        raw[i], backend[i] = reply, name
+                    else:
+                        errors[i].append(f"{name}: {error or 'no valid reply'}")
+                        still.append(i)
+                open_ = still
+            yield pd.DataFrame({key: pdf["key"], "raw": raw, "backend": backend, "error": ["; ".join(e) or None for e in errors]}, dtype=object)
+
+    return df.select(F.col(key).alias("key"), F.col(text_col).alias("text")).mapInPandas(
+        run, f"{key} {key_type}, raw string, backend string, error string")

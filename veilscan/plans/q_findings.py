@@ -9,7 +9,7 @@ from ..operators import report as R
 from ..operators.scan import Agg, ordered_scan
 from ..session import ensure_checkpoint_dir
 from ..sources import dims
-from ..sources.sinks import report_json
+from ..sources.sinks import read_report_files, report_json, write_report_files
 from ..operators.signals import is_object
 from ..sources.tables import read_responses, read_table
 from . import fixtures as G
@@ -34,7 +34,7 @@ def _E():
 def q_src_taxonomy(spark, d):
     tax = dims.taxonomy(spark)
     n = _enriched(spark, d).groupBy("canonical_pattern").agg(F.count(F.lit(1)).alias("n"))
-    return (tax.join(F.broadcast(n), tax["pattern"] == n["canonical_pattern"], "left")
+    return (tax.join(n, tax["pattern"] == n["canonical_pattern"], "left")
             .select(L("ord").alias("ord"), "strategy", "level", "pattern", "definition",
                     L(F.coalesce("n", F.lit(0))).alias("n_findings")))
 
@@ -45,7 +45,7 @@ def q_src_taxonomy(spark, d):
 def q_src_legal_map(spark, d):
     lm = dims.legal_map(spark)
     n = _enriched(spark, d).groupBy("canonical_pattern").agg(F.count(F.lit(1)).alias("n"))
-    return (lm.join(F.broadcast(n), lm["pattern"] == n["canonical_pattern"], "left")
+    return (lm.join(n, lm["pattern"] == n["canonical_pattern"], "left")
             .select("legal_reference", "legal_short", "legal_name", "pattern",
                     L(F.coalesce("n", F.lit(0))).alias("n_findings")))
 
@@ -218,9 +218,9 @@ def _site_reports(spark, d):
         "dark_patterns_found")
 
 
-@query("sink_report_json", lambda: f"""WITH per AS (SELECT site, canonical_pattern, evidence, any_value(level) AS level,
+_SQL_REPORTS = f"""WITH per AS (SELECT site, canonical_pattern, evidence, any_value(level) AS level,
     any_value(high_level_strategy) AS high_level_strategy, max({_SEV}) AS sr, min(l_linenumber) AS line,
-    any_value(gdpr_risk) AS gdpr_risk, any_value(legal_reference) AS legal_reference FROM {_E()} GROUP BY ALL),
+    any_value(gdpr_risk) AS gdpr_risk, any_value(legal_reference) AS legal_reference FROM {G.sql_findings_enriched()} GROUP BY ALL),
   rep AS (SELECT site, list(struct_pack(pattern := canonical_pattern, level := level, high_level_strategy := high_level_strategy,
       severity := CASE sr WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END, evidence := evidence,
       location := 'line ' || line, gdpr_risk := gdpr_risk, legal_reference := legal_reference,
@@ -230,7 +230,20 @@ def _site_reports(spark, d):
   SELECT site, CAST(to_json(struct_pack(url := 'https://' || site || '.example', timestamp := strftime(t, '%Y%m%d_%H%M%S'),
     overall_risk := CASE r WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END, overall_summary := len(f) || ' patterns',
     gdpr_concerns := g, pattern_count := CAST(len(f) AS INTEGER), language_detected := 'en', dark_patterns_found := f)) AS VARCHAR) AS report
-  FROM rep JOIN ts USING (site)""")
+  FROM rep JOIN ts USING (site)"""
+
+
+@query("sink_report_json", lambda: _SQL_REPORTS)
 def q_sink_report_json(spark, d):
     rep = _site_reports(spark, d)
     return rep.select("site", report_json(rep).alias("report"))
+
+
+@query("sink_report_files", lambda: _SQL_REPORTS.replace("SELECT site, CAST(to_json(", "SELECT 'https___' || replace(site, '-', '_') || '_example_' || "
+       "strftime(t, '%Y%m%d_%H%M%S') AS report_key, CAST(to_json("))
+def q_sink_report_files(spark, d):
+    """One file per site's report under its key, written to the shared folder and read back by key."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports_{uuid.uuid4().hex}"
+    write_report_files(_site_reports(spark, d), path)
+    return read_report_files(spark, path).select("report_key", F.col("value").alias("report"))

@@ -26,14 +26,18 @@ def q_src_pages(spark, d):
                     F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"))
 
 
-@query("src_failed_pages",
-       "SELECT page_id, (html IS NOT NULL AND length(html) > 0) AS scrape_success, "
-       "CASE WHEN html IS NULL OR length(html) = 0 THEN 'Empty page: no HTML captured' END AS scrape_error, "
-       "CASE WHEN html IS NULL OR length(html) = 0 THEN '' ELSE left(html, 20) END AS html_head FROM pages")
+_SQL_FAILED = "(SELECT *, page_id % 7 = 0 OR page_id % 11 = 0 OR html IS NULL OR length(html) = 0 AS empty, page_id % 13 = 0 AS late FROM pages)"
+
+
+@query("src_failed_pages", f"""SELECT page_id, NOT (empty OR late) AS scrape_success, CASE WHEN late THEN 'Timeout after 30.0s'
+    WHEN empty THEN 'Empty page: no HTML captured' END AS scrape_error, CASE WHEN empty OR late THEN '' ELSE md5(html) END AS html_md5 FROM {_SQL_FAILED}""")
 def q_src_failed_pages(spark, d):
-    p = dom.with_status(_pages(spark, d))
-    return p.select("page_id", "scrape_success", "scrape_error",
-                    F.when(F.col("scrape_success"), F.substring("html", 1, 20)).otherwise(F.lit("")).alias("html_head"))
+    """A crawl in which some pages have no HTML, some an empty one and some the crawler's own error."""
+    n = F.col("page_id")
+    html = F.when(n % 7 == 0, F.lit(None)).when(n % 11 == 0, F.lit("")).otherwise(F.col("html"))
+    crawl = _pages(spark, d).select("page_id", html.alias("html"), F.when(n % 13 == 0, F.lit("Timeout after 30.0s")).alias("crawl_error"))
+    p = dom.with_status(crawl, error_col="crawl_error")
+    return p.select("page_id", "scrape_success", "scrape_error", F.when(F.col("scrape_success"), F.md5("html")).otherwise(F.lit("")).alias("html_md5"))
 
 
 @query("sink_report_key",

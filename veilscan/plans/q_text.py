@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.text import cap, distinct_list, join_nonempty, left, lower_text, strip, union_signals
 from ..operators import signals as S
 from ..operators.findings import _finding_ok, parse_reports, report_status
-from ..operators.scoring import score_texts
+from ..operators.scoring import rule_scorer, score_in_turn, score_texts
 from ..sources import dims
 from ..sources.tables import read_table
 from . import fixtures as G
@@ -124,20 +125,20 @@ def q_txt_truncate(spark, d):
                     left("text", 50).alias("head50"))
 
 
-@query("fn_lower", "SELECT doc_id, left(lower(text), 300) AS lower_head, "
+@query("fn_lower", "SELECT doc_id, md5(lower(text)) AS lower_md5, "
                    "CAST(length(lower(text)) AS BIGINT) AS n FROM documents")
 def q_fn_lower(spark, d):
     t = _docs(spark, d)
-    return t.select("doc_id", F.substring(lower_text("text"), 1, 300).alias("lower_head"),
+    return t.select("doc_id", F.md5(lower_text("text")).alias("lower_md5"),
                     L(F.length(lower_text("text"))).alias("n"))
 
 
 @query("fn_strip", f"SELECT conv_id, turn, CAST(length(trim(text, {SQL_WS})) AS BIGINT) AS n_stripped, "
-                   f"left(trim(text, {SQL_WS}), 20) AS head FROM conversations")
+                   f"md5(trim(text, {SQL_WS})) AS stripped_md5 FROM conversations")
 def q_fn_strip(spark, d):
     c = read_table(spark, d, "conversations")
     return c.select("conv_id", "turn", L(F.length(strip("text"))).alias("n_stripped"),
-                    F.substring(strip("text"), 1, 20).alias("head"))
+                    F.md5(strip("text")).alias("stripped_md5"))
 
 
 @query("fn_join_nonempty", """SELECT c_custkey, coalesce(nullif(concat_ws(', ',
@@ -309,6 +310,33 @@ def _sql_scorer():
   array_to_string(list_filter({arr}, lambda p: contains(lower(text), p)), '|') AS urgency FROM documents"""
 
 
+def _sql_chain():
+    arr = _lexarr("urgency")
+    n = "length(coalesce(text, ''))"
+    return f"""SELECT doc_id, CASE WHEN {n} % 3 = 0 OR {n} % 4 = 1 THEN 'rules' ELSE 'first' END AS backend,
+  CASE WHEN {n} % 3 = 0 THEN 'first: refused ' || {n} WHEN {n} % 4 = 1 THEN 'first: no valid reply' END AS error,
+  CASE WHEN {n} % 3 = 0 OR {n} % 4 = 1 THEN array_to_string(list_filter({arr}, lambda p: contains(lower(coalesce(text, '')), p)), '|')
+       ELSE 'n' || {n} END AS urgency FROM documents"""
+
+
+def _picky(texts):
+    """A scorer that refuses some texts and answers others with prose."""
+    out = []
+    for t in texts.fillna(""):
+        if len(t) % 3 == 0:
+            raise ValueError(f"refused {len(t)}")
+        out.append("no idea" if len(t) % 4 == 1 else f'{{"urgency_texts": ["n{len(t)}"]}}')
+    return pd.Series(out, index=texts.index)
+
+
+@query("udf_scorer_chain", _sql_chain)
+def q_udf_scorer_chain(spark, d):
+    """Two scorers in turn: the second only for texts that the first refuses or answers without an object."""
+    raw = score_in_turn(_docs(spark, d), "doc_id", [("first", _picky), ("rules", rule_scorer())], "text")
+    v = S.response_json("raw")
+    return raw.select("doc_id", "backend", "error", F.array_join(F.try_variant_get(v, "$.urgency_texts", "array<string>"), "|").alias("urgency"))
+
+
 @query("udf_scorer", _sql_scorer)
 def q_udf_scorer(spark, d):
     """Default scorer over all documents (Arrow batches), replies parsed and validated."""

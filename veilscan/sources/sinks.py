@@ -41,6 +41,22 @@ def write_reports(reports: DataFrame, path: str, url_col: str = "url", ts_col: s
     out.write.mode(mode).partitionBy("risk").text(path)
 
 
+def write_report_files(reports: DataFrame, path: str, url_col: str = "url", ts_col: str = "report_ts",
+                       mode: str = "overwrite") -> None:
+    """One file per report, in a folder named by its key (``report_key=...``).
+
+    Spark's commit protocol moves a task's files when it succeeds, so a task
+    that runs twice leaves one file. Reports of one key share a folder.
+    """
+    out = reports.select(report_key(url_col, ts_col).alias("report_key"), report_json(reports, url_col, ts_col).alias("value"))
+    out.write.mode(mode).partitionBy("report_key").text(path)
+
+
+def read_report_files(spark, path: str) -> DataFrame:
+    """(value, report_key) of the files of ``write_report_files``."""
+    return spark.read.schema("value string, report_key string").text(path)
+
+
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
     """Append evidence-log rows, partitioned by day."""
     log.withColumn("day", F.to_date("ts")).write.mode(mode).partitionBy("day").parquet(path)
