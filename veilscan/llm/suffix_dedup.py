@@ -36,8 +36,8 @@ MATCH = 200
 GRAM = 40
 #: Starts of GRAM-byte strings inside one MATCH-byte string.
 SPAN = MATCH - GRAM + 1
-#: Bytes of regions that a shard holds on average.
-SHARD_BYTES = 4 << 20
+#: Bytes of regions that a task's partition holds on average, and of the shards in it that are sorted together.
+SHARD_BYTES, SORT_BYTES = 4 << 20, 1 << 20
 #: A hash with more different regions is split into pieces of up to BLOCK starts.
 SPLIT, BLOCK = 512, 32
 #: Starts of a long text that are cut into regions at a time. Where a cut falls
@@ -212,20 +212,28 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sort_shard(batches):
-    """A task's partition, a few shards, is sorted together and must fit in memory."""
+    """Sorts the pieces of a task's partition, which must fit in memory, some shards at a time."""
     meta, bodies = [], []
     for batch in batches:
-        meta.append(np.stack([np.asarray(batch.column(c)) for c in ("key", "digest", "first", "n")], axis=1))
+        meta.append(np.stack([np.asarray(batch.column(c)) for c in ("key", "digest", "first", "n", "shard")], axis=1))
         bodies += batch.column("bytes").to_pylist()
     if not bodies:
         return
     meta = np.concatenate(meta)
-    for row, starts in zip(meta, repeated_starts(bodies, meta[:, 3])):
-        first, n = _runs(starts)
-        if len(first):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(first), row[0])), pa.array(np.full(len(first), row[1])), pa.array(first + row[2]), pa.array(n)],
-                names=["key", "digest", "first", "n"])
+    order = np.argsort(meta[:, 4], kind="stable")
+    meta, bodies = meta[order], [bodies[i] for i in order]
+    size = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
+    lo = 0
+    for hi in [*(np.flatnonzero(np.diff(meta[:, 4])) + 1).tolist(), len(bodies)]:
+        if size[hi] - size[lo] < SORT_BYTES and hi < len(bodies):
+            continue
+        for row, starts in zip(meta[lo:hi], repeated_starts(bodies[lo:hi], meta[lo:hi, 3])):
+            first, n = _runs(starts)
+            if len(first):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), row[0])), pa.array(np.full(len(first), row[1])), pa.array(first + row[2]), pa.array(n)],
+                    names=["key", "digest", "first", "n"])
+        lo = hi
 
 
 def repeated_intervals(texts: DataFrame, store: Store) -> DataFrame:
