@@ -320,6 +320,7 @@ def evidence_summary(inv: DataFrame, start_url: str = "site") -> DataFrame:
 
     visited_list = F.array_distinct(F.filter(F.transform(e, lambda x: x["visited"]), lambda v: v.isNotNull()))
     shots = F.filter(F.transform(e, lambda x: x["shot_path"]), lambda v: v.isNotNull())
+    # fixed values: the labels of the lines
     lines = F.concat_ws(
         "\n",
         F.concat(F.lit("Investigation of: "), F.col(start_url)),
