@@ -181,7 +181,7 @@ def test_repeated_lines(spark, seed):
     texts = line_corpus(seed) + ODD[:-1]
     docs = frame(spark, texts)
     names = sorted({f for t in texts for _, f in forms_of(t)})
-    width = line_dedup.block_bits(sum((t or "").count("\n") + 1 for t in texts if t is not None))
+    width = line_dedup.block_bits(sum(len((t or "").encode()) for t in texts))
     links = list(line_links(names, signatures(names, width), width))
     want = lines_to_drop(texts, links)
     assert len(links) > 40 and len(want) > 40
@@ -248,7 +248,7 @@ def test_crowded_buckets(spark, monkeypatch):
         texts.append(" ".join(own))
     docs = frame(spark, texts)
     names = sorted({f for t in texts for _, f in forms_of(t)})
-    width = line_dedup.block_bits(len(texts))
+    width = line_dedup.block_bits(sum(len(t) for t in texts))
     want = lines_to_drop(texts, list(line_links(names, signatures(names, width), width)))
     got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(docs, Store(spark, "t")).collect()}
     assert got >= want and len(want) > 80
