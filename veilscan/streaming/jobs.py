@@ -24,10 +24,9 @@ def _trigger(writer, available_now: bool, every: str = "30 seconds"):
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, glob: str | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(folder)
+    """Files of a folder as they land; ``glob`` names them, or the tables there, as one file or a folder of part files."""
+    # as a pattern, for the source takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{{{glob}}}" if glob else folder)
 
 
 def stream_signals(spark: SparkSession, in_dir: str, out_dir: str, glob: str = "pages.parquet",
