@@ -221,6 +221,27 @@ def test_most_similar_lines_meet(width, least):
     assert len(near) > 300 and sum(p in met for p in near) >= least * len(near)
 
 
+def test_links_do_not_depend_on_other_lines(spark, monkeypatch):
+    """The links of some lines are those of the rule, alone as well as among a hundred times as many bytes."""
+    monkeypatch.setattr(line_dedup, "LINE", 1)
+    rnd = random.Random(9)
+    own = [x for n in range(10, 60) for x in line_variants(rnd, n)]
+    other = "\n".join(" ".join(f"w{rnd.randrange(10**9)}" for _ in range(40)) for _ in range(8000))
+    names = sorted({f for t in own for _, f in forms_of(t)})
+    want = lines_to_drop(own, list(line_links(names, signatures(names, line_dedup.WIDTH), line_dedup.WIDTH)))
+    for texts in (own, own + [other]):
+        got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(frame(spark, texts), Store(spark, "t")).collect()}
+        assert got == want and len(want) > 100
+
+
+def test_length_classes_keep_similar_lines():
+    n = np.arange(1, 3000)
+    kind = line_dedup.length_class(n).astype(int)
+    for m in n:
+        least = int(-(-9 * m // 10)) if m > line_dedup.SHORT else 1
+        assert kind[m - 1] - kind[least - 1] <= 1
+
+
 def test_short_lines_and_typos(spark):
     texts = ["Subscribe to our newsletter today", "Subscribe to our newsleter today", "subscribe to our newsletter, today!!", "Go", "Ga", "something else here"]
     out = rows_by_id(line_dedup.dedup_lines(frame(spark, texts)))

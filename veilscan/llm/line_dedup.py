@@ -4,17 +4,17 @@ A line's normal form is its words (ASCII letters lower-cased, digits, all
 multi-byte characters) joined by blanks; equal normal forms are one node, so a
 boilerplate line in a third of the documents enters the search once.
 
-1. The bytes of all texts are counted.
+1. The bytes of all texts are counted, to deal the work out.
 2. One pass over all texts gives every line a SimHash of its words; short words
    weigh less, or all lines of one language would look alike. Lines of up to
    ``SHORT`` words have one of their letter triples instead, so that a typo
    changes little.
-3. The SimHash is cut into ``BLOCKS`` blocks of ``block_bits`` bits. Lines meet
-   where a block is equal; lines with no other one in the bucket that differs
-   in few of the ``CHECK`` bits next to the block are left out.
-   Blocks grow with the logarithm of the bytes, so that a bucket holds
-   a few lines by chance at any size. Entries are dealt by block value as packed
-   arrays, sorted and compared there; what meets goes on as (bucket, line) rows.
+3. The SimHash is cut into ``BLOCKS`` blocks of ``WIDTH`` bits. Two lines meet
+   where a block is equal, few of the ``CHECK`` bits next to it and of all bits
+   differ, and their numbers of words allow the similarity. Whether two lines
+   meet depends on them alone, never on the other lines or on how many there
+   are. Entries are dealt by block value as packed arrays, sorted and compared
+   there; lines that meet none are left out, the rest goes on as (bucket, line) rows.
 4. `linkage` holds them against pivots, and the edit similarity decides: at most
    10 % of the words (of a line's letters, up to ``SHORT`` words) inserted, lost
    or replaced. Every node is then in one connected group, whose occurrence with
@@ -42,7 +42,11 @@ MIN_SIMILARITY = 0.9
 #: Up to so many words the letters are compared, beyond it the words.
 SHORT = 8
 BLOCKS = 14
-#: Bytes of a line on average, as far as the width of blocks goes.
+#: Bits of a block, for any number of lines: 7 in a hundred similar pairs or fewer share none (README).
+WIDTH = 16
+#: 64-bit words of a SimHash.
+SIZE = -(-BLOCKS * WIDTH // 64)
+#: Bytes of a line on average, as far as dealing out goes.
 LINE = 400
 #: Bits beside a block that are compared at once, and in how many of them a pair may differ.
 CHECK, CHECK_FLIPS = 48, 11
@@ -52,11 +56,21 @@ FLIPS = 0.2
 WEIGHTS = np.array([1, 1, 1, 2, 5, 8], np.int16)
 #: Lines of a task that are cut into blocks at a time, and entries of one bucket among them that go on as packed arrays.
 CHUNK, CROWD = 100_000, 64
+#: Entries of a bucket that are compared in one task; a larger bucket goes on whole, and the join compares its members.
+COMPARED = 8192
 
 
 def block_bits(n_bytes: int) -> int:
-    """Bits of a block in texts of so many bytes: 16 to 32 of their lines (of ``LINE`` bytes) share a block by chance."""
-    return min(32, max(10, math.ceil(math.log2(max(n_bytes / LINE, 1))) - 5))
+    """Bits of a block in texts of so many bytes: ``WIDTH``, or two lines would be alike in one table and not in another."""
+    return WIDTH
+
+
+def length_class(n):
+    """What the numbers of words of similar lines have in common, rising by one at most between them; 0 up to ``SHORT`` words.
+
+    ``n`` words and ``m`` more of at most a tenth of ``n + m`` are within a factor of 10 / 9.
+    """
+    return np.where(n <= SHORT, 0, 1 + np.floor(np.log(np.maximum(n, SHORT + 1) / (SHORT + 1)) / math.log(10 / 9) + 1e-9)).astype(np.uint8)
 
 
 def _line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +163,7 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words:
     return np.concatenate(parts), np.concatenate(part_weights), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _line_table(size: int):
+def _line_table():
     def run(batches):
         for rows, data, offsets in text_slices(batches):
             found = _lines_of(data, offsets)
@@ -163,24 +177,25 @@ def _line_table(size: int):
             n = np.diff(bounds)[once]
             part = np.repeat(bounds[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             features, kind, cuts = line_features(data, starts[part], ends[part], words[part], np.concatenate(([0], np.cumsum(n))))
-            sig = simhash(features, cuts, kind, size)
+            sig = simhash(features, cuts, kind, SIZE)
             at = np.full(len(lines) + 1, 0)
-            at[once + 1] = 8 * size
+            at[once + 1] = 8 * SIZE
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rows.column("doc_id").take(pa.array(doc)), "th": rows.column("th").take(pa.array(doc)),
-                "line": pa.array((lines - first[doc]).astype(np.int64)), "key": pa.array(key.view(np.int64)),
+                "line": pa.array((lines - first[doc]).astype(np.int64)), "key": pa.array(key.view(np.int64)), "n": pa.array(np.diff(bounds).astype(np.int32)),
                 "sig": pa.Array.from_buffers(pa.binary(), len(lines), [
                     pa.py_buffer(np.packbits(at[1:] > 0, bitorder="little")), pa.py_buffer(np.cumsum(at).astype(np.int32)), pa.py_buffer(sig)])})
     return run
 
 
-def _entries(batches, width: int):
-    """Per chunk of lines: bucket codes, SimHash check bits and keys of all blocks, by bucket and key."""
+def _entries(batches):
+    """Per chunk of lines: bucket codes, SimHash check bits (above them the length class) and keys of all blocks, by bucket and key."""
     def cut(table):
-        key = table.column("key").to_numpy().view(np.uint64)
+        width, key = WIDTH, table.column("key").to_numpy().view(np.uint64)
+        kind = length_class(table.column("n").to_numpy()).astype(np.uint64) << np.uint64(CHECK)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(key), -1)
         code = np.concatenate([bit_range(sig, k * width, width) | np.uint64(k << width) for k in range(BLOCKS)])
-        check = np.concatenate([bit_range(sig, (k + 1) * width, CHECK) for k in range(BLOCKS)])
+        check = np.concatenate([bit_range(sig, (k + 1) * width, CHECK) | kind for k in range(BLOCKS)])
         code = scatter(code, width)
         key = np.tile(key, BLOCKS)
         order = np.lexsort((key, code))
@@ -224,16 +239,16 @@ def _crowded(code: np.ndarray) -> np.ndarray:
     return np.arange(len(code)) - np.repeat(first, n) > CROWD
 
 
-def _packed(width: int, parts_bits: int):
+def _packed(parts_bits: int):
     """Packed entries per part of the codes, at most CROWD + 1 of a bucket and chunk.
 
     The rest of a crowded bucket goes on whatever it meets: dealt out by line,
     with its code, so that no part holds a hot bucket.
     """
-    low = np.uint64(code_bits(width) - parts_bits)
+    low = np.uint64(code_bits(WIDTH) - parts_bits)
 
     def run(batches):
-        for code, check, key in _entries(batches, width):
+        for code, check, key in _entries(batches):
             many = _crowded(code)
             parts, blobs = [], []
             if many.any():
@@ -249,7 +264,7 @@ def _packed(width: int, parts_bits: int):
             parts += part.tolist()
             ends = np.cumsum(n)
             for lo, hi in zip(ends - n, ends):
-                checks = check[lo:hi].view(np.uint8).reshape(-1, 8)[:, :CHECK // 8]
+                checks = check[lo:hi].view(np.uint8).reshape(-1, 8)[:, :CHECK // 8 + 1]
                 rest = (code[lo:hi] & np.uint64((1 << int(low)) - 1)).astype(np.uint32)
                 step = np.diff(rest, prepend=np.uint32(0))
                 short = bool(step.max() < 1 << 16)
@@ -265,13 +280,16 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = 9 + n * np.dtype(kind).itemsize
     rest = np.cumsum(np.frombuffer(blob, kind, n, 9), dtype=np.uint64)
     check = np.zeros((n, 8), np.uint8)
-    check[:, :CHECK // 8] = np.frombuffer(blob, np.uint8, n * (CHECK // 8), at + 8 * n).reshape(n, -1)
+    check[:, :CHECK // 8 + 1] = np.frombuffer(blob, np.uint8, n * (CHECK // 8 + 1), at + 8 * n).reshape(n, -1)
     return rest, np.frombuffer(blob, np.uint64, n, at), check.view(np.uint64).ravel()
 
 
-def _met(width: int, parts_bits: int):
-    """(bucket, line) of the entries that have another one near in their bucket, and of all in a crowded one."""
-    low = np.uint64(code_bits(width) - parts_bits)
+def _met(parts_bits: int):
+    """(bucket, line) of the entries that meet another one in their bucket, and of all in a crowded one.
+
+    What goes on without need costs time only: ``_meets`` decides on each pair.
+    """
+    low, bits = np.uint64(code_bits(WIDTH) - parts_bits), np.uint64((1 << CHECK) - 1)
 
     def run(table: pa.Table) -> pa.Table:
         part = np.uint64(table.column("part")[0].as_py())
@@ -280,19 +298,23 @@ def _met(width: int, parts_bits: int):
         blobs = [b for b in blobs if b[0] != 2]
         if not blobs:
             return pa.table({"key": pa.array(crowd[:, 0].view(np.int64)), "id": pa.array(crowd[:, 1].view(np.int64))})
-        code, key, check = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
-        order = np.lexsort((key, code))
+        parts = [_unpacked(b) for b in blobs]
+        # the rest of such a bucket went another way
+        cut_off = np.unique(np.concatenate([c[_crowded(c)] for c, _, _ in parts]))
+        code, key, check = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((key, check >> np.uint64(CHECK), code))
         code, key, check = code[order], key[order], check[order]
         new = np.ones(len(code), bool)
         new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
         code, key, check = code[new], key[new], check[new]
         first, n = _runs(code)
         size = np.repeat(n, n)
-        meets = size > CROWD
+        meets = (size > COMPARED) | np.isin(code, cut_off)
         at = np.flatnonzero((size > 1) & ~meets)
-        for step in range(1, CROWD):
+        kind, check = (check >> np.uint64(CHECK)).astype(np.int16), check & bits
+        for step in range(1, COMPARED):
             at = at[at + step < len(code)]
-            at = at[code[at] == code[at + step]]
+            at = at[(code[at] == code[at + step]) & (kind[at + step] - kind[at] <= 1)]
             if not len(at):
                 break
             near = at[np.bitwise_count(check[at] ^ check[at + step]) <= CHECK_FLIPS]
@@ -362,6 +384,26 @@ def _edit_similar(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _meets(a, b):
+    """Whether two lines meet, from the words ``s0``, ``s1``... of their SimHashes and their numbers of words."""
+    x = [a(f"s{i}").bitwiseXOR(b(f"s{i}")) for i in range(SIZE)]
+
+    def part(start: int, n: int):
+        i, off = divmod(start % (64 * SIZE), 64)
+        out = F.shiftrightunsigned(x[i], off)
+        if off + n > 64:
+            out = out.bitwiseOR(F.shiftleft(x[(i + 1) % SIZE], 64 - off))
+        return out.bitwiseAND((1 << n) - 1)
+
+    few = sum(F.bit_count(w) for w in x) <= int(FLIPS * 64 * SIZE)
+    less, more = F.least(a("n_words"), b("n_words")), F.greatest(a("n_words"), b("n_words"))
+    length = (more <= SHORT) | ((more - less) * 10 <= more)
+    block = F.lit(False)
+    for k in range(BLOCKS):
+        block = block | ((part(k * WIDTH, WIDTH) == 0) & (F.bit_count(part((k + 1) * WIDTH, CHECK)) <= CHECK_FLIPS))
+    return length & few & block
+
+
 def repeated_lines(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, line) of the lines to remove: all but the first occurrence of each connected group.
 
@@ -373,26 +415,20 @@ def repeated_lines(docs: DataFrame, store: Store, id_col: str = "doc_id", text_c
     texts = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
              .withColumn("th", F.xxhash64("text")))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = block_bits(n_bytes)
-    size = -(-BLOCKS * width // 64)
-    lines = store.save(texts.mapInArrow(_line_table(size), "doc_id long, th long, line long, key long, sig binary"), "lines")
+    lines = store.save(texts.mapInArrow(_line_table(), "doc_id long, th long, line long, key long, n int, sig binary"), "lines")
     # parts of about a million entries
-    parts_bits = max(0, min(code_bits(width) - 1, math.ceil(math.log2(max(n_bytes / LINE * BLOCKS / 1e6, 1)))))
-    while code_bits(width) - parts_bits > 32:
-        parts_bits += 1
-    cut = lines.filter("sig IS NOT NULL").select("key", "sig")
-    packed = cut.mapInArrow(_packed(width, parts_bits), "part long, packed binary")
-    met = packed.groupBy("part").applyInArrow(_met(width, parts_bits), "key long, id long")
+    parts_bits = max(0, min(code_bits(WIDTH) - 1, math.ceil(math.log2(max(n_bytes / LINE * BLOCKS / 1e6, 1)))))
+    cut = lines.filter("sig IS NOT NULL").select("key", "n", "sig")
+    packed = cut.mapInArrow(_packed(parts_bits), "part long, packed binary")
+    met = packed.groupBy("part").applyInArrow(_met(parts_bits), "key long, id long")
     members = store.save(met.distinct(), "met")
-    words = [f"s{k}" for k in range(size)]
-    sig = [F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long").alias(w) for k, w in enumerate(words)]
-    one = lines.filter("sig IS NOT NULL").groupBy(F.col("key").alias("id")).agg(F.min("sig").alias("sig"))
-    payload = store.save(one.join(members.select("id").distinct(), "id", "left_semi").select("id", *sig), "payload")
+    # the bytes of a word in the order of rising bits
+    octets = [[f"substring(sig, {8 * k + j + 1}, 1)" for j in range(7, -1, -1)] for k in range(SIZE)]
+    sig = [F.conv(F.hex(F.expr(f"concat({', '.join(o)})")), 16, -10).cast("long").alias(f"s{k}") for k, o in enumerate(octets)]
+    one = lines.filter("sig IS NOT NULL").groupBy(F.col("key").alias("id")).agg(F.min("sig").alias("sig"), F.min("n").alias("n_words"))
+    payload = store.save(one.join(members.select("id").distinct(), "id", "left_semi").select("id", "n_words", *sig), "payload")
     forms = {}
 
-    def near(a, b):
-        return sum(F.bit_count(a(w).bitwiseXOR(b(w))) for w in words) <= int(FLIPS * 64 * size)
-
     def prepare(ids):
         marked = Bitmap(store, ids, "id")
         normal = texts.select("text").mapInArrow(_normal_lines(marked.as_array()), "key long, normal string")
@@ -406,7 +442,7 @@ def repeated_lines(docs: DataFrame, store: Store, id_col: str = "doc_id", text_c
                 .join(normal.select(F.col("key").alias("b"), F.col("normal").alias("y")), "b"))
         return both.select("a", "b", "x", "y").mapInArrow(_edit_similar, "a long, b long")
 
-    labels = linked(store, members, payload, near, confirm, prepare)
+    labels = linked(store, members, payload, _meets, confirm, prepare)
     store.drop(members, payload, *forms.values())
     nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "th")).alias("first"), F.count("*").alias("n"))
     if labels is None:
