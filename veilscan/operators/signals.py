@@ -9,14 +9,20 @@ holds each phrase under its rarest gram.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_WHITESPACE, bind, col
 from ..sources import dims
 
-#: Characters of the grams that texts and lexicon tables are joined on.
-GRAM = 5
+#: Bytes of the grams that texts and lexicon tables are joined on (a long holds one and its size).
+GRAM = 6
+#: Bits of the filter of entered grams, as a power of two: 8 MB.
+FILTER_BITS = 26
+#: Bytes of texts whose grams are looked up at a time.
+SLICE = 1 << 22
 SIGNALS_TYPE = ("struct<urgency_texts:array<string>,subscription_keywords:array<string>,"
                 "consent_accept:array<string>,consent_reject:array<string>,"
                 "dark_pattern_hints:array<string>,language_detected:string>")
@@ -93,33 +99,91 @@ def lexicon_scan(df: DataFrame, text_col: str = "text", lexicon=None,
                                      for c in categories_of(_lexicon_rows(lexicon)).values()])
 
 
-def _grams(chars, sizes) -> Column:
-    """Distinct strings of the given numbers of characters in an array of characters (shorter ones at its end)."""
-    def of(n):
-        return F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, n), ""))
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
-
-
 def gram_index(patterns: DataFrame) -> DataFrame:
-    """(pattern, gram): each phrase under the one of its ``GRAM``-character strings that fewest phrases hold.
+    """(pattern, gram): each phrase under the one of its ``GRAM``-byte strings that fewest phrases hold.
 
-    A shorter phrase is its own gram.
+    A shorter phrase is its own gram. A gram is a long: its bytes, above them their number.
     """
-    n = F.length("pattern")
-    grams = F.when(n <= GRAM, F.array("pattern")).otherwise(F.array_distinct(
-        F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(F.col("pattern"), i, GRAM))))
-    held = patterns.select("pattern", F.explode(grams).alias("gram"))
+    n = F.octet_length("pattern")
+    size = F.least(n, F.lit(GRAM))
+    utf8 = F.encode("pattern", "utf-8")
+    code = F.conv(F.hex(F.substr(utf8, F.col("at"), size)), 16, 10).cast("long").bitwiseOR(size.cast("long") * (1 << 8 * GRAM))
+    held = (patterns.select("pattern", F.explode(F.sequence(F.lit(1), n - size + 1)).alias("at"))
+            .select("pattern", code.alias("gram")).distinct())
     common = held.groupBy("gram").agg(F.count("*").alias("n"))
     return (held.join(common, "gram").groupBy("pattern")
             .agg(F.min(F.struct("n", "gram")).alias("best")).select("pattern", F.col("best.gram").alias("gram")))
 
 
+def _places(codes: np.ndarray) -> np.ndarray:
+    """Places of grams in the filter."""
+    return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _entered_grams(index: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """A bitmap of fixed size with the entered grams' places, and their sizes. Each task sends its own bitmap's pieces."""
+    piece = 1 << 12
+
+    def pieces(batches):
+        bits, sizes = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 0
+        for batch in batches:
+            codes = batch.column(0).to_numpy()
+            at = _places(codes)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            sizes |= int(np.bitwise_or.reduce(1 << (codes >> 8 * GRAM), initial=0))
+        for k in np.unique(np.flatnonzero(bits) // piece).tolist():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "bits": [bits[k * piece:(k + 1) * piece].tobytes()], "sizes": pa.array([sizes], pa.int64())})
+
+    bits, sizes = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 0
+    for r in index.select("gram").mapInArrow(pieces, "k long, bits binary, sizes long").toLocalIterator():
+        bits[r.k * piece:(r.k + 1) * piece] |= np.frombuffer(r.bits, np.uint8)
+        sizes |= r.sizes
+    return bits, [n for n in range(1, GRAM + 1) if sizes >> n & 1]
+
+
+def _slices(batch: pa.RecordBatch):
+    """Runs of rows of about ``SLICE`` bytes of text: first row, UTF-8 bytes, bounds of the texts."""
+    text = pa.concat_arrays([batch.column(batch.num_columns - 1)]).cast(pa.large_string())
+    data, bounds = np.frombuffer(text.buffers()[2] or b"", np.uint8), np.frombuffer(text.buffers()[1], np.int64)[text.offset:][:len(text) + 1]
+    lo = 0
+    while lo < len(text):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1)
+        yield lo, data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo]
+        lo = hi
+
+
+def _grams_of(bits: np.ndarray, sizes: list[int]):
+    """Rows of keys and a text to rows of keys and the distinct grams of the text that the filter lets through."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for first, data, bounds in _slices(batch):
+                for n in sizes:
+                    if len(data) < n:
+                        continue
+                    code = np.zeros(len(data) - n + 1, np.int64)
+                    for j in range(n):
+                        code = code << 8 | data[j:len(code) + j]
+                    code |= n << 8 * GRAM
+                    place = _places(code)
+                    at = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    row = np.searchsorted(bounds, at, "right") - 1
+                    inside = at + n <= bounds[row + 1]
+                    found = np.unique(np.stack((row[inside], code[at[inside]]), axis=1), axis=0)
+                    if len(found):
+                        keys = batch.select(range(batch.num_columns - 1)).take(pa.array(found[:, 0] + first))
+                        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(found[:, 1])], names=[*keys.schema.names, "gram"])
+    return run
+
+
 def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon=None) -> DataFrame:
     """Long rows (key, category, lang, ord, pattern): one per phrase found in a text.
 
     Default lexicon: literal array of structs filtered per row, then exploded
     (no join, no shuffle). A lexicon DataFrame of any size: the distinct grams of
-    each text meet the phrases entered under them (``gram_index``); only (key,
+    each text meet the phrases entered under them (``gram_index``); a bitmap of
+    fixed size drops nearly all grams that no phrase is entered under. Only (key,
     gram) and (key, phrase) rows are exchanged until the candidates are known.
     Texts are then joined back once and searched, so the work grows with the
     text and its candidates.
@@ -135,12 +199,13 @@ def lexicon_hits(df: DataFrame, key: str | list, text_col: str = "text", lexicon
         return df.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
     lex = lexicon.select("category", "lang", "ord", F.lower("pattern").alias("pattern")).filter("pattern <> ''")
     patterns = lex.select("pattern").distinct()
-    # phrases of fewer than GRAM characters need grams of their own length
-    sizes = [r[0] for r in patterns.select(F.least(F.length("pattern"), F.lit(GRAM))).distinct().collect()]
+    index = gram_index(patterns)
+    bits, sizes = _entered_grams(index)
     texts = df.select(*keys, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    grams = texts.select(*keys, F.explode(bind(F.split("_lt", ""), lambda c: _grams(c, sizes or [GRAM]))).alias("gram"))
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+    grams = texts.mapInArrow(_grams_of(bits, sizes), f"{kinds}, gram long")
     names = [f"_k{i}" for i in range(len(keys))]
-    met = (grams.join(gram_index(patterns), "gram").select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "pattern").distinct())
+    met = (grams.join(index, "gram").select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "pattern").distinct())
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     for c in same[1:]:
         same[0] = same[0] & c
