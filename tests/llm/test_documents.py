@@ -286,6 +286,75 @@ def test_large_buckets_are_paired_in_cells(spark):
     assert {r.id: r.component for r in got.collect()} == {i: i % 50 for i in range(300)}
 
 
+def test_rows_of_large_buckets_grow_with_their_members(spark):
+    """Cells of fixed size repeated each member of a bucket n / 64 times; all pairs of a bucket still meet."""
+    from veilscan.llm.linkage import CELL, PARTS, cells
+    full = spark.range(20 * CELL).selectExpr("1L AS key", "id", "id AS component")
+    x, y = cells(full, [])
+    assert x.count() + y.count() <= 20 * CELL * (PARTS + 1)
+    few = spark.range(CELL + 50).selectExpr("1L AS key", "id", "id AS component")
+    x, y = cells(few, [])
+    met = x.join(y, ["key", "lo", "hi"]).filter("lo < hi OR a < b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+    assert met.distinct().count() == met.count() == (CELL + 50) * (CELL + 49) // 2
+
+
+def test_components_after_further_links(spark):
+    from veilscan.llm.linkage import merged
+    rng = random.Random(8)
+    store, labels, links = Store(spark, "t"), None, []
+    for _ in range(3):
+        new = [(rng.randrange(60), rng.randrange(60)) for _ in range(12)]
+        links += new
+        labels = merged(store, labels, spark.createDataFrame(new, "a long, b long"))
+        want = {r.id: r.component for r in components(Store(spark, "t"), spark.createDataFrame(links, "a long, b long")).collect()}
+        got = labels.collect()
+        assert len(got) == len(want) and {r.id: r.component for r in got} == want
+
+
+def test_odd_sketches_part_no_similar_lines():
+    """Sketches differ in two bits an edit and one at most; lines of one repeated word in other numbers differ in many."""
+    from veilscan.llm.textbytes import ALNUM, word_bounds, word_hashes
+
+    def sketch(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        starts, ends = word_bounds(data, np.array([0, len(data)]), ALNUM)
+        return line_dedup.odd_sketches(word_hashes(data, starts, ends), np.array([len(starts)]))[0].view(np.uint64)
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(12)]
+    for _ in range(600):
+        x = [rng.choice(vocabulary) for _ in range(rng.randint(9, 80))]
+        y = list(x)
+        for _ in range(rng.randint(1, 8)):
+            at, kind = rng.randrange(len(y)), rng.randrange(4)
+            if kind == 3:  # one end loses what the other gets
+                y = y[1:] + [rng.choice(vocabulary)] if at % 2 else [rng.choice(vocabulary)] + y[:-1]
+            elif kind != 1 or len(y) > 1:
+                y[at:at + (kind != 0)] = [] if kind == 1 else [rng.choice(vocabulary)]
+        assert int(np.bitwise_count(sketch(x) ^ sketch(y)).sum()) <= 2 * line_dedup.edit_distance(x, y) + 1
+    a, b = ["onhe", "is"] * 300, ["onhe", "is"] * 200 + ["at"] * 200
+    assert int(np.bitwise_count(sketch(a) ^ sketch(b)).sum()) > 2 * 60 + 1
+
+
+def test_candidate_lines_that_edits_cannot_explain(spark, monkeypatch):
+    """Lines of one word pair and ever other ends meet, and were all compared word by word."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(["onhe", "is"] * 150 + [f"v{rng.randrange(10**6)}" for _ in range(50)])) for i in range(30)]
+    seen = []
+    linked = line_dedup.linked
+
+    def watched(store, members, payload, near, confirm, *more):
+        def counted(pairs):
+            seen.append(pairs.count())
+            return confirm(pairs)
+        return linked(store, members, payload, near, counted, *more)
+
+    monkeypatch.setattr(line_dedup, "linked", watched)
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == dict(texts)
+    assert sum(seen) == 0
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 

@@ -15,7 +15,9 @@ boilerplate line in a third of the documents enters the search once.
    meet depends on them alone, never on the other lines or on how many there
    are. Entries are dealt by block value as packed arrays, sorted and compared
    there; lines that meet none are left out, the rest goes on as (bucket, line) rows.
-4. `linkage` holds them against pivots, and the edit similarity decides: at most
+4. `linkage` holds them against pivots; pairs whose words differ in more than so
+   many edits can explain, by their odd sketches, are no candidates (this excludes
+   no similar pair). The edit similarity decides: at most
    10 % of the words (of a line's letters, up to ``SHORT`` words) inserted, lost
    or replaced. Every node is then in one connected group, whose occurrence with
    the smallest (doc_id, line) stays.
@@ -52,6 +54,8 @@ LINE = 400
 CHECK, CHECK_FLIPS = 48, 11
 #: Part of all bits in which a pair may differ.
 FLIPS = 0.2
+#: 64-bit words of the odd sketch of a line's words.
+ODD = 16
 #: Weight of a word by its bytes, the last for all longer ones: the words that all lines of a language share are short.
 WEIGHTS = np.array([1, 1, 1, 2, 5, 8], np.int16)
 #: Lines of a task that are cut into blocks at a time, and entries of one bucket among them that go on as packed arrays.
@@ -325,17 +329,40 @@ def _met(parts_bits: int):
     return run
 
 
+def odd_sketches(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bitmap of each line in which every word toggles one bit, as int64 words; ``n`` are the numbers of words.
+
+    A word counts with its half of the line and how often it stood there before,
+    so that repeated words do not cancel. What two lines share does, so their
+    sketches differ in no more bits than these.
+    """
+    width, line = 64 * ODD, np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+    word = mix(words + (place >= np.repeat(n // 2, n)).astype(np.uint64) * _PLACE[9])
+    order = np.lexsort((word, line))
+    word, line = word[order], line[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(word), 1), bool), (word[1:] != word[:-1]) | (line[1:] != line[:-1]))))
+    before = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
+    at = line * width + (mix(word + before.astype(np.uint64) * _PLACE[10]) % np.uint64(width)).astype(np.int64)
+    bits = (np.bincount(at, minlength=len(n) * width) & 1).astype(np.uint8).reshape(len(n), width)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(len(n), ODD)
+
+
 def _normal_lines(bits: np.ndarray):
     def run(batches):
         for _, data, offsets in text_slices(batches):
             found = _lines_of(data, offsets)
             if not found:
                 continue
-            _, _, bounds, key, _, starts, ends = found
+            _, words, bounds, key, _, starts, ends = found
             wanted, once = np.unique(key, return_index=True)
             once = once[is_set(bits, wanted)]
+            n = np.diff(bounds)[once]
+            at = np.repeat(bounds[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            odd = odd_sketches(words[at], n)
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(key[once].view(np.int64)),
+                "odd": pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, ODD, dtype=np.int32)), pa.array(odd.ravel())),
                 "normal": pa.array([_normal(data, starts[bounds[i]], ends[bounds[i + 1] - 1]) for i in once], pa.binary()).cast(pa.string())})
     return run
 
@@ -384,6 +411,18 @@ def _edit_similar(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _possible(a, b):
+    """False only for two lines that cannot be similar, by the odd sketches ``odd`` of their words.
+
+    An edit leaves one word without partner on either side at most. Words change
+    from one half to the other only one way, and a word that does needs two
+    inserted or lost ones, but the first: two bits an edit and one at most.
+    """
+    more = F.greatest(a("n_words"), b("n_words"))
+    differ = F.aggregate(F.zip_with(a("odd"), b("odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    return (more <= SHORT) | (differ <= 2 * F.floor(more / 10) + 1)
+
+
 def _meets(a, b):
     """Whether two lines meet, from the words ``s0``, ``s1``... of their SimHashes and their numbers of words."""
     x = [a(f"s{i}").bitwiseXOR(b(f"s{i}")) for i in range(SIZE)]
@@ -426,24 +465,25 @@ def repeated_lines(docs: DataFrame, store: Store, id_col: str = "doc_id", text_c
     octets = [[f"substring(sig, {8 * k + j + 1}, 1)" for j in range(7, -1, -1)] for k in range(SIZE)]
     sig = [F.conv(F.hex(F.expr(f"concat({', '.join(o)})")), 16, -10).cast("long").alias(f"s{k}") for k, o in enumerate(octets)]
     one = lines.filter("sig IS NOT NULL").groupBy(F.col("key").alias("id")).agg(F.min("sig").alias("sig"), F.min("n").alias("n_words"))
-    payload = store.save(one.join(members.select("id").distinct(), "id", "left_semi").select("id", "n_words", *sig), "payload")
-    forms = {}
+    met_ids = Bitmap(store, members, "id")
+    forms = texts.select("text").mapInArrow(_normal_lines(met_ids.as_array()), "key long, odd array<long>, normal string")
+    forms = store.save(forms.join(members.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "normal")
+    sketches = forms.select(F.col("key").alias("id"), "odd")
+    payload = store.save(one.join(sketches, "id").select("id", "n_words", *sig, "odd"), "payload")
+    store.drop(met_ids.pieces)
 
-    def prepare(ids):
-        marked = Bitmap(store, ids, "id")
-        normal = texts.select("text").mapInArrow(_normal_lines(marked.as_array()), "key long, normal string")
-        forms["all"] = store.save(normal.join(ids.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "normal")
-        store.drop(marked.pieces)
+    def near(a, b):
+        return _meets(a, b) & _possible(a, b)
 
     def confirm(pairs):
         marked = Bitmap(store, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")), "id")
-        normal = marked.mark(forms["all"], F.col("key"), "asked").filter("asked")
+        normal = marked.mark(forms.select("key", "normal"), F.col("key"), "asked").filter("asked")
         both = (pairs.join(normal.select(F.col("key").alias("a"), F.col("normal").alias("x")), "a")
                 .join(normal.select(F.col("key").alias("b"), F.col("normal").alias("y")), "b"))
         return both.select("a", "b", "x", "y").mapInArrow(_edit_similar, "a long, b long")
 
-    labels = linked(store, members, payload, _meets, confirm, prepare)
-    store.drop(members, payload, *forms.values())
+    labels = linked(store, members, payload, near, confirm)
+    store.drop(members, payload, forms)
     nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "th")).alias("first"), F.count("*").alias("n"))
     if labels is None:
         groups = nodes.filter("n > 1").select("key", "first")

@@ -5,8 +5,9 @@ against one pivot per bucket (linear in the members). What the pivot links is
 contracted, buckets inside one component are done, and the rest meets up to
 ``PIVOTS`` others of different components. Only members of a bucket whose
 components still differ are then paired, under a cheap predicate inside the
-join, so no link is lost; a bucket is dealt out in cells of ``CELL`` by ``CELL``
-members, so none of them is one task.
+join, so no link is lost; a large bucket is dealt out in cells of pairs, so none
+of them is one task. A bucket has at most ``PARTS`` parts, whatever its size: its
+members are repeated at most so often, and the rows grow with the members.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
-#: Members of a bucket that are paired under one key, and pivots of a bucket after the first round.
-CELL, PIVOTS = 64, 4
+#: Members of a part of a bucket, in buckets of up to PARTS parts; a larger bucket has larger ones.
+CELL, PARTS = 256, 16
+#: Pivots of a bucket after the first round.
+PIVOTS = 4
 
 
 def components(store: Store, links: DataFrame) -> DataFrame:
@@ -63,6 +66,32 @@ def components(store: Store, links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(store: Store, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after further links (a, b): only components are linked anew."""
+    if labels is None:
+        return components(store, links)
+    name = {c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"}
+    between = links.join(name["a"], "a", "left").join(name["b"], "b", "left")
+    step = components(store, between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    step = step.select(F.col("id").alias("old"), F.col("component").alias("root"))
+    known = labels.join(step, F.col("component") == F.col("old"), "left").select("id", F.coalesce("root", "component").alias("component"))
+    new = step.join(labels, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("root").alias("component"))
+    return store.save(known.unionAll(new), "labels")
+
+
+def cells(full: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Two sides whose join on (key, lo, hi) holds each pair of one bucket: (a, ca, the columns), and (b, cb, the columns)."""
+    sizes = full.groupBy("key").agg(F.count("*").alias("n"))
+    parts = F.least(F.ceil(F.col("n") / CELL), F.lit(PARTS)).cast("int")
+    full = (full.join(sizes, "key").withColumn("parts", parts)
+            .withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")))
+    x = full.select("key", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("hi"),
+                    F.col("id").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    y = full.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("lo"), F.col("own").alias("hi"),
+                    F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    return x, y
+
+
 def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[[Callable, Callable], Column],
            confirm: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None,
            pivot_rounds: int = 2) -> DataFrame | None:
@@ -80,7 +109,7 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
         prepare(members.select("id").distinct())
     popular = members.groupBy("id").agg(F.sum("n").alias("rank"))
     open_ = members.select("key", "id").join(popular, "id").select("key", "id", "rank", F.col("id").alias("component"))
-    labels = links = None
+    labels = None
     cols = [c for c in payload.columns if c != "id"]
     for r in range(pivot_rounds + 1):
         if r:
@@ -104,14 +133,7 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
             right = payload.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
             pairs = pairs.join(left, "a").join(right, "b").filter(near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
         else:
-            sizes = open_.groupBy("key").agg(F.count("*").alias("n"))
-            parts = F.ceil(F.col("n") / CELL).cast("int")
-            full = (open_.join(payload, "id").join(sizes, "key").withColumn("parts", parts)
-                    .withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")))
-            x = full.select("key", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("hi"),
-                            F.col("id").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in cols])
-            y = full.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("lo"), F.col("own").alias("hi"),
-                            F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in cols])
+            x, y = cells(open_.join(payload, "id"), cols)
             pairs = (x.join(y, ["key", "lo", "hi"]).filter((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
                      .filter((F.col("ca") != F.col("cb")) & near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
                      .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -119,6 +141,5 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
         found = store.save(confirm(pairs), "found")
         store.drop(pairs, open_)
         if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            labels = components(store, links)
+            labels = merged(store, labels, found)
     return labels
