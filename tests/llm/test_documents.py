@@ -1,6 +1,7 @@
 """Exact and near duplicates, repeated lines and repeated byte strings against brute force."""
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -471,5 +472,35 @@ def test_repeated_ids_keep_their_own_bytes(spark):
     assert got == want and (1, "short", 5) in got
 
 
+def test_equal_pieces_are_sorted_once(spark, monkeypatch):
+    """Texts of one word pair are cut every few bytes, into pieces of 200 bytes and more that are nearly all equal."""
+    rnd = random.Random(11)
+    texts = ["onhe is " * rnd.randrange(150, 250) + " ".join(words(rnd, 40)) for _ in range(40)]
+    sizes = []
+    save = suffix_dedup.Store.save
+
+    def watched(self, df, name, *more):
+        out = save(self, df, name, *more)
+        if name == "pieces":
+            sizes.append(sum(len(r[0] or b"") for r in out.select("bytes").collect()))
+        return out
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 1)
+    monkeypatch.setattr(suffix_dedup.Store, "save", watched)
+    got = rows_by_id(suffix_dedup.remove_repeats(frame(spark, texts)))
+    for i, gone in enumerate(brute_removed([t.encode() for t in texts])):
+        assert bytes(got[i].kept) == np.frombuffer(texts[i].encode(), np.uint8)[~gone].tobytes()
+    assert len(sizes) == 1 and sizes[0] < 2 * sum(map(len, texts))
+
+
+def test_scratch_disk_goes_with_its_array():
+    scratch = induced_sort.Scratch(in_memory=0)
+    a, f = scratch.array(1000, np.int64), scratch.file()
+    a[:] = 7
+    f.write(b"x" * 1000)
+    assert os.listdir(scratch._dir.name) == [] and (a == 7).all()
+    f.close()
+    scratch.close()
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0

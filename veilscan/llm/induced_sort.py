@@ -33,7 +33,10 @@ DEPTH = 16
 
 
 class Scratch:
-    """Memory-mapped arrays in one temporary folder; small arrays stay in memory."""
+    """Memory-mapped arrays in one temporary folder; small arrays stay in memory.
+
+    A file loses its name once it is open, so its disk is free again with its array.
+    """
 
     def __init__(self, in_memory: int = 1 << 22):
         self._dir = tempfile.TemporaryDirectory(prefix="induced-")
@@ -46,7 +49,16 @@ class Scratch:
     def array(self, n: int, dtype) -> np.ndarray:
         if n * np.dtype(dtype).itemsize <= self._small:
             return np.zeros(n, dtype)
-        return np.memmap(self.path(), dtype, "w+", shape=(n,))
+        path = self.path()
+        out = np.memmap(path, dtype, "w+", shape=(n,))
+        os.unlink(path)
+        return out
+
+    def file(self):
+        path = self.path()
+        out = open(path, "w+b")
+        os.unlink(path)
+        return out
 
     def close(self) -> None:
         self._dir.cleanup()
@@ -59,7 +71,7 @@ class BucketQueue:
         self.bounds, self.buffer, self.held = bounds, buffer, 0
         self.memory: dict[int, list[np.ndarray]] = {}
         self.extents: dict[int, list[tuple[int, int]]] = {}
-        self.file = open(scratch.path(), "w+b")
+        self.file = scratch.file()
 
     def push(self, symbols: np.ndarray, ranks: np.ndarray, places: np.ndarray) -> None:
         bucket = np.searchsorted(self.bounds, symbols, "right") - 1
@@ -324,10 +336,12 @@ def _all_suffixes(x, scratch, buffer, batch) -> np.ndarray:
     s = s_types(x)
     seeds = sort_suffixes(x, scratch, buffer, batch)
     places, is_seed, _ = induce(x, ~s, seeds, scratch, buffer, batch)
+    down = places[~is_seed][::-1]
+    del places, is_seed
     upside = int(x.max()) - x
     kind = s.copy()
     kind[-1] = False  # nothing induces the last suffix, the smallest
-    places, _, _ = induce(upside, kind, places[~is_seed][::-1], scratch, buffer, batch)
+    places, _, _ = induce(upside, kind, down, scratch, buffer, batch)
     return np.concatenate(([len(x) - 1], places[::-1]))
 
 
@@ -346,6 +360,7 @@ def suffixes_with_prefixes(x: np.ndarray, cap: int, compare, single_from: int, s
     shared[1:] = compare(seeds[:-1], seeds[1:])
     places, is_seed, values = induce(x, ~s, seeds, scratch, buffer, batch, shared, cap, compare, single_from)
     down, shared = places[~is_seed][::-1], values[~is_seed][::-1]
+    del places, is_seed, values
     shared = np.concatenate(([0], shared[:-1])).astype(np.uint8)
     top = int(x.max())
     kind = s.copy()

@@ -16,6 +16,7 @@
 A hash with very many different regions (a passage in ever other company) is
 split: its regions are cut where the offset to the gram of that hash crosses a
 multiple of ``BLOCK``, and dealt by the bytes that all starts of a piece share.
+Equal pieces repeat each other whole and are sorted once.
 """
 
 from __future__ import annotations
@@ -137,22 +138,43 @@ def _core_pieces(body: np.ndarray, n: int, key: int) -> list[tuple[int, int, int
     return list(zip(core.view(np.int64).tolist(), cut[:-1].tolist(), np.diff(cut).tolist()))
 
 
-PIECE = "shard long, key long, digest long, first long, n long, bytes binary"
+PIECE = "shard long, key long, digest long, first long, n long, bytes binary, again boolean"
 
 
 def _pieces(batches):
+    """Pieces of the wanted regions; of equal ones of split regions in a batch one has the bytes, all are marked ``again``.
+
+    A text of few repeated words is one region with the gram every few bytes: its
+    pieces have many times its bytes, and nearly all are equal. Neighbours
+    without bytes are one row.
+    """
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        out = []
+        out, seen = [], {}
         for i, wanted in enumerate(batch.column("wanted").to_pylist()):
             text = data[offsets[i]:offsets[i + 1]]
             for w in wanted:
                 body = text[w["first"]:w["first"] + w["n"] + MATCH - 1]
-                parts = _core_pieces(body, w["n"], w["key"]) if w["split"] else [(w["key"], 0, w["n"])]
-                out += [(shard, w["key"], w["digest"], first, n, body[first:first + n + MATCH - 1].tobytes()) for shard, first, n in parts]
-        cols = list(zip(*out)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())],
-                                         names=["shard", "key", "digest", "first", "n", "bytes"])
+                if not w["split"]:
+                    out.append([w["key"], w["key"], w["digest"], 0, w["n"], body.tobytes(), False])
+                    continue
+                joins = False  # the row before is of this region and without bytes
+                for shard, first, n in _core_pieces(body, w["n"], w["key"]):
+                    piece = body[first:first + n + MATCH - 1].tobytes()
+                    same = seen.setdefault(piece, len(out))
+                    if same == len(out):
+                        out.append([shard, w["key"], w["digest"], first, n, piece, False])
+                        joins = False
+                        continue
+                    out[same][6] = True
+                    if joins and out[-1][3] + out[-1][4] == first:
+                        out[-1][4] += n
+                    else:
+                        out.append([shard, w["key"], w["digest"], first, n, None, True])
+                    joins = True
+        cols = list(zip(*out)) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.bool_())],
+                                         names=["shard", "key", "digest", "first", "n", "bytes", "again"])
 
 
 def shared_prefix(data: np.ndarray, rest: np.ndarray, cap: int):
@@ -212,30 +234,38 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sort_shard(batches):
-    """Sorts the pieces of a task's partition, which must fit in memory, some shards at a time."""
-    meta, bodies = [], []
+    """Sorts the different pieces of a task's partition, which must fit in memory, some shards at a time; equal ones repeat each other."""
+    meta, of, place = [], [], {}
     for batch in batches:
-        meta.append(np.stack([np.asarray(batch.column(c)) for c in ("key", "digest", "first", "n", "shard")], axis=1))
-        bodies += batch.column("bytes").to_pylist()
-    if not bodies:
+        meta.append(np.stack([np.asarray(batch.column(c)) for c in ("key", "digest", "first", "n", "shard", "again")], axis=1))
+        of += [place.setdefault(body, len(place)) for body in batch.column("bytes").to_pylist()]
+    if not place:
         return
-    meta = np.concatenate(meta)
-    order = np.argsort(meta[:, 4], kind="stable")
-    meta, bodies = meta[order], [bodies[i] for i in order]
+    meta, of, bodies = np.concatenate(meta), np.array(of), list(place)
+    whole = (np.bincount(of) > 1) | (np.bincount(of, meta[:, 5]) > 0)
+    if whole.any():
+        yield _marks(meta[whole[of]], *meta[whole[of]][:, 2:4].T)
+    row_of = np.empty(len(bodies), np.int64)
+    row_of[of] = np.arange(len(of))
+    order = np.argsort(meta[row_of, 4], kind="stable")
+    meta, bodies, whole = meta[row_of[order]], [bodies[i] for i in order], whole[order]
     size = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
     lo = 0
     for hi in [*(np.flatnonzero(np.diff(meta[:, 4])) + 1).tolist(), len(bodies)]:
         if size[hi] - size[lo] < SORT_BYTES and hi < len(bodies):
             continue
-        for row, starts in zip(meta[lo:hi], repeated_starts(bodies[lo:hi], meta[lo:hi, 3])):
+        # each 200 bytes of a piece that stands elsewhere are known to repeat; the others may share some with it
+        for j, starts in enumerate([] if whole[lo:hi].all() else repeated_starts(bodies[lo:hi], meta[lo:hi, 3]), lo):
             first, n = _runs(starts)
-            if len(first):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), row[0])), pa.array(np.full(len(first), row[1])), pa.array(first + row[2]), pa.array(n)],
-                    names=["key", "digest", "first", "n"])
+            if len(first) and not whole[j]:
+                yield _marks(np.repeat(meta[j:j + 1], len(first), axis=0), first + meta[j, 2], n)
         lo = hi
 
 
+def _marks(rows: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (rows[:, 0], rows[:, 1], first, n)], names=["key", "digest", "first", "n"])
+
+
 def repeated_intervals(texts: DataFrame, store: Store) -> DataFrame:
     """(doc_id, th, first, n): runs of starts whose 200 bytes also start elsewhere; runs may overlap or touch.
 
@@ -261,7 +291,9 @@ def repeated_intervals(texts: DataFrame, store: Store) -> DataFrame:
                         .select("text", "wanted").mapInArrow(_pieces, PIECE), "pieces")
     size = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    marks = store.save(pieces.repartition(shards, "shard").mapInArrow(_sort_shard, "key long, digest long, first long, n long"), "marks")
+    mark = "key long, digest long, first long, n long"
+    sort = pieces.filter("bytes IS NOT NULL").repartition(shards, "shard").mapInArrow(_sort_shard, mark)
+    marks = store.save(sort.unionAll(pieces.filter("bytes IS NULL").select("key", "digest", "first", "n")), "marks")
     store.drop(pieces, holders.pieces)
     found = (marks.join(sent.filter("copies = 1").select("key", "digest", "doc_id", "th", F.col("first").alias("at")), ["key", "digest"])
              .select("doc_id", "th", (F.col("at") + F.col("first")).alias("first"), "n"))
