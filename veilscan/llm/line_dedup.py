@@ -4,18 +4,17 @@ A line's normal form is its words (ASCII letters lower-cased, digits, all
 multi-byte characters) joined by blanks; equal normal forms are one node, so a
 boilerplate line in a third of the documents enters the search once.
 
-1. The bytes of all texts are counted, to deal the work out.
-2. One pass over all texts gives every line a SimHash of its words; short words
+1. One pass over all texts gives every line a SimHash of its words; short words
    weigh less, or all lines of one language would look alike. Lines of up to
    ``SHORT`` words have one of their letter triples instead, so that a typo
    changes little.
-3. The SimHash is cut into ``BLOCKS`` blocks of ``WIDTH`` bits. Two lines meet
+2. The SimHash is cut into ``BLOCKS`` blocks of ``WIDTH`` bits. Two lines meet
    where a block is equal, few of the ``CHECK`` bits next to it and of all bits
    differ, and their numbers of words allow the similarity. Whether two lines
    meet depends on them alone, never on the other lines or on how many there
    are. Entries are dealt by block value as packed arrays, sorted and compared
    there; lines that meet none are left out, the rest goes on as (bucket, line) rows.
-4. `linkage` holds them against pivots; pairs whose words differ in more than so
+3. `linkage` holds them against pivots; pairs whose words differ in more than so
    many edits can explain, by their odd sketches, are no candidates (this excludes
    no similar pair). The edit similarity decides: at most
    10 % of the words (of a line's letters, up to ``SHORT`` words) inserted, lost
@@ -29,6 +28,7 @@ lines that met come from a second pass, behind a bitmap of fixed size.
 from __future__ import annotations
 
 import math
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,8 @@ BLOCKS = 14
 WIDTH = 16
 #: 64-bit words of a SimHash.
 SIZE = -(-BLOCKS * WIDTH // 64)
-#: Bytes of a line on average, as far as dealing out goes.
-LINE = 400
+#: Lines of a part of the block values on average, about a million entries.
+LINE = 70_000
 #: Bits beside a block that are compared at once, and in how many of them a pair may differ.
 CHECK, CHECK_FLIPS = 48, 11
 #: Part of all bits in which a pair may differ.
@@ -91,7 +91,9 @@ def _lines_of(data: np.ndarray, offsets: np.ndarray):
     starts, ends = word_bounds(data, offsets, ALNUM)
     line_at, first = _line_bounds(data, offsets)
     words = word_hashes(data, starts, ends)
-    lines, at = np.unique(np.searchsorted(line_at, starts, "right") - 1, return_index=True)
+    at = np.searchsorted(starts, line_at)
+    lines = np.flatnonzero(np.diff(at, append=len(starts)))
+    at = at[lines]
     if not len(lines):
         return None
     bounds = np.concatenate((at, [len(words)]))
@@ -119,23 +121,25 @@ def simhash(features: np.ndarray, bounds: np.ndarray, weights: np.ndarray, size:
 
     A bit is set where the features that have it weigh more than half of all.
     """
-    totals = np.zeros((len(bounds) - 1, 64 * size))
-    line, cuts = 0, bounds.tolist()
-    for lo in range(0, len(features), 2000):
-        hi = min(lo + 2000, len(features))
-        signs = np.empty((hi - lo, size), np.uint64)
-        for k in range(size):
-            signs[:, k] = mix(features[lo:hi] + np.uint64((k + 1) * int(_PLACE[7]) % 2**64))
-        bits = np.unpackbits(signs.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-        kind = weights[lo:hi].astype(np.float32)
-        while line < len(totals):
-            a, b = max(cuts[line], lo) - lo, min(cuts[line + 1], hi) - lo
-            totals[line] += kind[a:b] @ bits[a:b]
-            if cuts[line + 1] > hi:
-                break
-            line += 1
-            if cuts[line] == hi:
-                break
+    n = np.diff(bounds)
+    totals = np.zeros((len(n), 64 * size), np.int32)
+    # pieces of a line of so few features that their weights add up in a byte
+    most = 255 // int(weights.max(initial=1))
+    k = -(-n // most)
+    line = np.repeat(np.arange(len(n)), k)
+    at = bounds[:-1][line] + most * (np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k))
+    for lo in range(0, len(at), 128):
+        cut, own = at[lo:lo + 128], line[lo:lo + 128]
+        a, b = cut[0], at[lo + 128] if lo + 128 < len(at) else bounds[-1]
+        signs = np.empty((b - a, size), np.uint64)
+        for j in range(size):
+            signs[:, j] = mix(features[a:b] + np.uint64((j + 1) * int(_PLACE[7]) % 2**64))
+        # a byte a bit, eight of them added as one word
+        bits = np.unpackbits(signs.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        bits *= weights[a:b, None].astype(np.uint64)
+        sums = np.add.reduceat(bits, cut - a, axis=0).view(np.uint8).astype(np.uint16)
+        new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        totals[own[new]] += np.add.reduceat(sums.view(np.uint64), new, axis=0).view(np.uint16)
     half = np.add.reduceat(weights.astype(np.int64), bounds[:-1]) / 2 if len(totals) else np.zeros(0)
     return np.packbits(totals > half[:, None], axis=1, bitorder="little").view(np.uint64)
 
@@ -167,6 +171,14 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words:
     return np.concatenate(parts), np.concatenate(part_weights), np.concatenate(([0], np.cumsum(sizes)))
 
 
+def _simhashes(data, words, bounds, starts, ends, once):
+    """SimHashes of the lines ``once``, and the places and numbers of their words."""
+    n = np.diff(bounds)[once]
+    at = np.repeat(bounds[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    features, kind, cuts = line_features(data, starts[at], ends[at], words[at], np.concatenate(([0], np.cumsum(n))))
+    return simhash(features, cuts, kind, SIZE), at, n
+
+
 def _line_table():
     def run(batches):
         for rows, data, offsets in text_slices(batches):
@@ -178,10 +190,7 @@ def _line_table():
             # a line that stands twice in the slice needs one SimHash
             _, once = np.unique(key, return_index=True)
             once.sort()
-            n = np.diff(bounds)[once]
-            part = np.repeat(bounds[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            features, kind, cuts = line_features(data, starts[part], ends[part], words[part], np.concatenate(([0], np.cumsum(n))))
-            sig = simhash(features, cuts, kind, SIZE)
+            sig = _simhashes(data, words, bounds, starts, ends, once)[0]
             at = np.full(len(lines) + 1, 0)
             at[once + 1] = 8 * SIZE
             yield pa.RecordBatch.from_pydict({
@@ -202,7 +211,8 @@ def _entries(batches):
         check = np.concatenate([bit_range(sig, (k + 1) * width, CHECK) | kind for k in range(BLOCKS)])
         code = scatter(code, width)
         key = np.tile(key, BLOCKS)
-        order = np.lexsort((key, code))
+        # by code and most bits of the key: one left twice costs time only
+        order = np.argsort(code << np.uint64(64 - code_bits(width)) | key >> np.uint64(code_bits(width)))
         code, check, key = code[order], check[order], key[order]
         new = np.ones(len(code), bool)
         new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
@@ -306,7 +316,9 @@ def _met(parts_bits: int):
         # the rest of such a bucket went another way
         cut_off = np.unique(np.concatenate([c[_crowded(c)] for c, _, _ in parts]))
         code, key, check = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((key, check >> np.uint64(CHECK), code))
+        # by code, length class (8 bits) and most bits of the key
+        top = code_bits(WIDTH)
+        order = np.argsort(code << np.uint64(64 - top) | check >> np.uint64(CHECK) << np.uint64(56 - top) | key >> np.uint64(8 + top))
         code, key, check = code[order], key[order], check[order]
         new = np.ones(len(code), bool)
         new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
@@ -357,11 +369,11 @@ def _normal_lines(bits: np.ndarray):
             _, words, bounds, key, _, starts, ends = found
             wanted, once = np.unique(key, return_index=True)
             once = once[is_set(bits, wanted)]
-            n = np.diff(bounds)[once]
-            at = np.repeat(bounds[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            sig, at, n = _simhashes(data, words, bounds, starts, ends, once)
             odd = odd_sketches(words[at], n)
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(key[once].view(np.int64)),
+                "key": pa.array(key[once].view(np.int64)), "n_words": pa.array(n.astype(np.int32)),
+                **{f"s{k}": pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64)) for k in range(SIZE)},
                 "odd": pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, ODD, dtype=np.int32)), pa.array(odd.ravel())),
                 "normal": pa.array([_normal(data, starts[bounds[i]], ends[bounds[i + 1] - 1]) for i in once], pa.binary()).cast(pa.string())})
     return run
@@ -399,6 +411,9 @@ def similar(a: str, b: str) -> bool:
     x, y = a.split(" "), b.split(" ")
     most = max(len(x), len(y))
     allowed = (1 - MIN_SIMILARITY) * most + 1e-9
+    # words replaced at their places are as many edits at most
+    if len(x) == len(y) and sum(map(ne, x, y)) <= allowed:
+        return True
     # each word of one that the other lacks is an edit
     if (len(set(x).difference(y)) <= allowed and len(set(y).difference(x)) <= allowed and edit_distance(x, y) <= allowed):
         return True
@@ -453,23 +468,17 @@ def repeated_lines(docs: DataFrame, store: Store, id_col: str = "doc_id", text_c
     """
     texts = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
              .withColumn("th", F.xxhash64("text")))
-    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lines = store.save(texts.mapInArrow(_line_table(), "doc_id long, th long, line long, key long, n int, sig binary"), "lines")
     # parts of about a million entries
-    parts_bits = max(0, min(code_bits(WIDTH) - 1, math.ceil(math.log2(max(n_bytes / LINE * BLOCKS / 1e6, 1)))))
+    parts_bits = max(0, min(code_bits(WIDTH) - 1, math.ceil(math.log2(max(lines.count() / LINE, 1)))))
     cut = lines.filter("sig IS NOT NULL").select("key", "n", "sig")
     packed = cut.mapInArrow(_packed(parts_bits), "part long, packed binary")
     met = packed.groupBy("part").applyInArrow(_met(parts_bits), "key long, id long")
     members = store.save(met.distinct(), "met")
-    # the bytes of a word in the order of rising bits
-    octets = [[f"substring(sig, {8 * k + j + 1}, 1)" for j in range(7, -1, -1)] for k in range(SIZE)]
-    sig = [F.conv(F.hex(F.expr(f"concat({', '.join(o)})")), 16, -10).cast("long").alias(f"s{k}") for k, o in enumerate(octets)]
-    one = lines.filter("sig IS NOT NULL").groupBy(F.col("key").alias("id")).agg(F.min("sig").alias("sig"), F.min("n").alias("n_words"))
     met_ids = Bitmap(store, members, "id")
-    forms = texts.select("text").mapInArrow(_normal_lines(met_ids.as_array()), "key long, odd array<long>, normal string")
+    forms = texts.select("text").mapInArrow(_normal_lines(met_ids.as_array()), f"key long, n_words int, {', '.join(f's{k} long' for k in range(SIZE))}, odd array<long>, normal string")
     forms = store.save(forms.join(members.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "normal")
-    sketches = forms.select(F.col("key").alias("id"), "odd")
-    payload = store.save(one.join(sketches, "id").select("id", "n_words", *sig, "odd"), "payload")
+    payload = forms.drop("normal").withColumnRenamed("key", "id")
     store.drop(met_ids.pieces)
 
     def near(a, b):
@@ -483,7 +492,11 @@ def repeated_lines(docs: DataFrame, store: Store, id_col: str = "doc_id", text_c
         return both.select("a", "b", "x", "y").mapInArrow(_edit_similar, "a long, b long")
 
     labels = linked(store, members, payload, near, confirm)
-    store.drop(members, payload, forms)
+    store.drop(members, forms)
+    # lines that stand once and are linked to none stay: only the others are sorted and joined
+    again = lines.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    found = Bitmap(store, again if labels is None else again.unionAll(labels.select("id")), "key")
+    lines = store.save(found.mark(lines.select("doc_id", "th", "line", "key"), F.col("key"), "hit").filter("hit").drop("hit"), "found")
     nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "th")).alias("first"), F.count("*").alias("n"))
     if labels is None:
         groups = nodes.filter("n > 1").select("key", "first")

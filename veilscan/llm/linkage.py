@@ -2,7 +2,7 @@
 
 Buckets of near copies can hold a third of all rows, so members are first held
 against one pivot per bucket (linear in the members). What the pivot links is
-contracted, buckets inside one component are done, and the rest meets up to
+contracted, buckets of two or inside one component are done, and the rest meets up to
 ``PIVOTS`` others of different components. Only members of a bucket whose
 components still differ are then paired, under a cheap predicate inside the
 join, so no link is lost; a large bucket is dealt out in cells of pairs, so none
@@ -113,6 +113,8 @@ def linked(store: Store, members: DataFrame, payload: DataFrame, near: Callable[
     cols = [c for c in payload.columns if c != "id"]
     for r in range(pivot_rounds + 1):
         if r:
+            # the one pair of a bucket of two has met already
+            members = members.filter("n > 2") if r == 1 else members
             named = (members.select("key", "id", F.col("id").alias("component")) if labels is None else
                      members.select("key", "id").join(labels, "id", "left")
                      .select("key", "id", F.coalesce("component", "id").alias("component")))
